@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, secrets, simhash, sketches, toxicity, warc
+from . import embeddings, mixing, packing, secrets, simhash, sketches, toxicity, warc
 from .common import scratch_path
 
 
@@ -38,6 +38,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, base), F.sha2(spans(F.filter("findings", lambda f: f["kind"].isin(base))), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_toxicity": op2_toxicity,
     "op4_secret_scan": op4_secret_scan,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_packing": op7_packing,
     "op9_source_mixing": op9_source_mixing,

@@ -46,8 +46,9 @@ def topic_of(text: Column, topics: int = TOPICS) -> Column:
     return F.when(F.size(words) == 0, F.lit("none")).otherwise(F.concat(F.lit("topic"), (-F.array_max(sizes)["t"]).cast("string")))
 
 
-def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """The rows with source, lang (NONE for null), topic and tokens; text '' for null."""
+def described(docs: DataFrame, topic: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The rows with source, lang (NONE for null), topic and tokens; text '' for null. Columns
+    named in ``keep`` come along as they are, as kept_<name>."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id"),
@@ -56,6 +57,7 @@ def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
         (topic_of(text) if topic is None else F.coalesce(topic.cast("string"), F.lit(NONE))).alias("topic"),
         token_count(text).alias("tokens"),
+        *[F.col(c).alias(f"kept_{c}") for c in keep or ()],
     )
 
 
@@ -87,15 +89,16 @@ def chance(seed: str, doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, seed: str = SEED, topic: Column | None = None) -> DataFrame:
-    """For every row: doc_id, text, source, lang, topic, tokens, weight, probability, kept."""
-    rows = described(docs, topic)
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, seed: str = SEED, topic: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """For every row: doc_id, text, source, lang, topic, tokens, weight, probability, kept; and
+    kept_<name> for the columns named in ``keep``."""
+    rows = described(docs, topic, keep)
     cells = staged(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     weights = staged(raked(cells, targets, alpha, rounds).drop("tokens"), "weights")
     top = weights.agg(F.max("weight")).first()[0] or 1.0
     weights = weights.withColumn("probability", F.col("weight") / F.lit(float(top)))
     rows = sized_join(rows, weights, list(DIMENSIONS))
-    return rows.select("doc_id", "text", *DIMENSIONS, "tokens", "weight", "probability", (chance(seed, F.col("doc_id"), F.col("text")) < F.col("probability")).alias("kept"))
+    return rows.select("doc_id", "text", *DIMENSIONS, "tokens", "weight", "probability", *[f"kept_{c}" for c in keep or ()], (chance(seed, F.col("doc_id"), F.col("text")) < F.col("probability")).alias("kept"))
 
 
 def oracle_sql(alpha: float = ALPHA, rounds: int = ROUNDS, topics: int = TOPICS, seed: str = SEED) -> str:

@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 from .common import sized_join, staged
 
 KEY = b"replace in production"
-MAX_DRAWS = 64
+MAX_DRAWS = 200
+#: Draws after which addresses and names grow by a character or syllable, and after which a
+#: surrogate may equal a real entity (but never another surrogate).
+WIDEN, WAIVE = 6, 60
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "name")
 
 
@@ -99,17 +102,19 @@ def detect(text: str) -> list[Entity]:
         found += [Entity(*m.span(), "email", m.group().lower()) for m in _EMAIL.finditer(text)]
     for run in _DIGITS.finditer(text):
         lo, hi = run.span()
+        used = bytearray(hi - lo)
         # each kind takes what the ones before left of the run
         for kind, pattern in (("ip", _IP), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE)):
             for m in pattern.finditer(text, lo, hi):
                 a, b = m.span()
-                if any(a < e.end and e.start < b for e in found):
+                if any(used[a - lo : b - lo]):
                     continue
                 norm = m.group() if kind == "ip" else re.sub(r"\D", "", m.group())
                 if kind == "phone" and not 7 <= len(norm) <= 15:
                     continue
                 if kind == "card" and not 13 <= len(norm) <= 19:
                     continue
+                used[a - lo : b - lo] = b"\1" * (b - a)
                 found.append(Entity(a, b, kind, norm))
     for m in _IBAN.finditer(text):
         compact = m.group().replace(" ", "")
@@ -156,12 +161,12 @@ def surrogate(key: bytes, kind: str, norm: str, draw: int = 0) -> str:
         local, _, domain = norm.rpartition("@")
         host, _, _ = domain.rpartition(".")
         # the domain draws by itself, so addresses of one domain stay together; its end is reserved
-        return f"{d.like(local)}@{Draw(key, 'domain', domain, 0).like(host)}.example"
+        return f"{d.like(local)}{d.like('0' * (draw // WIDEN))}@{Draw(key, 'domain', domain, 0).like(host)}.example"
     if kind == "ip":
         o = [int(x) for x in norm.split(".")]
-        keep = 1 if o[0] in (10, 127) else 2 if o[:2] == [192, 168] or o[0] == 172 and 16 <= o[1] < 32 else 0
-        new = o[:keep] + [d.below(254) + 1 for _ in range(4 - keep)]
-        if not keep:
+        private = o[0] == 10 or o[:2] == [192, 168] or o[0] == 172 and 16 <= o[1] < 32
+        new = [10 if private else o[0]] + [d.below(254) + 1 for _ in range(3)]
+        if not private and o[0] != 127:
             public = [x for x in range(11, 224) if x not in (100, 127, 169, 172, 192, 198, 203)]
             new[0] = public[d.below(len(public))]
         return ".".join(map(str, new))
@@ -182,7 +187,7 @@ def surrogate(key: bytes, kind: str, norm: str, draw: int = 0) -> str:
     gender, _, name = norm.partition(":")
     syllables, ends = SYLLABLES[script_of(name)]
     parts = re.split(r"([ -])", name)
-    return f"{gender}:" + "".join(p if i % 2 else "".join(syllables[d.below(len(syllables))] for _ in range(max(2, min(4, len(p) // 2)))) + ends[gender][d.below(len(ends[gender]))] for i, p in enumerate(parts))
+    return f"{gender}:" + "".join(p if i % 2 else "".join(syllables[d.below(len(syllables))] for _ in range(max(2, min(4, len(p) // 2)) + draw // WIDEN)) + ends[gender][d.below(len(ends[gender]))] for i, p in enumerate(parts))
 
 
 def written(kind: str, new: str, old: str) -> str:
@@ -228,7 +233,7 @@ def redrawn(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     for draw in range(MAX_DRAWS):
         drawn = waiting.select("kind", "norm", F.lit(draw).alias("draw")).mapInArrow(_draws(key), schema)
         drawn = staged(drawn.join(entities.select("kind", F.col("norm").alias("new"), F.lit(True).alias("real")), ["kind", "new"], "left").select("kind", "norm", "draw", "new", "real"), "drawn")
-        free = drawn.where("real IS NULL")
+        free = drawn.where("real IS NULL") if draw < WAIVE else drawn
         if taken is not None:
             free = free.join(taken.select("kind", "new"), ["kind", "new"], "left_anti")
         first = free.groupBy("kind", "new").agg(F.min("norm").alias("norm"))

@@ -29,7 +29,6 @@ ALPHA = 0.85
 ROUNDS = 10
 TOPICS = 8
 SEED = "mix-1"
-_HEX = "0123456789abcdef"
 
 
 def token_count(text: Column) -> Column:
@@ -38,12 +37,15 @@ def token_count(text: Column) -> Column:
 
 
 def topic_of(text: Column, topics: int = TOPICS) -> Column:
-    """A topic by vocabulary: every different word of at least nine letters votes for one of the
-    topics by its hash; the most voted one, the first of equals, 'none' without such words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]{9,}"), F.lit(0)))
-    votes = F.transform(words, lambda w: F.pmod(F.instr(F.lit(_HEX), F.substring(F.md5(w), 1, 1)) - 1, F.lit(topics)))
+    """A topic by vocabulary: every different word of at least nine characters votes for one of
+    the topics by its letters and length; the most voted one, the first of equals, 'none' without
+    such words."""
+    # the look-behind only spares tries within words
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![^ \t\n\r])[^ \t\n\r]{9,}"), F.lit(0)))
+    votes = F.transform(words, lambda w: F.pmod(F.ascii(w) * 31 + F.char_length(w) * 7 + F.ascii(F.substring(w, 3, 1)), F.lit(topics)))
     sizes = F.transform(F.sequence(F.lit(0), F.lit(topics - 1)), lambda t: F.struct(F.size(F.filter(votes, lambda v: v == t)).alias("n"), (-t).alias("t")))
-    return F.when(F.size(words) == 0, F.lit("none")).otherwise(F.concat(F.lit("topic"), (-F.array_max(sizes)["t"]).cast("string")))
+    best = F.aggregate(F.array(F.array_max(sizes)), F.lit(None).cast("string"), lambda _, m: F.when(m["n"] == 0, F.lit("none")).otherwise(F.concat(F.lit("topic"), (-m["t"]).cast("string"))))
+    return best
 
 
 def described(docs: DataFrame, topic: Column | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -89,15 +91,28 @@ def chance(seed: str, doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, seed: str = SEED, topic: Column | None = None, keep: list[str] | None = None) -> DataFrame:
-    """For every row: doc_id, text, source, lang, topic, tokens, weight, probability, kept; and
-    kept_<name> for the columns named in ``keep``."""
-    rows = described(docs, topic, keep)
+def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
+    """Raked weight and sampling probability of every cell of described rows, staged."""
     cells = staged(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     weights = staged(raked(cells, targets, alpha, rounds).drop("tokens"), "weights")
     top = weights.agg(F.max("weight")).first()[0] or 1.0
-    weights = weights.withColumn("probability", F.col("weight") / F.lit(float(top)))
-    rows = sized_join(rows, weights, list(DIMENSIONS))
+    return weights.withColumn("probability", F.col("weight") / F.lit(float(top)))
+
+
+def decisions(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, seed: str = SEED, topic: Column | None = None) -> DataFrame:
+    """For every row: doc_id, source, lang, topic, tokens, weight, probability, kept. Texts are
+    read once; what they come down to is staged."""
+    rows = described(docs, topic).withColumn("chance", chance(seed, F.col("doc_id"), F.col("text"))).drop("text")
+    rows = staged(rows, "described")
+    rows = sized_join(rows, probabilities(rows, targets, alpha, rounds), list(DIMENSIONS))
+    return rows.select("doc_id", *DIMENSIONS, "tokens", "weight", "probability", (F.col("chance") < F.col("probability")).alias("kept"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, seed: str = SEED, topic: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """As decisions, with the rows' text, and kept_<name> for the columns named in ``keep``. Texts
+    are read twice, so that they need not be joined."""
+    rows = described(docs, topic, keep)
+    rows = sized_join(rows, probabilities(rows, targets, alpha, rounds), list(DIMENSIONS))
     return rows.select("doc_id", "text", *DIMENSIONS, "tokens", "weight", "probability", *[f"kept_{c}" for c in keep or ()], (chance(seed, F.col("doc_id"), F.col("text")) < F.col("probability")).alias("kept"))
 
 
@@ -116,9 +131,9 @@ def oracle_sql(alpha: float = ALPHA, rounds: int = ROUNDS, topics: int = TOPICS,
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
          len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+'))::BIGINT AS tokens,
-         list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}]{{9,}}')) AS ws
+         list_distinct(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]{{9,}}')) AS ws
   FROM documents),
-votes AS (SELECT doc_id, text, source, lang, tokens, ws, list_transform(ws, lambda w: (instr('{_HEX}', md5(w)[1:1]) - 1) % {topics}) AS vs FROM words),
+votes AS (SELECT doc_id, text, source, lang, tokens, ws, list_transform(ws, lambda w: (ascii(w) * 31 + length(w) * 7 + ascii(w[3:3])) % {topics}) AS vs FROM words),
 d AS (SELECT doc_id, text, source, lang, tokens,
          CASE WHEN len(ws) = 0 THEN 'none' ELSE 'topic' || (-(list_max(list_transform(range({topics}), lambda t: {{'n': len(list_filter(vs, lambda v: v = t)), 't': -t}}))).t)::VARCHAR END AS topic
   FROM votes),

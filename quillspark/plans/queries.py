@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import domains, graph, search, stats, upsert
+from ..operators import curation, domains, graph, search, stats, upsert
 from ..sources import importers
 from . import views
 from .views import EDGES_SQL, ENTITY_THOUGHTS_SQL, LINKS_SQL, THOUGHTS_SQL, table
@@ -505,3 +505,43 @@ def hourly_counts(spark, d):
 @query(f"SELECT e.vec_id, round({_DOT('e.embedding', 'e.embedding')}, 6) AS norm2 FROM embeddings e")
 def vector_norms(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))
+
+
+# ---- curation ---------------------------------------------------------------------------------
+
+
+@query(f"""WITH t AS (SELECT doc_id AS item, coalesce(text, '') AS content, source FROM documents), f AS (SELECT item, {_FULL} AS fingerprint, {_TRIMMED} AS body FROM t), k AS (SELECT DISTINCT {_FULL} AS fp FROM (SELECT coalesce(text, '') AS content FROM benchmark))
+SELECT min(item) AS item, fingerprint FROM f WHERE body <> '' AND fingerprint NOT IN (SELECT fp FROM k) GROUP BY fingerprint""")
+def capture_batch(spark, d):
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("item"), F.coalesce("text", F.lit("")).alias("content"), F.lit("note").alias("type"), F.col("source").alias("classification"))
+    known = table(spark, d, "benchmark").select(text.fingerprint(F.col("text")).alias("fingerprint"))
+    return curation.capture(items, known)[0].select("item", "fingerprint")
+
+
+@query(f"""WITH {LINKS_SQL}, p AS (SELECT DISTINCT least(from_entity_id, to_entity_id) AS a, greatest(from_entity_id, to_entity_id) AS b FROM ({EDGES_SQL.split("AS (", 1)[1][:-1]}) WHERE relation <> 'N')
+SELECT p.a, p.b, count(y.thought_id) AS grounding FROM p LEFT JOIN links x ON x.entity_id = p.a LEFT JOIN links y ON y.entity_id = p.b AND y.thought_id = x.thought_id GROUP BY p.a, p.b""")
+def grounded_pairs(spark, d):
+    return curation.grounded(curation.distinct_pairs(views.edges(spark, d), "N"), views.links(spark, d))
+
+
+@query(f"""WITH {LINKS_SQL}, n AS (SELECT entity_id, thought_id, row_number() OVER (PARTITION BY entity_id ORDER BY o_orderdate DESC, thought_id DESC) AS r FROM links JOIN orders ON o_orderkey = thought_id) SELECT entity_id, thought_id FROM n WHERE r = 1""")
+def newest_link(spark, d):
+    return curation.newest_link(views.links(spark, d), views.entity_thoughts(spark, d), views.entities(spark, d))
+
+
+@query("""WITH w AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY r) AS latest FROM w WHERE r <= 5 GROUP BY user_id""")
+def with_latest_children(spark, d):
+    events = table(spark, d, "events")
+    rows = curation.with_latest(events.select("user_id").distinct(), events, "user_id", "ts", ["event_id"], 5)
+    return rows.select("user_id", F.array_join(F.transform("latest", lambda s: s["event_id"].cast("string")), ",").alias("latest"))
+
+
+@query("SELECT o_custkey AS job_id, count(*) FILTER (o_orderstatus = 'F') AS added, count(*) FILTER (o_orderstatus = 'O') AS skipped, count(*) AS items FROM orders GROUP BY o_custkey")
+def ingest_job_counts(spark, d):
+    action = F.when(F.col("o_orderstatus") == "F", "add").when(F.col("o_orderstatus") == "O", "skip").otherwise("append_evidence")
+    return curation.job_counts(table(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), action.alias("action"))).select("job_id", "added", "skipped", "items")
+
+
+@query()
+def conversation_findings(spark, d):
+    return curation.findings(table(spark, d, "conversations"))

@@ -71,7 +71,7 @@ def sessions(rows: DataFrame, key: str, ts: str, gap_seconds: int = 4 * 3600) ->
 
 def vault(spark: SparkSession, path: str) -> DataFrame:
     """Markdown notes: title, front matter lines, links, tags, chunks and date."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(path).select("value", "_metadata.file_path", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file_name"), "_metadata.file_modification_time")
+    rows = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(path, wholetext=True).select("value", "_metadata.file_path", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file_name"), "_metadata.file_modification_time")
     front = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
     body = F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "")
     found = F.coalesce(F.try_to_date(F.nullif(F.regexp_extract(front, r"(?m)^date:\s*(\d{4}-\d{2}-\d{2})", 1), F.lit(""))), F.try_to_date(F.nullif(F.regexp_extract("file_name", r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))), F.to_date("file_modification_time"))
@@ -80,7 +80,7 @@ def vault(spark: SparkSession, path: str) -> DataFrame:
 
 def script_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of an exported script file: the array after the first bracket."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.explode(F.from_json(F.expr("substring(value, instr(value, '['))"), f"array<{schema}>")).alias("r")).select("r.*")
 
 

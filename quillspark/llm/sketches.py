@@ -30,22 +30,32 @@ CELLS = 8
 TABLES = 3
 ROUNDS = 10
 #: Differences that a group should hold on average when a sketch is made larger.
-PER_GROUP = 6
-MAX_GROUPS = 1024
+PER_GROUP = 11
+MAX_GROUPS = {1: 1024, 2: 256}
 #: Documents of a bucket of the order by doc_id, on average.
 BUCKET_ROWS = 1024
-#: Where paragraphs end: at line ends, and after a sentence's last mark.
-ENDS = r"\s*\n\s*|(?<=[.!?])\s+"
+#: Where paragraphs end: after a line end or a sentence's last mark.
+ENDS = r"(?<=[.!?\n])"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+KEYS = "array<bigint>"
+CELL_LIST = "array<struct<n:bigint,k:bigint,x:bigint>>"
+SIGNED = "array<struct<k:bigint,s:bigint>>"
+STATE = f"struct<cells:{CELL_LIST},found:{SIGNED},more:boolean>"
+
+
+def let(value: Column, body: Callable[[Column], Column], kind: str) -> Column:
+    """``body``, of type ``kind``, of a value that is computed once.
+
+    A fold over one element rather than an element of a mapped array: Spark knows a fold's type
+    from its start, while an access asks the whole nested expression for it at every row.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, v: body(v))
 
 
 def digests(text: Column) -> Column:
     """The different paragraphs' digests."""
-    parts = F.filter(F.split(text, ENDS), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ENDS), lambda p: F.trim(p, F.lit(" \t\r\n"))), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -55,7 +65,7 @@ def _check(key: Column) -> Column:
 
 def _place(key: Column, table: int, level: int) -> Column:
     """The key's cell in a subtable; other bits of the key choose it at every level."""
-    return F.pmod(F.shiftrightunsigned(key, (21 * table + 5 * level) % 48), F.lit(CELLS).cast("bigint"))
+    return F.shiftrightunsigned(key, (21 * table + 5 * level) % 48).bitwiseAND(F.lit(CELLS - 1))
 
 
 def _cell(count: Column, key: Column, check: Column) -> Column:
@@ -82,24 +92,30 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(cells: Column, level: int = 0) -> Column:
     """struct(solved, found): the digests with the sign of the version that has them (k, s)."""
-    none = F.array().cast("array<struct<k:bigint,s:bigint>>")
+    none = F.array().cast(SIGNED)
 
     def step(state: Column, _: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["x"]))
         pure = F.array_distinct(F.transform(single, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("s"))))
 
         def without(pures: Column) -> Column:
-            def cell(c: Column, i: Column) -> Column:
-                table = F.floor(i / CELLS)
-                place = (i % CELLS).cast("bigint")
-                here = F.filter(pures, lambda p: F.when(table == 0, _place(p["k"], 0, level)).when(table == 1, _place(p["k"], 1, level)).otherwise(_place(p["k"], 2, level)) == place)
-                return F.aggregate(here, c, lambda a, p: _cell(a["n"] - p["s"], a["k"].bitwiseXOR(p["k"]), a["x"].bitwiseXOR(_check(p["k"]))))
+            full = F.transform(pures, lambda p: F.struct(p["k"].alias("k"), p["s"].alias("s"), _check(p["k"]).alias("x"), *[_place(p["k"], t, level).alias(f"p{t}") for t in range(TABLES)]))
 
-            return F.struct(F.transform(state["cells"], cell).alias("cells"), F.concat(state["found"], pures).alias("found"))
+            def cleaned(ps: Column) -> Column:
+                def table(t: int) -> Column:
+                    def cell(c: Column, i: Column) -> Column:
+                        return F.aggregate(ps, c, lambda a, p: F.when(p[f"p{t}"] == i, _cell(a["n"] - p["s"], a["k"].bitwiseXOR(p["k"]), a["x"].bitwiseXOR(p["x"]))).otherwise(a))
 
-        return let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(without(p)))
+                    return F.transform(F.slice(state["cells"], CELLS * t + 1, CELLS), cell)
 
-    start = F.struct(cells.alias("cells"), none.alias("found"))
+                return F.struct(F.concat(*[table(t) for t in range(TABLES)]).alias("cells"), F.concat(state["found"], pures).alias("found"), (F.size(pures) > 0).alias("more"))
+
+            return let(full, cleaned, STATE)
+
+        on = let(pure, lambda p: F.when(F.size(p) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("more"))).otherwise(without(p)), STATE)
+        return F.when(state["more"], on).otherwise(state)
+
+    start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("more"))
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(ROUNDS)),
         start,
@@ -123,7 +139,8 @@ def _estimate(cells: Column, a: Column, b: Column) -> Column:
 
 
 def _dealt(keys: Column, group: Column, groups: Column, level: int) -> Column:
-    return F.filter(keys, lambda k: F.shiftrightunsigned(F.xxhash64(k), 22 + 12 * level).bitwiseAND(groups - 1) == group)
+    """The keys of a group, by bits that don't choose cells at this level."""
+    return F.filter(keys, lambda k: F.shiftrightunsigned(k, {1: 50, 2: 34}[level]).bitwiseAND(groups - 1) == group)
 
 
 def differences(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
@@ -133,7 +150,7 @@ def differences(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Colum
     def larger(a: Column, b: Column, wanted: Column, level: int) -> Column:
         def group(groups: Column) -> Column:
             def one(g: Column) -> Column:
-                return let(F.struct(_dealt(a, g, groups, level).alias("a"), _dealt(b, g, groups, level).alias("b")), attempt)
+                return let(F.struct(_dealt(a, g, groups, level).alias("a"), _dealt(b, g, groups, level).alias("b")), attempt, KEYS)
 
             return F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), groups - 1), one))
 
@@ -144,14 +161,14 @@ def differences(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Colum
                 again = larger(p["a"], p["b"], size / 3, 2)
             else:  # digests that meet in all cells, at all sizes
                 again = F.concat(F.array_except(p["a"], p["b"]), F.array_except(p["b"], p["a"]))
-            return let(got, lambda g: F.when(g["solved"], keys(g["found"])).otherwise(again))
+            return let(got, lambda g: F.when(g["solved"], keys(g["found"])).otherwise(again), KEYS)
 
-        return let(_power(wanted, 2, MAX_GROUPS), group)
+        return let(_power(wanted, 2, MAX_GROUPS[level]), group, KEYS)
 
     def first(cells: Column) -> Column:
-        return let(peel(cells), lambda g: F.when(g["solved"], keys(g["found"])).otherwise(larger(a, b, _estimate(cells, a, b) / PER_GROUP, 1)))
+        return let(peel(cells), lambda g: F.when(g["solved"], keys(g["found"])).otherwise(larger(a, b, _estimate(cells, a, b) / PER_GROUP, 1)), KEYS)
 
-    return let(subtract(cells_a, cells_b), first)
+    return let(subtract(cells_a, cells_b), first, KEYS)
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
@@ -166,13 +183,14 @@ def written(cells: Column) -> Column:
     return F.base64(F.unhex(F.array_join(one, "")))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame] = lambda rows: rows, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, text and next_text: the text of the next row in descending doc_id (after the last,
     the first).
 
     The order is dealt into buckets of neighbouring ids. To each bucket a mark is added that
     carries the first text of the next bucket, so a window within buckets sees every successor;
-    the texts move once.
+    the texts move once. ``derive`` may add columns that depend on the text; they are computed once
+    for every text, and come with next_<name> as well.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
@@ -193,9 +211,13 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     heads = heads.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text")).alias("head"))
     marks = staged(follows.join(heads.withColumnRenamed("bucket", "after"), "after").select("bucket", F.col("head.text").alias("text")), "marks")
 
-    rows = docs.select(bucket, "doc_id", "text", F.lit(1).alias("real")).unionByName(marks.select("bucket", F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(0).alias("real")))
+    own = docs.select(bucket, "doc_id", "text", F.lit(1).alias("real"))
+    marks = marks.select("bucket", F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(0).alias("real"))
+    rows = derive(own).unionByName(derive(marks))
+    carried = [c for c in rows.columns if c not in ("bucket", "doc_id", "real")]
     order = Window.partitionBy("bucket").orderBy(F.desc("real"), F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")), F.desc("text"))
-    return rows.withColumn("next_text", F.lead("text").over(order)).where("real = 1").select("doc_id", "text", "next_text")
+    after = F.lead(F.struct(*carried)).over(order).alias("after")
+    return rows.select("doc_id", "real", *carried, after).where("real = 1").select("doc_id", *carried, *[F.col(f"after.{c}").alias(f"next_{c}") for c in carried])
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -208,9 +230,12 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, text, edited (its edited version), next_text; the sketches ``cells``
     and ``edited_cells``; the recovered ``edited_differs`` and ``next_differs``; and the
     likenesses near_edited and near_next."""
-    rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("*", digests(F.col("text")).alias("keys"), digests(F.col("edited")).alias("edited_keys"), digests(F.col("next_text")).alias("next_keys"))
-    rows = rows.select("*", *[sketch(F.col(f"{p}keys")).alias(f"{p}cells") for p in ("", "edited_", "next_")])
+    def sketched(rows: DataFrame, of: str = "text", prefix: str = "") -> DataFrame:
+        rows = rows.withColumn(f"{prefix}keys", digests(F.col(of)))
+        return rows.withColumn(f"{prefix}cells", sketch(F.col(f"{prefix}keys")))
+
+    rows = with_next(docs, sketched).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = sketched(rows, "edited", "edited_")
     pairs = [differences(F.col("keys"), F.col(f"{p}keys"), F.col("cells"), F.col(f"{p}cells")).alias(f"{p}differs") for p in ("edited_", "next_")]
     return rows.select("*", *pairs).select(
         "*",

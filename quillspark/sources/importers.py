@@ -165,3 +165,35 @@ def export_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Back up tables as JSON lines, a folder each."""
     for name, df in tables.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def since(window: str, as_of: Column) -> Column | None:
+    """The start of a named window (24h, 7d, 30d, 90d, 1y); None for all."""
+    days = {"24h": 1, "7d": 7, "30d": 30, "90d": 90, "1y": 365}
+    return None if window == "all" else as_of - F.make_dt_interval(F.lit(days[window]))
+
+
+def kept_memories(rows: DataFrame, dropped: list[str]) -> DataFrame:
+    """Rows in which none of the flag columns (written as text) is set."""
+    for c in dropped:
+        rows = rows.where(~F.coalesce(flags(F.col(c)), F.lit(False)))
+    return rows
+
+
+def profile_sentences(profile: Column) -> Column:
+    """A map of lists as 'Label: a, b.' sentences in the order of the labels."""
+    label = lambda k: F.initcap(F.replace(k, F.lit("_"), F.lit(" ")))
+    entries = F.array_sort(F.map_entries(F.map_filter(profile, lambda _, v: F.size(v) > 0)))
+    return F.array_join(F.transform(entries, lambda e: F.concat(label(e["key"]), F.lit(": "), F.array_join(e["value"], ", "), F.lit("."))), " ")
+
+
+def chat_rows(rows: DataFrame) -> DataFrame:
+    """Turns (conv_id, sender, message, date_text, millis) with normal roles and times, in order."""
+    role = F.when(F.lower("sender").isin("human", "user"), "user").when(F.lower("sender").isin("assistant", "bot", "model", "ai"), "assistant").otherwise("system")
+    rows = rows.select("conv_id", role.alias("role"), F.col("message").alias("text"), number_or_date(F.col("date_text"), F.col("millis")).alias("at"))
+    return rows.withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("at"), "role", "text")) - 1)
+
+
+def junk_reason(title: Column, answer: Column, patterns: dict[str, str], least: int = 400) -> Column:
+    """The first reason why a search is not kept: a junk title by pattern, or a short answer."""
+    return F.coalesce(*[F.when(title.rlike(p), F.lit(n)) for n, p in patterns.items()], F.when(F.char_length(answer) < least, "short_answer"))

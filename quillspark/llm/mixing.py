@@ -43,9 +43,14 @@ def topic_of(text: Column, topics: int = TOPICS) -> Column:
     # the look-behind only spares tries within words
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![^ \t\n\r])[^ \t\n\r]{9,}"), F.lit(0)))
     votes = F.transform(words, lambda w: F.pmod(F.ascii(w) * 31 + F.char_length(w) * 7 + F.ascii(F.substring(w, 3, 1)), F.lit(topics)))
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(topics - 1)), lambda t: F.struct(F.size(F.filter(votes, lambda v: v == t)).alias("n"), (-t).alias("t")))
-    best = F.aggregate(F.array(F.array_max(sizes)), F.lit(None).cast("string"), lambda _, m: F.when(m["n"] == 0, F.lit("none")).otherwise(F.concat(F.lit("topic"), (-m["t"]).cast("string"))))
-    return best
+
+    def winner(votes: Column) -> Column:
+        sizes = F.transform(F.sequence(F.lit(0), F.lit(topics - 1)), lambda t: F.struct(F.size(F.filter(votes, lambda v: v == t)).alias("n"), (-t).alias("t")))
+        return F.aggregate(F.array(F.array_max(sizes)), F.lit(None).cast("string"), lambda _, m: F.when(m["n"] == 0, F.lit("none")).otherwise(F.concat(F.lit("topic"), (-m["t"]).cast("string"))))
+
+    # a fold over one element binds the votes: named within the other functions they would be
+    # counted again for every topic
+    return F.aggregate(F.array(votes), F.lit(None).cast("string"), lambda _, v: winner(v))
 
 
 def described(docs: DataFrame, topic: Column | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -108,23 +108,26 @@ class Featurizer:
         ]
 
 
-def _features(lexicon: list[str]):
+def _features(lexicon: list[str], keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Featurizer(lexicon)
         for got in batches:
-            rows = []
+            rows, texts = [], got.column(got.num_columns - 1)
             for i in range(got.num_rows):
-                value = got.column(1)[i].as_buffer()
+                value = texts[i].as_buffer()
                 rows.append(of(b"" if value is None else value.to_pybytes()))
-            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "features"])
+            kept = got.columns if keep_text else got.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, pa.list_(pa.float64()))], names=[*got.schema.names[: len(kept)], "features"])
 
     return run
 
 
-def featured(docs: DataFrame, lexicon: list[str]) -> DataFrame:
-    """doc_id and the array of FEATURES for every row."""
-    of = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_features(lexicon), f"doc_id {of}, features array<double>")
+def featured(docs: DataFrame, lexicon: list[str], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The named columns (text last) and the array of FEATURES for every row."""
+    own = docs.select(*[c for c in columns if c != "text"], F.col("text").cast("string").alias("text"))
+    kept = own if "text" in columns else own.drop("text")
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in kept.dtypes)
+    return own.mapInArrow(_features(lexicon, "text" in columns), f"{schema}, features array<double>")
 
 
 def fold(doc_id: Column) -> Column:
@@ -184,16 +187,15 @@ class Model:
     def __init__(self, lexicon: list[str], trees=None, calibration=None):
         self.lexicon, self.trees, self.calibration = lexicon, trees, calibration
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id and score for every row."""
-        rows = featured(docs, self.lexicon)
+    def score(self, docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """The named columns and the score of every row."""
+        rows = featured(docs, self.lexicon, columns)
         if self.trees is None:
-            return rows.select("doc_id", F.least(F.lit(1.0), 10 * F.col("features")[1]).alias("score"))
-        found = _raw(self.trees, rows)
-        found = self.calibration.transform(found)
+            return rows.select(*columns, F.least(F.lit(1.0), 10 * F.col("features")[1]).alias("score"))
+        found = self.calibration.transform(_raw(self.trees, rows))
         # within a step of the calibration the trees' own order decides
         score = 0.999 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))) + 0.001 * F.col("raw")
-        return found.select("doc_id", score.alias("score"))
+        return found.select(*columns, score.alias("score"))
 
 
 def _raw(trees, rows: DataFrame) -> DataFrame:

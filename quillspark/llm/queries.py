@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, pii, secrets, simhash, sketches, toxicity, warc
+from . import embeddings, language, mixing, packing, pii, secrets, simhash, sketches, toxicity, warc
 from .common import scratch_path
 
 
@@ -25,6 +25,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+    return found.withColumn("probability", F.round("probability", 6))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
     base = [r.kind for r in secrets.BASE_RULES]
@@ -86,6 +91,7 @@ def op10_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import common, embeddings, mixing, packing, pii, queries, secrets, simhash, sketches, toxicity, warc
+from quillspark.llm import common, embeddings, language, mixing, packing, pii, queries, secrets, simhash, sketches, toxicity, warc
 from quillspark.llm.components import components
 
 from ..compare import same
@@ -144,6 +144,77 @@ def test_trigram_queries():
             assert clause and all(clause)
 
 
+# ---- languages ----------------------------------------------------------------------------------
+
+
+def plain_bucket(t):
+    a, b, c = ((ord(x) * k) & 0xFFFFFFFF for x, k in zip(t, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)))
+    h = a ^ b ^ c
+    h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+    return (h ^ h >> 13) & 16383
+
+
+def plain_trigrams(text):
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    line = f" {' '.join(words)} " if words else ""
+    return [plain_bucket(line[i : i + 3]) for i in range(len(line) - 2)]
+
+
+def test_languages_match_brute_force(spark):
+    vocabulary = {"de": "der die und nicht straße über auch für".split(), "en": "the and with this house over also for".split(), "fr": "le la et être maison déjà aussi pour".split()}
+    r = random.Random(3)
+
+    def text(lang, n):
+        return " ".join(r.choice(vocabulary[lang]) for _ in range(n))
+
+    train = [(i, text(x, 40), y) for i, (x, y) in enumerate([("de", "de"), ("en", "EN-us"), ("fr", "fr"), ("de", "de"), ("en", "en")] * 4)] + [(90, None, "de"), (91, "x", None), (92, "x", "")]
+    pages, shown = [], []
+    for i in range(60):
+        lang, site = r.choice(sorted(vocabulary)), r.choice(["a.example.com", "b.example.de", "C.example.fr:80", "d.ch", None])
+        said, body = r.choice([lang, lang, "en", None, "xx"]), text(lang, r.choice([0, 1, 3, 30]))
+        tag = f'<html class="x" lang="{said}-X">' if said else "<html>"
+        pages.append((i // 2, f"https://{site}/p{i}" if site else "no address", f"{tag}<script>the and</script><nav>{text('en', 9)}</nav><!-- the --><p>{body} &amp; </p>"))
+        own = body if len(re.findall(r"[^\W\d_]", body)) >= 20 else None
+        shown.append((site.lower().split(":")[0] if site else None, said, own if own is not None else f"{pages[-1][2].split('<nav>')[1].split('</nav>')[0]} {body}"))
+    pages += [(None, None, None), (70, "http://d.ch/", ""), (71, "//u@d.ch", "<p>12")]
+    shown += [(None, None, ""), ("d.ch", None, ""), ("d.ch", None, "")]
+
+    langs = ["de", "en", "fr"]
+    count = {x: [0.5] * 16384 for x in langs}
+    for _, t, lang in train:
+        if t and lang:
+            for b in plain_trigrams(t):
+                count[lang.lower()[:2]][b] += 1
+    country = {"de": ["de"], "fr": ["fr"], "ch": ["de", "fr"]}
+
+    def told(named, right):
+        named = [x for x in named if x in langs]
+        return [np.log(right / len(named)) if x in named else np.log((1 - right) / (3 - len(named))) for x in langs] if named else [0.0] * 3
+
+    evidence = []
+    for site, said, t in shown:
+        grams = plain_trigrams(t)
+        weight = min(len(grams) / 3, 100) / len(grams) if grams else 0
+        e = np.array([weight * sum(np.log(count[x][b] / sum(count[x])) for b in grams) for x in langs])
+        evidence.append(e + told([said], 0.9) + told(country.get((site or "").split(".")[-1], []), 0.7))
+    shares = [np.exp(e - e.max()) / np.exp(e - e.max()).sum() for e in evidence]
+    whole = (sum(shares) + 1) / (len(shares) + 3)
+    want = []
+    for i, (site, said, _) in enumerate(shown):
+        others = [s for j, s in enumerate(shares) if site and shown[j][0] == site and j != i]
+        score = evidence[i] + np.log((sum(others) + 8 * whole) / (len(others) + 8))
+        p = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        want.append((str(pages[i][0]), str(site), str(said), langs[int(p.argmax())], round(float(p.max()), 5)))
+
+    d = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    p = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = [(str(x.page_id), str(x.host), str(x.declared), x.lang, round(x.probability, 5)) for x in language.identify(p, d).collect()]
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-4
+    assert language.identify(p.limit(0), d).count() == 0
+    assert {x.lang for x in language.identify(p, d.limit(0)).collect()} == {None} and language.identify(p, d.limit(0)).count() == len(pages)
+
+
 # ---- embeddings ---------------------------------------------------------------------------------
 
 

@@ -46,7 +46,9 @@ class Entity(NamedTuple):
 
 
 _EMAIL = re.compile(r"(?<![\w.+-])[^\W_][\w.+-]{0,63}@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}(?![\w-])")
-_DIGITS = re.compile(r"(?<![\w+.(-])[+(]{0,2}\d[\d ().:-]{5,}\d(?![\w-])")
+#: Whole runs of all characters that the four patterns of numbers can match, so what surrounds a
+#: run decides in those patterns only. Seven characters are the shortest address.
+_DIGITS = re.compile(r"[+(]?\d[\d ().+-]{6,}")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)")
 _CARD = re.compile(r"(?<!\d)[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\d)|(?<!\d)3[47]\d{2}([ -]?)\d{6}\2\d{5}(?!\d)")

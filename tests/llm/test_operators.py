@@ -366,6 +366,33 @@ def test_surrogates_keep_kind_and_distinctness(spark):
     assert pii.pseudonymized(d.limit(0)).count() == 0
 
 
+def test_numbers_within_other_text():
+    # what the patterns of numbers match by themselves is found whatever surrounds it
+    forms = {
+        "+1 (743) 555-3824x12": ("phone", "+1 (743) 555-3824"), "555-123-4567ext": ("phone", "555-123-4567"), "Tel.+49 30 1234567": ("phone", "+49 30 1234567"),
+        "No.4111 1111 1111 1111": ("card", "4111 1111 1111 1111"), "card_4111111111111111": ("card", "4111111111111111"),
+        "ssn123-45-6789": ("ssn", "123-45-6789"), "ip-10.1.2.3": ("ip", "10.1.2.3"), "10.0.0.1-": ("ip", "10.0.0.1"),
+    }
+    for text, (kind, part) in forms.items():
+        assert [(e.kind, text[e.start : e.end]) for e in pii.detect(text)] == [(kind, part)]
+    r = random.Random(5)
+    seen = 0
+    for _ in range(3000):
+        text = "".join(r.choice([*forms.values(), *(("", c) for c in "12 .-+()_x:")])[1] for _ in range(r.randrange(1, 12)))
+        inside = bytearray(len(text))
+        for run in pii._DIGITS.finditer(text):
+            inside[run.start() : run.end()] = b"\1" * len(run.group())
+            for pattern in (pii._IP, pii._SSN, pii._CARD, pii._PHONE):
+                lo, hi = run.span()
+                assert [m.span() for m in pattern.finditer(text, lo, hi)] == [m.span() for m in pattern.finditer(text) if lo <= m.start() < hi]
+        for pattern in (pii._IP, pii._SSN, pii._CARD, pii._PHONE):
+            for m in pattern.finditer(text):
+                if pattern is not pii._PHONE or len(re.sub(r"\D", "", m.group())) >= 7:
+                    seen += 1
+                    assert all(inside[m.start() : m.end()]), text
+    assert seen > 1000
+
+
 def test_surrogate_formats():
     for norm in ("4111111111111111", "378282246310005"):
         new = pii.surrogate(pii.KEY, "card", norm)

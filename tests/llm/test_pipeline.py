@@ -49,3 +49,11 @@ def test_stages(spark):
         per.setdefault(p.doc_id, [0, p.doc_tokens])[0] += p.length
     assert per and all(a == b for a, b in per.values())
     assert [n for n, _ in cp.STAGES] == ["toxicity", "simhash_near_dedup", "pii_surrogates", "source_mixing", "packing"]
+
+
+def test_one_row_of_each_group_stays(spark):
+    x, z, q = (prose(i, 60) for i in (1, 2, 3))
+    rows = [(3, x), (5, x), (1, z), (3, z), (7, q), (7, q), (None, q), (None, prose(4, 60)), (None, prose(4, 60)), (None, prose(5, 60))]
+    d = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, d, "").collect()), key=str)
+    assert got == sorted([(3, x), (1, z), (7, q), (None, rows[7][1]), (None, rows[9][1])], key=str)

@@ -21,8 +21,8 @@ in a fixed order, which either end can tell, so only sums and a spanning star of
 leave a task, never pairs.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link
-with nothing (n_links 0, their own component); so do vectors of another length than the most
-frequent one; repeated rows link with each other; a null vec_id has a null component unless it
+with nothing (n_links 0, their own component); vectors of different lengths do not link, so each
+length has a plan of its own; repeated rows link with each other; a null vec_id has a null component unless it
 reaches another; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -49,6 +49,7 @@ COUNTED, COUNT_RECALL = 16, 0.995
 MAX_TABLES = 24
 QUERY_BATCH = 256
 SEED = 20240229
+LINKS = "num bigint, root bigint, n bigint"
 
 
 class Plan:
@@ -213,6 +214,22 @@ def _compared(plan: Plan, kind: str):
     return run
 
 
+def _links(classes: DataFrame, plan: Plan, kind: str, cell: int) -> DataFrame:
+    """Rows of LINKS among classes of one length."""
+    parts = classes.select("num", "members", "vec")
+    schema = "tab int, cell bigint, num bigint, members bigint, vec binary"
+    held = parts.mapInArrow(_spread(plan, kind, False), schema)
+    asked = parts.mapInArrow(_spread(plan, kind, True), schema)
+    blocks = staged(held.groupBy("tab", "cell").agg(F.ceil(F.count("*") / (1.5 * cell)).cast("int").alias("blocks")), "blocks")
+    held = sized_join(held, blocks, ["tab", "cell"]).withColumn("part", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
+    asked = sized_join(asked, blocks, ["tab", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    order = ["tab", "cell", "part", "side", "num", "members", "vec"]
+    both = held.select(order).union(asked.select(order))
+    n = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * plan.tables << min(plan.cuts, 12))
+    both = both.repartition(n, "tab", "cell", "part").sortWithinPartitions("tab", "cell", "part", "side")
+    return staged(both.mapInArrow(_compared(plan, kind), LINKS), "found")
+
+
 def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, recall: float = RECALL, cell: int = CELL_VECTORS, seed: int = SEED) -> DataFrame:
     """vec_id, n_links (other vectors linked directly) and component_id (smallest vec_id reachable)
     for every row. No pair below ``least`` is linked; of those above, ``recall`` or more is found."""
@@ -222,25 +239,15 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, recall: flo
     column = F.col("embedding") if kind == "<f4" else F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", column.alias("embedding")).mapInArrow(_valid(kind), f"vec_id {types['vec_id']}, vec binary")
     rows = staged(rows, "vectors")
-    sizes = rows.where("vec IS NOT NULL").groupBy(F.octet_length("vec").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
-    bytes_ = sizes["bytes"] if sizes else 0
-    key = F.when(F.octet_length("vec") == bytes_, F.sha2("vec", 256)).alias("class")
+    key = F.sha2("vec", 256).alias("class")
     classes = rows.select("vec_id", "vec", key).where("class IS NOT NULL").groupBy("class")
     classes = staged(classes.agg(F.min("vec_id").alias("least"), F.count("*").alias("members"), F.min("vec").alias("vec")).withColumn("num", F.monotonically_increasing_id()), "classes")
-    plan = Plan(max(1, bytes_ // int(kind[-1])), classes.count(), least, recall, cell, seed)
 
-    parts = classes.select("num", "members", "vec")
-    schema = "tab int, cell bigint, num bigint, members bigint, vec binary"
-    held = parts.mapInArrow(_spread(plan, kind, False), schema)
-    asked = parts.mapInArrow(_spread(plan, kind, True), schema)
-    blocks = staged(held.groupBy("tab", "cell").agg(F.ceil(F.count("*") / (1.5 * cell)).cast("int").alias("blocks")), "blocks")
-    held = sized_join(held, blocks, ["tab", "cell"]).withColumn("part", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-    asked = sized_join(asked, blocks, ["tab", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    order = ["tab", "cell", "part", "side", "num", "members", "vec"]
-    both = held.select(order).union(asked.select(order))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * plan.tables << min(plan.cuts, 12))
-    both = both.repartition(n, "tab", "cell", "part").sortWithinPartitions("tab", "cell", "part", "side")
-    found = staged(both.mapInArrow(_compared(plan, kind), "num bigint, root bigint, n bigint"), "found")
+    found = spark.createDataFrame([], LINKS)
+    # a length with a single class has no links but within it
+    for size in classes.groupBy(F.octet_length("vec").alias("bytes")).count().where("count > 1").orderBy("bytes").collect():
+        plan = Plan(size["bytes"] // int(kind[-1]), size["count"], least, recall, cell, seed)
+        found = found.union(_links(classes.where(F.octet_length("vec") == size["bytes"]), plan, kind, cell))
 
     counts = staged(found.where("root IS NULL").groupBy("num").agg(F.sum("n").alias("n")), "counts")
     roots = staged(components(found.where("root IS NOT NULL").select(F.col("num").alias("a"), F.col("root").alias("b"))), "roots")

@@ -242,6 +242,19 @@ def test_embedding_links_match_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_of_every_length(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for dims, n in ((16, 60), (24, 40), (8, 1)):
+        v = rng.standard_normal((n, dims)).astype(np.float32)
+        v[1::4] = v[::4][: len(v[1::4])] * 2  # links of cosine 1
+        v[3::4] = v[2::4][: len(v[3::4])]  # equal vectors
+        rows += [(len(rows) + i, [float(x) for x in row]) for i, row in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embeddings.near_duplicates(df).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(100)} | {100: (0, 100)}
+
+
 # ---- SimHash ------------------------------------------------------------------------------------
 
 

@@ -172,22 +172,35 @@ def topic_pairs(topics: DataFrame) -> DataFrame:
     """Pairs of topics (id, name) whose normal forms are alike: equal, one a word of the other or
     within twice its length, or a typo apart.
 
-    Candidates share a normal word, a prefix or a suffix of three letters, or one lies in the other
-    as a word; every pair of the three rules that shares none of these is missed only if a typo
-    touches both ends.
+    No pair is missed, and names are looked up, not compared with all others. A contained name is
+    among the longer one's runs of words, or among its substrings of half its length or more. Names
+    a typo apart are equal after deleting, in each, as many letters as the typo has. A name's keys
+    grow with the square of its length.
     """
     norm = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " "))
     rows = topics.select("id", norm.alias("norm")).where("norm <> ''")
-    keys = F.array_distinct(F.concat(F.split("norm", " "), F.array(F.concat(F.lit("^"), F.left("norm", F.lit(3))), F.concat(F.lit("$"), F.right("norm", F.lit(3))))))
-    keyed = rows.select("id", "norm", F.explode(keys).alias("key"))
-    a, b = keyed.select(F.col("id").alias("a"), F.col("norm").alias("x"), "key"), keyed.select(F.col("id").alias("b"), F.col("norm").alias("y"), "key")
-    both = a.join(b, "key").where("a < b").drop("key").distinct()
-    longer, shorter = F.when(F.length("x") >= F.length("y"), F.col("x")).otherwise(F.col("y")), F.when(F.length("x") < F.length("y"), F.col("x")).otherwise(F.col("y"))
-    as_word = F.concat(F.lit(" "), longer, F.lit(" ")).contains(F.concat(F.lit(" "), shorter, F.lit(" ")))
-    part = (F.length(shorter) >= 3) & longer.contains(shorter) & (as_word | (F.length(longer) <= 2 * F.length(shorter)))
+    names = rows.select("norm").distinct().checkpoint()
+
+    runs = F.expr("""transform(flatten(transform(sequence(1, size(w)), i -> transform(sequence(1, size(w) - i + 1), n -> slice(w, i, n)))), r -> array_join(r, ' '))""")
+    substrings = F.expr("""flatten(transform(sequence(greatest(3, CAST(ceil(length(norm) / 2) AS int)), greatest(3, length(norm))),
+        n -> transform(sequence(1, greatest(1, length(norm) - n + 1)), i -> substring(norm, i, n))))""")
+    held = names.withColumn("w", F.split("norm", " ")).select(F.col("norm").alias("y"), F.explode(F.array_distinct(F.concat(runs, substrings))).alias("x"))
+    part = held.where("length(x) >= 3 AND x <> y").join(names.select(F.col("norm").alias("x")), "x").select("x", "y")
+
+    cut = lambda s: f"transform(sequence(1, length({s})), i -> concat(left({s}, i - 1), substring({s}, i + 1)))"
+    one = f"concat(array(norm), {cut('norm')})"
+    two = f"concat({one}, flatten(transform({cut('norm')}, v -> {cut('v')})))"
+    # a name of 8 letters may have one of 10, and so two typos
+    keys = F.expr(f"array_distinct(CASE WHEN length(norm) >= 8 THEN {two} ELSE {one} END)")
+    short = names.where("length(norm) BETWEEN 4 AND 25").select("norm", F.explode(keys).alias("key"))
+    typo = short.withColumnRenamed("norm", "x").join(short.withColumnRenamed("norm", "y"), "key").where("x < y").select("x", "y").distinct()
     d = F.levenshtein("x", "y")
-    typo = (F.length(longer) <= 25) & (d <= 2) & (d / F.length(longer) <= 0.2)
-    return both.where((F.col("x") == F.col("y")) | part | typo).select("a", "b")
+    typo = typo.where((d <= 2) & (d / F.greatest(F.length("x"), F.length("y")) <= 0.2))
+
+    equal = names.select(F.col("norm").alias("x"), F.col("norm").alias("y"))
+    alike = part.unionByName(typo).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().unionByName(equal)
+    both = alike.join(rows.select(F.col("id").alias("i"), F.col("norm").alias("x")), "x").join(rows.select(F.col("id").alias("j"), F.col("norm").alias("y")), "y")
+    return both.where("i < j OR (i > j AND x <> y)").select(*pair("i", "j")).distinct()
 
 
 def components(edges: DataFrame, most: int = 30) -> DataFrame:

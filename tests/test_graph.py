@@ -86,3 +86,37 @@ def test_merge_entities(spark):
     new_links, new_edges = upsert.merge_entities(m, links, e)
     assert sorted(map(tuple, new_links.collect())) == [(1, 10), (2, 10)]
     assert [tuple(r) for r in new_edges.collect()] == [(10, 12, "r", 3)]
+
+
+def test_topic_pairs_match_all_pairs(spark):
+    import random
+    import re
+
+    r = random.Random(6)
+    names = ["able", "cables", "learning", "relearnings", "kubernetes", "cubernetas", "Able!", "a b", "ab", "tool", "the tool for all of the many teams", "x" * 24, "y" + "x" * 24, "", "--", "data", "data base", "my database"]
+    for _ in range(150):
+        w = "".join(r.choice("abc ") for _ in range(r.randrange(1, 14))) if r.random() < 0.5 else r.choice(names)
+        for _ in range(r.randrange(4)):
+            i = r.randrange(len(w) + 1)
+            w = r.choice([w[:i] + r.choice("abz ") + w[i:], w[:i] + w[i + 1 :], w[:i] + r.choice("abz") + w[i + 1 :]])
+        names.append(w)
+    norm = [" ".join(re.findall("[a-z0-9]+", n.lower())) for n in names]
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return row[-1]
+
+    def alike(x, y):
+        if not x or not y:
+            return False
+        short, long = sorted((x, y), key=len)
+        part = len(short) >= 3 and short in long and (f" {short} " in f" {long} " or len(long) <= 2 * len(short))
+        return x == y or part or (len(long) <= 25 and (d := distance(x, y)) <= 2 and d / len(long) <= 0.2)
+
+    want = sorted((i, j) for j in range(len(names)) for i in range(j) if alike(norm[i], norm[j]))
+    got = graph.topic_pairs(spark.createDataFrame(list(enumerate(names)), "id long, name string"))
+    assert sorted((x.a, x.b) for x in got.collect()) == want

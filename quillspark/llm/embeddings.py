@@ -1,20 +1,27 @@
 """Near-duplicate vectors by collision counting over one-dimensional projections.
 
-Vectors are turned by a random rotation, so that each coordinate is a projection on a random
-direction. For two vectors with cosine t the coordinates differ by a normal deviation that only
-depends on t, which calibrates all of the following at the least cosine to be linked:
-
-- tables: in each of a few tables the space is cut at zero along a few projections. A vector lies
-  in one cell; as a query it visits every cell that its window around each coordinate touches;
-- collisions: where a query meets the vectors of a cell, the projections are counted in which a
-  vector lies in the window centred at the query; pairs that reach the calibrated count go on;
+Vectors are turned by random rotations, so that each coordinate is a projection on a random
+direction. For two vectors with cosine t the coordinates differ by a deviation that only depends on
+t, which calibrates all of the following at the least cosine to be linked:
+
+- tables: the coordinates of a few projections, each in order, are cut at their medians, which gives
+  cells of even sizes wherever the vectors lie. A vector lies in one cell of a table; as a query it
+  visits every cell that its window around each coordinate touches;
+- collisions: the vectors of a cell are sorted along each of the counted projections. A query's
+  window is a run of places in every such order; the orders are counted in which a vector's place
+  lies in the run, and pairs that reach the calibrated count go on;
 - verification: their cosine is computed in double precision.
 
-The number of cuts grows with the logarithm of the number of vectors, so a cell keeps about
-CELL_VECTORS of them; the number of tables is the least that finds RECALL of the pairs at the
-threshold itself (closer pairs are found more surely). Vectors that are equal form a class and are
-compared once. Cells with more vectors are split into blocks, to each of which the cell's queries
-go, so no task holds more than a block.
+The plan is fitted on SAMPLE vectors (drawn by hash) and a partner at exactly the least cosine for
+each: medians, the number of tables that finds RECALL of these pairs (closer pairs are found more
+surely), and the least count. If MAX_TABLES are not enough, it raises. All vectors are indexed and
+all are queries.
+
+Windows of one projection hold a fixed part of all vectors, so counting over whole orders would be
+quadratic; cutting keeps cells at about CELL_VECTORS, for which a query visits 1 + P(window meets
+the cut) cells more with every doubling: copies grow with a power of about 0.4 of the vectors, work
+with one of 1.4. Cells with more vectors are split into blocks, to each of which the cell's queries go, so no
+task holds more than a block. Vectors that are equal form a class and are compared once.
 
 A pair may be met in several tables, and from both of its ends. It is counted at its first meeting
 in a fixed order, which either end can tell, so only sums and a spanning star of each block's links
@@ -42,8 +49,11 @@ from .components import components
 LEAST_COSINE = 0.9
 RECALL = 0.97
 CELL_VECTORS = 4096
-#: Half-width of the windows at cuts and of the counted windows, in deviations of a coordinate.
-CUT_WINDOW, COUNT_WINDOW = 0.5, 0.8
+#: Vectors of each length on which a plan is fitted, and pairs that are drawn from them.
+SAMPLE, PAIRS = 2048, 8192
+#: Half-width of the windows at cuts and of the counted windows, in deviations of the difference of
+#: two coordinates at the least cosine.
+CUT_WINDOW, COUNT_WINDOW = 1.12, 1.8
 #: Counted projections, and the part of true pairs whose count must pass.
 COUNTED, COUNT_RECALL = 16, 0.995
 MAX_TABLES = 24
@@ -53,33 +63,40 @@ LINKS = "num bigint, root bigint, n bigint"
 
 
 class Plan:
-    """Directions, cuts, tables and the least count for a number of vectors."""
+    """Directions, cuts, tables and the least count for a number of vectors like those of a sample."""
 
-    def __init__(self, dims: int, vectors: int, least: float = LEAST_COSINE, recall: float = RECALL, cell: int = CELL_VECTORS, seed: int = SEED):
-        self.dims, self.least = dims, least
+    def __init__(self, sample: np.ndarray, vectors: int, least: float = LEAST_COSINE, recall: float = RECALL, cell: int = CELL_VECTORS, seed: int = SEED):
+        self.dims, self.least = dims, least = sample.shape[1], least
         self.cuts = max(0, math.ceil(math.log2(max(1, vectors) / cell)))
-        rng = np.random.default_rng(seed)
-        scale = 1 / math.sqrt(dims)
-        self.cut_window, self.count_window = CUT_WINDOW * scale, COUNT_WINDOW * scale
-        # pairs at the threshold: two coordinates with correlation ``least``
-        n = 20_000
-        x = rng.standard_normal((n, MAX_TABLES, max(1, self.cuts))) * scale
-        y = least * x + math.sqrt(1 - least * least) * scale * rng.standard_normal(x.shape)
-        same = (x < 0) == (y < 0)
-        met = ((same | (np.abs(x) <= self.cut_window)).all(2) | (same | (np.abs(y) <= self.cut_window)).all(2)) if self.cuts else np.ones((n, MAX_TABLES), bool)
-        share = np.logical_or.accumulate(met, axis=1).mean(0)
-        self.tables = int(np.argmax(share >= recall)) + 1 if (share >= recall).any() else MAX_TABLES
         self.counted = min(COUNTED, dims)
-        d = np.abs(math.sqrt(2 - 2 * least) * scale * rng.standard_normal((n, self.counted)))
-        count = (d <= self.count_window).sum(1)
-        self.least_count = int(np.quantile(count, 1 - COUNT_RECALL))
-        turns = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-(self.counted + self.tables * self.cuts) // dims))]
+        rng = np.random.default_rng(seed)
+        turns = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-(self.counted + MAX_TABLES * self.cuts) // dims))]
         turned = np.concatenate(turns, axis=1)
         self.count_axes = turned[:, : self.counted]
-        self.cut_axes = turned[:, self.counted : self.counted + self.tables * self.cuts].reshape(dims, self.tables, self.cuts)
+        cut_axes = turned[:, self.counted : self.counted + MAX_TABLES * self.cuts].reshape(dims, MAX_TABLES, self.cuts)
+        spread = math.sqrt(2 - 2 * least) / math.sqrt(dims)
+        self.cut_window, self.count_window = CUT_WINDOW * spread, COUNT_WINDOW * spread
+
+        x = np.resize(sample, (PAIRS, dims))
+        aside = rng.standard_normal(x.shape)
+        aside -= (aside * x).sum(1, keepdims=True) * x
+        norm = np.linalg.norm(aside, axis=1, keepdims=True)
+        aside = np.divide(aside, norm, out=np.zeros_like(aside), where=norm > 1e-9)
+        y = least * x + math.sqrt(1 - least * least) * aside
+        count = (np.abs((x - y) @ self.count_axes) <= self.count_window).sum(1)
+        self.least_count = int(np.quantile(count, 1 - COUNT_RECALL))
+        self.cut_axes, self.medians = cut_axes, np.median(np.tensordot(sample, cut_axes, 1), axis=0)
+        x, y = self.coordinates(x), self.coordinates(y)
+        met = self.met(x, y) | self.met(y, x)
+        share = np.logical_or.accumulate(met, axis=1).mean(0)
+        if share[-1] * COUNT_RECALL < recall:
+            raise ValueError(f"{MAX_TABLES} tables find {share[-1]:.3f} of the pairs, {recall} are wanted")
+        self.tables = int(np.argmax(share * COUNT_RECALL >= recall)) + 1
+        self.cut_axes, self.medians = np.ascontiguousarray(cut_axes[:, : self.tables]), self.medians[: self.tables]
 
     def coordinates(self, unit: np.ndarray) -> np.ndarray:
-        return np.tensordot(unit, self.cut_axes, 1)  # vector, table, cut
+        """By vector, table and cut: how far from the median."""
+        return np.tensordot(unit, self.cut_axes, 1) - self.medians
 
     def met(self, query: np.ndarray, data: np.ndarray) -> np.ndarray:
         """By pair and table, whether the query's windows reach the cell of the data vector."""
@@ -135,14 +152,22 @@ class _Block:
 
     def __init__(self, plan: Plan, num: np.ndarray, members: np.ndarray, unit: np.ndarray):
         self.plan, self.num, self.members, self.unit = plan, num, members, unit
-        self.axes, self.cuts = np.ascontiguousarray((unit @ plan.count_axes).T.astype(np.float32)), plan.coordinates(unit)
+        self.cuts = plan.coordinates(unit)
+        axes = (unit @ plan.count_axes).T
+        order = np.argsort(axes, axis=1)
+        self.sorted = np.take_along_axis(axes, order, 1)
+        self.places = np.empty(axes.shape, np.uint16 if len(num) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, order, np.broadcast_to(np.arange(len(num), dtype=self.places.dtype), order.shape), 1)
 
     def links(self, table: int, num: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, data) of the block that meet here first and reach the cosine."""
-        plan, axes, cuts = self.plan, (unit @ self.plan.count_axes).T.astype(np.float32), self.plan.coordinates(unit)
+        plan, cuts = self.plan, self.plan.coordinates(unit)
         hits = np.zeros((len(num), len(self.num)), np.uint8)
-        for a, b in zip(axes, self.axes):
-            hits += np.abs(a[:, None] - b[None, :]) <= np.float32(plan.count_window * 1.0001)
+        for axis, inorder, places in zip((unit @ plan.count_axes).T, self.sorted, self.places):
+            lo = np.searchsorted(inorder, axis - plan.count_window).astype(places.dtype)
+            hi = np.searchsorted(inorder, axis + plan.count_window, "right").astype(places.dtype)
+            # unsigned: places before the run wrap around to large numbers
+            hits += places[None, :] - lo[:, None] < (hi - lo)[:, None]
         q, d = np.nonzero((hits >= plan.least_count) & (num[:, None] != self.num[None, :]))
         keep = np.zeros(len(q), bool)
         for lo in range(0, len(q), 1 << 16):
@@ -246,8 +271,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, recall: flo
     found = spark.createDataFrame([], LINKS)
     # a length with a single class has no links but within it
     for size in classes.groupBy(F.octet_length("vec").alias("bytes")).count().where("count > 1").orderBy("bytes").collect():
-        plan = Plan(size["bytes"] // int(kind[-1]), size["count"], least, recall, cell, seed)
-        found = found.union(_links(classes.where(F.octet_length("vec") == size["bytes"]), plan, kind, cell))
+        same = classes.where(F.octet_length("vec") == size["bytes"])
+        sample = [bytes(r.vec) for r in same.orderBy(F.xxhash64("class")).limit(SAMPLE).select("vec").collect()]
+        found = found.union(_links(same, Plan(_units(sample, kind), size["count"], least, recall, cell, seed), kind, cell))
 
     counts = staged(found.where("root IS NULL").groupBy("num").agg(F.sum("n").alias("n")), "counts")
     roots = staged(components(found.where("root IS NOT NULL").select(F.col("num").alias("a"), F.col("root").alias("b"))), "roots")

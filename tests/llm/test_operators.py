@@ -242,6 +242,22 @@ def test_embedding_links_match_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_on_shifted_and_clustered_vectors(spark):
+    rng = np.random.default_rng(6)
+    shifted = rng.standard_normal((1500, 24)) + 1.5  # far from the origin, all on one side
+    centres = rng.standard_normal((12, 24))
+    clustered = centres[rng.integers(0, 12, 1500)] + 0.45 * rng.standard_normal((1500, 24))
+    for base in (shifted, clustered):
+        u = base / np.linalg.norm(base, axis=1, keepdims=True)
+        near = u @ u.T >= 0.9
+        np.fill_diagonal(near, False)
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+        got = np.array([r.n_links for r in embeddings.near_duplicates(rows, cell=128).orderBy("vec_id").collect()])
+        assert near.sum() > 500 and (got <= near.sum(1)).all() and got.sum() >= 0.95 * near.sum()
+    with pytest.raises(ValueError):
+        embeddings.Plan(u, 1 << 40, recall=0.9999, cell=1)
+
+
 def test_embedding_links_of_every_length(spark):
     rng = np.random.default_rng(4)
     rows = []
@@ -299,6 +315,33 @@ def test_simhash_components_match_brute_force(spark):
     assert simhash.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_similar_documents_match_brute_force(spark):
+    texts = [None, "", "  \n", "one", "One", "two words", "two words three"]
+    for k in range(40):
+        w = prose(k, 120 + k).split()
+        texts.append(" ".join(w))
+        for edits in (1, 2, 3, 5, 8):  # similarities from about 0.92 to 0.5
+            v = list(w)
+            for at in range(edits):
+                v[10 + at * 13] = f"edit{at}"
+            texts.append(" ".join(v))
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+
+    def alike(i, j):
+        both = len(sets[i] & sets[j])
+        return sets[i] == sets[j] or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) > 0
+
+    want = reachable(len(texts), alike)
+    for hot in (200_000, 3):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(spark, texts, extra=True), hot_anchor=hot).collect()}
+        same = sum(got[i] == want[i] for i in range(len(texts)))
+        assert same >= 0.97 * len(texts) and all(got[i] >= want[i] for i in range(len(texts)))
+    twice = docs(spark, texts[:8]).union(docs(spark, texts[:8])).withColumn("doc_id", F.nullif("doc_id", F.lit(3)))
+    got = simhash.similar_documents(twice).collect()
+    assert len(got) == 16 and {r.component_id for r in got if r.doc_id is None} == {4}
+    assert simhash.similar_documents(docs(spark, texts).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("length, radius_words", [(31, 16), (15, 8)])
 def test_anchors_cover(length, radius_words):
     x = np.random.default_rng(0).integers(0, 1 << length, 200)

@@ -18,6 +18,7 @@ the class has no other; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -38,20 +39,40 @@ HOT_ANCHOR = 200_000
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """64-bit SimHash: a bit is set if it is in over half of the shingles' hashes."""
+#: 64-bit words of the wide fingerprint.
+WIDE = 4
+
+
+def _mixed(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes as rows of ``width`` words: the hash itself, then words mixed from it."""
+    out = [h]
+    for k in range(1, width):
+        x = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ x >> np.uint64(31))
+    return np.stack(out, 1)
+
+
+def wide_fingerprint(text: bytes, words: int = 3, width: int = 1) -> np.ndarray:
+    """SimHash of ``width`` 64-bit words: a bit is set if it is in over half of the shingles' hashes."""
     w = text.lower().split()
     if not w:
-        return 0
+        return np.zeros(width, np.uint64)
     n = max(1, len(w) - words + 1)
-    votes = np.zeros(64, np.int64)
+    votes = np.zeros(64 * width, np.int64)
     for lo in range(0, n, CHUNK):
         part = w[lo : min(lo + CHUNK, n) + words - 1]
         m = min(CHUNK, n - lo)
         shingles = map(b" ".join, zip(*(part[k : k + m] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, m)
-        votes += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
+        votes += np.unpackbits(_mixed(h, width).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """64-bit SimHash."""
+    return int(wide_fingerprint(text, words)[0])
 
 
 def _prints(words: int):
@@ -211,3 +232,155 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, h
     least = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = staged(sized_join(rooted.select("fp", "root"), least, ["root"]).select("fp", "component_id"), "named")
     return sized_join(prints, named, ["fp"]).select("doc_id", "fp", "component_id")
+
+
+# ---- links by similarity ----------------------------------------------------------------------
+
+
+def bits_at(similarity: float, width: int = WIDE) -> int:
+    """Expected number of differing bits of two shingle sets of this Jaccard similarity: sets of one
+    size have the cosine 2 j / (1 + j), and a bit differs with probability angle / pi."""
+    return round(64 * width * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    for value in column:
+        raw = value.as_buffer()
+        yield raw.to_pybytes() if raw is not None else b""
+
+
+def _wide_prints(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            fps = [wide_fingerprint(t, words, WIDE).tobytes() for t in _texts(got.column(2))]
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(fps, pa.binary())], names=["doc_id", "text_hash", "fp"])
+
+    return run
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the different shingles, in order; of a shorter text the whole sequence."""
+    w = text.lower().split()
+    if not w:
+        return np.array([], np.uint64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))), np.uint64))
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            sets = [shingle_hashes(t, words).view(np.int64) for t in _texts(got.column(1))]
+            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["num", "hashes"])
+
+    return run
+
+
+def _wide(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
+
+
+def _piece_keys(level: int):
+    """Anchors of the four 16-bit pieces of a word: code words of length 15 within radius 2, at which
+    fingerprints meet that differ in at most two bits of a piece, so all with at most 11 bits of the
+    word and nearly all with 15."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            key, word = got.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _wide(got.column(2))[:, level]
+            for piece in range(4):
+                rows, code = anchors((word >> np.uint64(16 * piece) & np.uint64(0x7FFF)).astype(np.int64), 15)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows] << 17 | piece << 15 | code), got.column(1).take(take), got.column(2).take(take)], names=["key", "num", "fp"])
+
+    return run
+
+
+def _tree(num: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a shortest spanning forest over distances of at most ``most`` bits: the nearest
+    member that is not reached yet comes next, so pairs are never listed."""
+    far = 64 * WIDE + 1
+    left, by, near, a, b = np.arange(1, len(num)), np.zeros(len(num) - 1, np.int64), np.full(len(num) - 1, far, np.int32), [], []
+    at = 0
+    while len(left):
+        d = np.bitwise_count(fp[left] ^ fp[at]).sum(1, dtype=np.int32)
+        closer = d < near
+        near[closer], by[closer] = d[closer], at
+        k = int(near.argmin())
+        if near[k] <= most:
+            a.append(left[k])
+            b.append(by[k])
+        at = left[k]
+        left, by, near = np.delete(left, k), np.delete(by, k), np.delete(near, k)
+    a, b = num[np.array(a, np.int64)], num[np.array(b, np.int64)]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _compare_wide(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last = None
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            a, b = _tree(*map(np.concatenate, zip(*held)), most) if held else ([], [])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for got in batches:  # sorted by key: the last key of a batch may go on in the next
+            key, num, fp = got.column(0).to_numpy(zero_copy_only=False), got.column(1).to_numpy(zero_copy_only=False), _wide(got.column(2))
+            cuts = np.flatnonzero(np.diff(key)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                if lo == hi:
+                    continue
+                if key[lo] != last:
+                    yield from flushed()
+                    held, last = [], key[lo]
+                held.append((num[lo:hi], fp[lo:hi]))
+        yield from flushed()
+
+    return run
+
+
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, slack: int = 9, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable over links) for every row.
+
+    Texts link if the Jaccard similarity of their sets of ``words``-word shingles is ``least`` or
+    more. Candidates differ in at most the bits expected at that similarity and ``slack`` more (1.5
+    deviations) of a 256-bit SimHash. A pair meets at an anchor of one of four pieces of the first 64
+    bits, which loses none with up to 11 differing bits there and about one in forty at similarity
+    0.8; anchors with more members than ``hot_anchor`` are split by those of the next 64 bits. Each
+    anchor's candidates are its shortest spanning forest, whose edges are then checked on the
+    shingles themselves: no pair below ``least`` links, and a family of n texts makes at most n - 1
+    checks an anchor.
+
+    Texts with equal fingerprints form a class before; texts without words are one class. Null ids
+    and repeated rows as in near_duplicates.
+    """
+    most = bits_at(least) + slack
+    of = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    prints = staged(rows.mapInArrow(_wide_prints(words), f"doc_id {of}, text_hash bigint, fp binary"), "prints")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")).withColumn("num", F.monotonically_increasing_id())
+    classes = staged(classes, "classes")
+    schema = "key bigint, num bigint, fp binary"
+    keyed = classes.select(F.lit(0).cast("bigint").alias("key"), "num", "fp").mapInArrow(_piece_keys(0), schema)
+    hot = staged(keyed.groupBy("key").count().where(F.col("count") > hot_anchor).select("key"), "hot")
+    if hot.limit(1).count():
+        split = sized_join(keyed, hot, ["key"], "left_semi").mapInArrow(_piece_keys(1), schema)
+        keyed = sized_join(keyed, hot, ["key"], "left_anti").union(split)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare_wide(most), "a bigint, b bigint")
+    found = staged(found.distinct(), "candidates")
+
+    ends = staged(found.select(F.explode(F.array("a", "b")).alias("num")).distinct().join(classes.select("num", "text_hash"), "num"), "ends")
+    texts = sized_join(rows.select("text_hash", "text"), ends, ["text_hash"]).select("num", "text")
+    sets = staged(texts.mapInArrow(_sets(words), "num bigint, hashes array<bigint>").groupBy("num").agg(F.first("hashes").alias("hashes")), "sets")
+    side = lambda c: sets.select(F.col("num").alias(c), F.col("hashes").alias(f"of_{c}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    alike = both >= least * (F.size("of_a") + F.size("of_b") - both)
+    edges = staged(found.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "edges")
+
+    roots = staged(components(edges).withColumnRenamed("node", "num"), "roots")
+    rooted = staged(sized_join(classes, roots, ["num"], "left").select("fp", "least", F.coalesce("root", "num").alias("root")), "rooted")
+    least_id = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = staged(sized_join(rooted.select("fp", "root"), least_id, ["root"]).select("fp", "component_id"), "named")
+    return sized_join(prints.select("doc_id", "fp"), named, ["fp"]).select("doc_id", "component_id")

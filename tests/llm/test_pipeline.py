@@ -31,7 +31,7 @@ def test_stages(spark):
     clean = spark.createDataFrame(clean, DOCS)
 
     single = cp.drop_near_duplicates(spark, clean, path)
-    prints = {r.doc_id: r.component_id for r in simhash.near_duplicates(clean).collect()}
+    prints = {r.doc_id: r.component_id for r in simhash.similar_documents(clean).collect()}
     assert {r.doc_id for r in single.collect()} == {i for i, c in prints.items() if i == c}
     assert single.columns == cp.COLUMNS and 200 not in {r.doc_id for r in single.collect()}
 

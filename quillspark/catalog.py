@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import store_queries, text_queries, write_queries  # noqa: F401 - they register their queries
 from .plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -6,7 +6,7 @@ import re
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Json = dict | list | str | int | float | bool | None
@@ -40,11 +40,29 @@ def within_days(ts: Column, as_of: datetime | Column, days: int) -> Column:
     return ts >= end - F.make_dt_interval(F.lit(days))
 
 
+def within_hours(ts: Column, as_of: datetime | Column, hours: int) -> Column:
+    """As within_days, by hours."""
+    if hours <= 0:
+        return F.lit(True)
+    end = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    return ts >= end - F.make_dt_interval(F.lit(0), F.lit(hours))
+
+
+def not_among(column: Column, excluded: tuple | None) -> Column:
+    """Values outside a set; nulls stay, and without a set all do."""
+    return F.lit(True) if not excluded else ~F.coalesce(column.isin(*excluded), F.lit(False))
+
+
 def before_cursor(ts: Column, key: Column, last_ts, last_key) -> Column:
     """Keyset pagination, newest first."""
     return (ts < F.lit(last_ts)) | ((ts == F.lit(last_ts)) & (key < F.lit(last_key)))
 
 
+def after_id(rows: DataFrame, key: str, last: int, n: int) -> DataFrame:
+    """The next ``n`` rows after an id, in its order."""
+    return rows.where(F.col(key) > F.lit(last)).orderBy(key).limit(n)
+
+
 def any_ilike(columns: list[Column], q: str) -> Column:
     return reduce(Column.__or__, [F.coalesce(c.ilike(f"%{q}%"), F.lit(False)) for c in columns])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,8 @@ def approve(thoughts: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def enriched(thoughts: DataFrame, patches: DataFrame) -> DataFrame:
-    """Thoughts after enrichment (id, type, importance): valid types, importance 1 to 5."""
+    """Thoughts after enrichment (id, type, importance): valid types, importance 1 to 5; all other
+    columns stay, the source among them."""
     p = patches.select("id", F.when(F.lower("type").isin(*text.ALLOWED_TYPES), F.lower("type")).alias("new_type"), F.greatest(F.lit(1), F.least(F.lit(5), F.col("importance"))).alias("new_importance"))
     return thoughts.join(p, "id", "left").withColumns({"type": F.coalesce("new_type", "type"), "importance": F.coalesce("new_importance", "importance")}).drop("new_type", "new_importance")
 
@@ -66,8 +68,10 @@ def parsed_metadata(raw: Column) -> Column:
     return F.when(text.trimmed(once).startswith("{") & F.try_parse_json(once).isNotNull(), once)
 
 
-def newsletters(thoughts: DataFrame, opener: str = r"(?i)^(view (this|in) (email|browser)|this week in|welcome to (issue|edition)|.{0,60}newsletter)") -> DataFrame:
-    return thoughts.withColumn("source_type", F.when(F.col("content").rlike(opener), "newsletter").otherwise(F.col("source_type")))
+def newsletters(thoughts: DataFrame) -> DataFrame:
+    """Thoughts that open with the word Newsletter, as personal newsletters."""
+    opens = F.coalesce(F.col("content").rlike(r"(?i)\ANewsletter[\s\x{2014}-]"), F.lit(False))
+    return thoughts.withColumns({"type": F.when(opens, "newsletter").otherwise(F.col("type")), "classification": F.when(opens, "personal").otherwise(F.col("classification"))})
 
 
 def routed(records: DataFrame) -> dict[str, DataFrame]:
@@ -131,25 +135,136 @@ def distinct_pairs(edges: DataFrame, without: str = "co_occurs_with") -> DataFra
     return edges.where(F.col("relation") != without).select(F.least("from_entity_id", "to_entity_id").alias("a"), F.greatest("from_entity_id", "to_entity_id").alias("b")).distinct()
 
 
-def grounded(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs (a, b) by the number of thoughts that link both ends."""
+def grounded(pairs: DataFrame, links: DataFrame, named: DataFrame | None = None, thoughts: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) by the number of thoughts that link both ends.
+
+    With ``named`` (id, name) and ``thoughts`` (id, content), pairs that no thought links count the
+    thoughts whose content holds both names instead."""
     x = links.select(F.col("entity_id").alias("a"), "thought_id").distinct()
     y = links.select(F.col("entity_id").alias("b"), "thought_id").distinct()
     n = pairs.join(x, "a").join(y, ["b", "thought_id"]).groupBy("a", "b").agg(F.count("*").alias("grounding"))
-    return pairs.join(n, ["a", "b"], "left").withColumn("grounding", F.coalesce("grounding", F.lit(0)))
+    out = pairs.join(n, ["a", "b"], "left").withColumn("grounding", F.coalesce("grounding", F.lit(0).cast("bigint")))
+    if named is None or thoughts is None:
+        return out
+    # names are looked up by their words in the thoughts' runs of as many words, once for each name
+    names = named.select("id", text.tokens(F.col("name")).alias("w")).where(F.size("w") > 0).select("id", F.size("w").alias("n"), F.array_join("w", " ").alias("run"))
+    sizes = [r["n"] for r in names.select("n").distinct().collect()]  # a few lengths of names
+    words = thoughts.select(F.col("id").alias("thought_id"), text.tokens(F.coalesce("content", F.lit(""))).alias("w"))
+
+    def of_size(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    runs = F.flatten(F.array(*map(of_size, sizes))) if sizes else F.array().cast("array<string>")
+    held = words.select("thought_id", F.explode(F.array_distinct(runs)).alias("run")).join(names, "run").select(F.col("id").alias("entity_id"), "thought_id").distinct()
+    rest = grounded(out.where("grounding = 0").select("a", "b"), held)
+    return out.where("grounding > 0").unionByName(rest)
+
+
+#: What is no topic. File endings, dates and quarters, paths, keys, amounts, tickets,
+#: numbered articles, and nouns that name nothing.
+FILE_ENDING = r"(?i)\.(md|markdown|json|ya?ml|toml|env|ini|cfg|sql|tsx?|jsx?|mjs|cjs|py|rb|go|rs|sh|ps1|bat|txt|csv|log|html?|css|scss|xml)$"
+DATE_FORM = r"(?i)^(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4}|Q[1-4](\s*\d{4})?|\d{4}\s*Q[1-4]|H[12](\s*\d{4})?)$"
+FILE_PATH = r"(?i)^[./\\]|^[\w-]+/[\w\-./\\]+\.[a-z]{1,5}$"
+SETTING_KEY = r"^[a-z][a-z0-9]*(_[a-z0-9]+){1,}$"
+AMOUNT = r"^[\x{a3}$\x{20ac}]?\s*[\d,]+(\.\d+)?\s*[kKmMbB%]?$"
+TICKET = r"^[A-Z]{2,5}-\d+$"
+ARTICLE_NUMBER = r"^\d[\d,]*\s*-\s*\w"
+EMPTY_NOUNS = (
+    "funder", "funders", "rate book", "rate books", "the meeting", "the system", "the bot", "the dashboard", "the tool", "the project", "the platform",
+    "the team", "the vendor", "the client", "the customer", "stakeholder meetings", "stakeholder meeting", "poc milestones", "poc milestone",
+    "end-of-quarter period", "weekly standup", "daily standup", "all-hands", "the call", "the chat", "the email", "the demo", "the proposal",
+)
 
 
 def is_junk_topic(name: Column) -> Column:
-    """Numbers, dates, addresses, single letters and file names are no topics."""
-    n = text.trimmed(F.lower(name))
-    return (F.char_length(n) < 3) | n.rlike(r"^[\d\s.,:/-]+$") | n.rlike(r"^https?://") | n.rlike(r"\S+@\S+") | n.rlike(r"^\w+\.(png|jpe?g|pdf|docx?|xlsx?|csv|json|md|txt)$") | n.rlike(r"^(misc|other|general|stuff|things?|todo|notes?|unknown|n/?a|none)$")
+    """Whether a name is no topic: too short, a date, a file, a setting, an amount, a ticket, a
+    numbered article or a noun that names nothing."""
+    t = text.trimmed(F.coalesce(name, F.lit("")))
+    forms = [t.rlike(p) for p in (DATE_FORM, FILE_ENDING, FILE_PATH, SETTING_KEY, AMOUNT, TICKET, ARTICLE_NUMBER)]
+    return reduce(Column.__or__, forms, F.char_length(t) < 2) | F.lower(t).isin(*EMPTY_NOUNS)
+
+
+#: Relations that may be extracted; those that a newsletter cannot be the source of,
+#: and the target of.
+RELATIONS = (
+    "works_on", "uses", "uses_tool", "collaborates_with", "integrates_with", "alternative_to", "evaluates", "member_of", "located_in", "related_to",
+    "co_occurs_with", "published_by", "references", "knew", "friend_of", "family_of", "mentor_of", "introduced_via",
+)
+NEWSLETTER_NO_SOURCE = ("works_on", "uses", "uses_tool", "evaluates", "integrates_with", "alternative_to", "collaborates_with", "member_of", "located_in", "related_to")
+NEWSLETTER_NO_TARGET = ("works_on", "uses", "uses_tool", "evaluates", "integrates_with", "alternative_to", "collaborates_with", "member_of", "located_in")
 
 
 def valid_relations(relations: DataFrame, entities: DataFrame, least: float = 0.5) -> DataFrame:
-    """Extracted relations between two known, different entities with enough confidence."""
-    known = entities.select(text.normal_name(F.col("name")).alias("n")).distinct()
-    rows = relations.withColumns({"f": text.normal_name(F.col("from_name")), "t": text.normal_name(F.col("to_name"))}).where((F.col("f") != F.col("t")) & (F.col("confidence") >= least))
-    return rows.join(known.withColumnRenamed("n", "f"), "f", "left_semi").join(known.withColumnRenamed("n", "t"), "t", "left_semi").drop("f", "t")
+    """Extracted relations (thought_id, from_name, to_name, relation, confidence, is_newsletter) that
+    may become edges, by the entities (thought_id, name, entity_type, is_author) of the same thought.
+
+    Both ends are known and different, the relation is one of RELATIONS, the confidence enough
+    (null counts as ``least``). A newsletter only takes part as fits it: published_by leads from one
+    to a person, references lead to one. In newsletters the author has no edge but published_by."""
+    known = entities.groupBy("thought_id", text.normal_name(F.col("name")).alias("n")).agg(F.max("entity_type").alias("kind"), F.bool_or("is_author").alias("author"))
+    end = lambda side: known.select("thought_id", *[F.col(c).alias(f"{side}_{c}") for c in ("n", "kind", "author")])
+    rows = relations.withColumns({"from_n": text.normal_name(F.col("from_name")), "to_n": text.normal_name(F.col("to_name")), "relation": F.lower(F.trim("relation"))})
+    rows = rows.where((F.col("from_n") != F.col("to_n")) & F.col("relation").isin(*RELATIONS) & (F.coalesce("confidence", F.lit(0.5)) >= least))
+    rows = rows.join(end("from"), ["thought_id", "from_n"]).join(end("to"), ["thought_id", "to_n"])
+    paper = lambda side: F.col(f"{side}_kind") == "newsletter"
+    fits = (
+        ~(paper("from") & F.col("relation").isin(*NEWSLETTER_NO_SOURCE)) & ~(paper("to") & F.col("relation").isin(*NEWSLETTER_NO_TARGET))
+        & ((F.col("relation") != "published_by") | (paper("from") & (F.col("to_kind") == "person"))) & ((F.col("relation") != "references") | paper("to"))
+        & ((F.col("relation") == "published_by") | ~(F.col("is_newsletter") & (F.col("from_author") | F.col("to_author"))))
+    )
+    return rows.where(fits).select(*relations.columns)
+
+
+def deleted_edges(edges: DataFrame, evidence: DataFrame, gone: DataFrame, thoughts: DataFrame) -> dict[str, DataFrame]:
+    """Tables after edges (from_entity_id, to_entity_id, relation) are deleted by hand: the edges and
+    evidence left, what is blocked, and for each edge the newest thought of its evidence to queue."""
+    keys = ["from_entity_id", "to_entity_id", "relation"]
+    blocked = gone.select(*keys).distinct()
+    dated = evidence.join(blocked, keys, "left_semi").join(thoughts.select(F.col("id").alias("thought_id"), "created_at"), "thought_id")
+    newest = dated.groupBy(*keys).agg(F.max_by("thought_id", F.struct("created_at", "thought_id")).alias("thought_id"))
+    return {"edges": edges.join(blocked, keys, "left_anti"), "evidence": evidence.join(blocked, keys, "left_anti"), "blocked": blocked, "queue": newest.select("thought_id").distinct()}
+
+
+def blocks_named(blocks: DataFrame, entities: DataFrame) -> DataFrame:
+    """Blocked edges with the names of both ends, null where the entity is gone."""
+    name = lambda c: entities.select(F.col("id").alias(c), F.col("name").alias(c.replace("_entity_id", "_name")))
+    return blocks.join(name("from_entity_id"), "from_entity_id", "left").join(name("to_entity_id"), "to_entity_id", "left")
+
+
+def resplit(changes: DataFrame, links: DataFrame) -> DataFrame:
+    """All thoughts that link an entity (id) one of whose aliases is taken away to stand alone."""
+    return links.join(changes.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi").select("thought_id").distinct()
+
+
+def absorbed_aliases(entities: DataFrame, added: DataFrame) -> DataFrame:
+    """(loser, winner) of entities whose loose name is an alias (id, alias) that another one is given;
+    of several winners the smallest."""
+    new = added.select(F.col("id").alias("winner"), text.loose_name(F.col("alias")).alias("n")).where("n <> ''")
+    own = entities.select(F.col("id").alias("loser"), text.loose_name(F.col("name")).alias("n"))
+    return own.join(new, "n").where("loser <> winner").groupBy("loser").agg(F.min("winner").alias("winner"))
+
+
+def related_entities(wanted: DataFrame, entities: DataFrame) -> DataFrame:
+    """Entity of each name (item, name) by search: one of that name in any case, else the only one
+    whose name or alias holds it; with state exact, single, ambiguous or none."""
+    asked = wanted.select("item", F.lower(F.trim("name")).alias("q")).where("q <> ''")
+    spelled = entities.select("id", F.lower("name").alias("own"), F.explode(F.array_append("aliases", F.col("name"))).alias("alias")).select("id", "own", F.lower("alias").alias("alias"))
+    exact = asked.join(spelled.select("id", F.col("own").alias("q")).distinct(), "q").groupBy("item").agg(F.min("id").alias("exact"))
+    # a name that holds the query holds its first three letters (or all of a shorter one) somewhere
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("alias"))), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("alias"), i, n))))
+    starts = spelled.select("id", "alias", F.explode(F.array_distinct(pieces)).alias("start"))
+    held = asked.withColumn("start", F.substring("q", 1, 3)).join(starts, "start").where(F.contains("alias", "q"))
+    held = held.select("item", "id").distinct().groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("only"))
+    rows = wanted.select("item", "name").join(exact, "item", "left").join(held, "item", "left")
+    state = F.when(F.col("exact").isNotNull(), "exact").when(F.col("n") == 1, "single").when(F.col("n") > 1, "ambiguous").otherwise("none")
+    return rows.select("item", "name", F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("entity_id"), state.alias("state"))
+
+
+def without_linked_pairs(wanted: DataFrame, edges: DataFrame) -> DataFrame:
+    """Wanted edges whose two ends no edge joins yet, whichever way."""
+    ends = lambda df: df.select(F.least("from_entity_id", "to_entity_id").alias("lo"), F.greatest("from_entity_id", "to_entity_id").alias("hi"))
+    rows = wanted.withColumns({"lo": F.least("from_entity_id", "to_entity_id"), "hi": F.greatest("from_entity_id", "to_entity_id")})
+    return rows.join(ends(edges).distinct(), ["lo", "hi"], "left_anti").drop("lo", "hi")
 
 
 # ---- pages, memories and reports --------------------------------------------------------------
@@ -227,11 +342,83 @@ def identities(addresses: DataFrame, people: DataFrame) -> DataFrame:
     return rows.join(by_mail, "mail", "left").join(by_name, "name", "left").select("address", "mail", F.coalesce("a", "b").alias("person"))
 
 
+def address_list(header: Column) -> Column:
+    """Addresses of a mail header as structs of name and mail, in order; commas and escaped marks
+    within quotes belong to the name."""
+    part = r'((?:"(?:[^"\\]|\\.)*"|[^",<>])*)<([^<>]*)>|([^\s",<>]+@[^\s",<>]+)'
+    found = F.regexp_extract_all(header, F.lit(part), F.lit(0))
+    name = lambda a: text.trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(a, r"<[^<>]*>\s*$", ""), r'^[\s,]*"|"\s*$', ""), r"\\(.)", "$1"))
+    mail = lambda a: F.lower(F.regexp_extract(a, r"([^\s<>,\"]+@[^\s<>,\"]+)>?\s*$", 1))
+    return F.transform(found, lambda a: F.struct(F.when(F.contains(a, F.lit("<")), name(a)).otherwise("").alias("name"), mail(a).alias("mail")))
+
+
+#: Kinds of secrets in a note, in the order in which they are tried.
+SECRETS = [
+    ("OpenAI/OpenRouter API key", r"sk-(?:or-v1-|proj-|live-)?[a-zA-Z0-9]{20,}"),
+    ("JWT token", r"eyJ[a-zA-Z0-9_-]{20,}\.[a-zA-Z0-9_-]{20,}"),
+    ("GitHub token", r"gh[ps]_[a-zA-Z0-9]{36,}"),
+    ("GitHub OAuth token", r"gho_[a-zA-Z0-9]{36,}"),
+    ("AWS access key", r"AKIA[0-9A-Z]{16}"),
+    ("Supabase key", r"sbp_[a-zA-Z0-9]{20,}"),
+    ("Private key block", r"-----BEGIN [A-Z ]+ PRIVATE KEY-----"),
+    ("Generic secret assignment", r"(?i)(?:password|secret|token|api_key|apikey|api_secret|access_token|auth_token)\s*[=:]\s*[\"']?[a-zA-Z0-9_\-/.]{16,}"),
+    ("Connection string with credentials", r"(?i)(?:postgres|mysql|mongodb|redis)://[^:]+:[^@]+@"),
+]
+
+
 def first_secret(content: Column) -> Column:
     """Label of the first kind of secret in a note, or null."""
-    #: Labels and patterns in order.
-    kinds = [
-        ("private key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("access key", "AKIA[0-9A-Z]{16}"), ("forge token", "gh[pousr]_[A-Za-z0-9]{36}"), ("model key", "sk-[A-Za-z0-9_-]{20,}"), ("chat token", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-        ("web token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), ("connection string", r"(?i)(postgres|mysql|mongodb)(ql)?://[^\s:]+:[^\s@]+@"), ("password", r"(?i)password\s*[:=]\s*\S{6,}"), ("bearer", r"(?i)bearer\s+[A-Za-z0-9._-]{20,}"),
-    ]
-    return F.coalesce(*[F.when(content.rlike(p), F.lit(n)) for n, p in kinds])
+    return F.coalesce(*[F.when(content.rlike(p), F.lit(n)) for n, p in SECRETS])
+
+
+def key_owner(keys: DataFrame, agents: DataFrame, key_hash: str) -> DataFrame:
+    """Agent of a key by its hash (64 digits, any case), if the key is active and not revoked."""
+    asked = key_hash.strip().lower()
+    found = keys.where((F.col("key_hash") == asked) & F.col("active") & F.col("revoked_at").isNull() & F.lit(len(asked) == 64))
+    return found.join(agents, "agent_id").select("agent_id", "agent_label", "key_label")
+
+
+def saved_layer(state: DataFrame, entries: DataFrame, saved: DataFrame, layers: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Sessions (session_id, completed array) and entries (session_id, layer, position, entry) after
+    layers (session_id, layer, entries array) are saved: a saved layer's entries are replaced, it
+    counts as completed, and the next open one is pending."""
+    done = saved.groupBy("session_id").agg(F.collect_set("layer").alias("new"))
+    rows = state.join(done, "session_id", "left")
+    all_done = F.filter(F.array(*map(F.lit, layers)), lambda x: F.array_contains(F.array_union("completed", F.coalesce("new", F.array().cast("array<string>"))), x))
+    sessions = rows.select("session_id", all_done.alias("completed")).withColumn("pending", next_layer(F.col("completed"), layers))
+    kept = entries.join(saved.select("session_id", "layer"), ["session_id", "layer"], "left_anti").select("session_id", "layer", "position", "entry")
+    return sessions, kept.union(saved.select("session_id", "layer", F.posexplode("entries").alias("position", "entry")).select("session_id", "layer", "position", "entry"))
+
+
+def model_slice(entries: DataFrame, layer: str | None = None, keyword: str | None = None, cadence: str | None = None, stakeholder: str | None = None, unresolved: bool = False, friction: str | None = None) -> DataFrame:
+    """Entries of an operating model by what is asked; without case."""
+    has = lambda c, q: F.coalesce(F.contains(F.lower(c), F.lit(q.lower())), F.lit(False))
+    rows = entries if layer is None else entries.where(F.col("layer") == layer)
+    if cadence:
+        rows = rows.where(has(F.col("cadence"), cadence))
+    if stakeholder:
+        rows = rows.where(F.exists("stakeholders", lambda s: has(s, stakeholder)))
+    if unresolved:
+        rows = rows.where("status = 'unresolved'")
+    if friction:
+        rows = rows.where((F.col("layer") == "friction") & (F.lower("priority") == friction))
+    if keyword:
+        rows = rows.where(has(F.concat_ws(" ", "title", "summary", "cadence", "trigger", "inputs", "stakeholders", "constraints", "details"), keyword))
+    return rows
+
+
+def pages_edited(pages: DataFrame, edits: DataFrame) -> DataFrame:
+    """Pages after edits by hand (slug, content, notes): what is given replaces, new content marks the
+    page as edited."""
+    rows = pages.join(edits.select("slug", F.col("content").alias("c"), F.col("notes").alias("n")), "slug", "left")
+    return rows.withColumns({"manually_edited": F.coalesce("manually_edited", F.lit(False)) | F.col("c").isNotNull(), "content": F.coalesce("c", "content"), "notes": F.coalesce("n", "notes")}).drop("c", "n")
+
+
+def executed(items: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Thoughts that a job's items (job_id, item, action, content) become, and the counts by job:
+    items to add whose text is new; all others are skipped."""
+    rows = items.withColumn("fingerprint", text.fingerprint(F.col("content")))
+    first = rows.where("action = 'add' AND fingerprint <> ''").join(known.select("fingerprint").distinct(), "fingerprint", "left_anti").groupBy("fingerprint").agg(F.min("item").alias("item"))
+    added = rows.join(first, ["fingerprint", "item"], "left_semi")
+    counts = items.join(added.select("item", F.lit(1).alias("added")), "item", "left").groupBy("job_id").agg(F.count("added").alias("added"), F.count_if(F.col("added").isNull()).alias("skipped"))
+    return added, counts

@@ -15,6 +15,12 @@ def pipeline_join(interviews: DataFrame, applications: DataFrame, postings: Data
     return interviews.join(applications, "application_id").join(postings, "posting_id").join(companies, "company_id")
 
 
+def with_parent(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Rows with the row that their key names as a struct, null where there is none."""
+    named = parents.select(key, F.struct(*[c for c in parents.columns if c != key]).alias(f"{key}_row"))
+    return rows.join(named, key, "left")
+
+
 def status_breakdown(rows: DataFrame, key: str = "status") -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"))
 

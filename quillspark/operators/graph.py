@@ -24,32 +24,48 @@ def dominant_classification(links: DataFrame, thoughts: DataFrame) -> DataFrame:
     return counts.withColumn("dominant", main)
 
 
-def top_entities(links: DataFrame, thoughts: DataFrame, entities: DataFrame, as_of: datetime, days: int = 90, most: int = 30) -> DataFrame:
-    """The entities with the most links to thoughts of a window, and their dominant class.
-    The few best are found before anything is joined to them."""
-    fresh = thoughts.where(within_days(F.col("created_at"), as_of, days)).select(F.col("id").alias("thought_id"))
-    top = links.join(fresh, "thought_id").groupBy("entity_id").agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "entity_id").limit(most)
-    few = F.broadcast(top)  # at most ``most`` rows
+def scoped(thoughts: DataFrame, as_of: datetime | None = None, days: int = 0, classification: str | None = None) -> DataFrame:
+    """Ids of the thoughts of a window and a class."""
+    rows = thoughts if as_of is None else thoughts.where(within_days(F.col("created_at"), as_of, days))
+    rows = rows if classification is None else rows.where(F.col("classification") == classification)
+    return rows.select(F.col("id").alias("thought_id"))
+
+
+def top_entities(links: DataFrame, thoughts: DataFrame, entities: DataFrame, as_of: datetime, days: int = 90, most: int = 30, classification: str | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """The entities with the most links to thoughts of a window (and class), and their dominant
+    class; without excluded types, entities without a type stay. The few best are found before
+    anything is joined to them."""
+    counts = links.join(scoped(thoughts, as_of, days, classification), "thought_id").groupBy("entity_id").agg(F.count("*").alias("mentions"))
+    if excluded:
+        counts = counts.join(entities.where(F.col("entity_type").isin(*excluded)).select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
+    few = F.broadcast(counts.orderBy(F.desc("mentions"), "entity_id").limit(most))  # at most ``most`` rows
     main = dominant_classification(links.join(few.select("entity_id"), "entity_id", "left_semi"), thoughts)
     return entities.join(few, entities.id == F.col("entity_id")).join(main, "entity_id", "left").select("entity_id", "name", "mentions", "dominant")
 
 
-def co_occurrence(links: DataFrame, least: int = 1) -> DataFrame:
-    """Pairs of entities by the number of thoughts that link both."""
-    a = links.select("thought_id", F.col("entity_id").alias("a"))
-    b = links.select("thought_id", F.col("entity_id").alias("b"))
+def co_occurrence(links: DataFrame, least: int = 1, ids: list[int] | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """Pairs of entities (of ``ids``, if given) by the number of thoughts (of ``scope``) that link both."""
+    rows = links if ids is None else links.where(F.col("entity_id").isin(ids))
+    rows = rows if scope is None else rows.join(scope, "thought_id", "left_semi")
+    a = rows.select("thought_id", F.col("entity_id").alias("a"))
+    b = rows.select("thought_id", F.col("entity_id").alias("b"))
     return a.join(b, "thought_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
-def focus_neighbors(links: DataFrame, edges: DataFrame, focus: list[int], least: int = 1, most: int = 100) -> DataFrame:
-    """Entities that share thoughts or edges with the focus, by the stronger of both weights."""
+def focus_neighbors(links: DataFrame, edges: DataFrame, focus: list[int], least: int = 1, most: int = 100, scope: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """Entities that share thoughts (of ``scope``) or edges with the focus, by the stronger of both
+    weights; without the ``excluded`` entities (id)."""
+    links = links if scope is None else links.join(scope, "thought_id", "left_semi")
     wanted = F.col("entity_id").isin(focus)
     theirs = links.where(wanted).select("thought_id").distinct()
     shared = links.join(theirs, "thought_id", "left_semi").where(~wanted).groupBy("entity_id").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
     out = edges.where(F.col("from_entity_id").isin(focus)).select(F.col("to_entity_id").alias("entity_id"), "support_count")
     back = edges.where(F.col("to_entity_id").isin(focus)).select(F.col("from_entity_id").alias("entity_id"), "support_count")
     linked = out.union(back).where(~wanted).groupBy("entity_id").agg(F.max("support_count").cast("bigint").alias("weight"))
-    return shared.unionByName(linked).groupBy("entity_id").agg(F.max("weight").alias("weight")).orderBy(F.desc("weight"), "entity_id").limit(most)
+    both = shared.unionByName(linked)
+    if excluded is not None:
+        both = both.join(excluded.select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
+    return both.groupBy("entity_id").agg(F.max("weight").alias("weight")).orderBy(F.desc_nulls_last("weight"), "entity_id").limit(most)
 
 
 def inferred_edges(edges: DataFrame, ids: list[int] | None = None) -> DataFrame:
@@ -82,6 +98,48 @@ def connections(items: DataFrame, source_id: int, most: int = 20) -> DataFrame:
     return found.groupBy("thought_id").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "thought_id").limit(most)
 
 
+def thought_connections(thoughts: DataFrame, source_id, most: int = 20, exclude_restricted: bool = True) -> DataFrame:
+    """Thoughts that share topics or people with one thought: the shared ones, a preview, and their
+    number; ties by the newer one. Leaving out restricted rows leaves out those without a tier too."""
+    empty = F.array().cast("array<string>")
+    own = thoughts.where(F.col("id") == source_id).select(F.coalesce("topics", empty).alias("own_topics"), F.coalesce("people", empty).alias("own_people"))
+    rows = thoughts.where(F.col("id") != source_id)
+    rows = rows.where(F.col("sensitivity_tier") != "restricted") if exclude_restricted else rows
+    both = lambda c: F.filter(F.coalesce(c, empty), lambda x: F.array_contains(f"own_{c}", x))
+    rows = rows.crossJoin(F.broadcast(own.limit(1))).withColumns({"shared_topics": both("topics"), "shared_people": both("people")})  # one row
+    rows = rows.withColumn("overlap", F.size("shared_topics") + F.size("shared_people")).where("overlap > 0")
+    return rows.select("id", "type", "importance", F.substring("content", 1, 200).alias("preview"), "created_at", "shared_topics", "shared_people", "overlap").orderBy(F.desc("overlap"), F.desc("created_at"), F.desc("id")).limit(most)
+
+
+def neighbors(nodes: DataFrame, edges: DataFrame, node, direction: str = "both", relation: str | None = None) -> DataFrame:
+    """Nodes one edge away, in, out or both, with the edge's relation and the node's label."""
+    rows = edges if relation is None else edges.where(F.col("relationship_type") == relation)
+    out = rows.where(F.col("source_node_id") == node).select(F.col("target_node_id").alias("node"), "relationship_type", F.lit("out").alias("direction"))
+    back = rows.where(F.col("target_node_id") == node).select(F.col("source_node_id").alias("node"), "relationship_type", F.lit("in").alias("direction"))
+    found = {"out": out, "in": back}.get(direction) or out.union(back)
+    return found.join(nodes.select(F.col("id").alias("node"), "label"), "node", "left")
+
+
+def with_entities(thoughts: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
+    """Thoughts with the list of their entities (id, name), in order."""
+    named = links.join(thoughts.select(F.col("id").alias("thought_id")), "thought_id", "left_semi").join(entities.select(F.col("id").alias("entity_id"), "name"), "entity_id")
+    listed = named.groupBy(F.col("thought_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("entity_id", "name"))).alias("entities"))
+    return thoughts.join(listed, "id", "left")
+
+
+def recent_entities(links: DataFrame, thoughts: DataFrame, entities: DataFrame, newest: int = 8, most: int = 6) -> DataFrame:
+    """The entities that the newest thoughts mention most."""
+    few = F.broadcast(thoughts.orderBy(F.desc("created_at"), F.desc("id")).limit(newest).select(F.col("id").alias("thought_id")))  # at most ``newest`` rows
+    counts = links.join(few, "thought_id").groupBy("entity_id").agg(F.count("*").alias("n"))
+    return counts.join(entities.select(F.col("id").alias("entity_id"), "name"), "entity_id").orderBy(F.desc("n"), "entity_id").limit(most)
+
+
+def batch_candidates(entities: DataFrame, links: DataFrame, least: int, most: int) -> DataFrame:
+    """The entities seen last among those with enough links."""
+    n = links.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("links")).where(F.col("links") >= least)
+    return entities.join(n, "id").orderBy(F.desc_nulls_last("last_seen_at"), "id").limit(most)
+
+
 def adjacency(edges: DataFrame, entities: DataFrame, node: int) -> DataFrame:
     """Edges in both directions, each once, with the other end's name."""
     out = edges.where(F.col("from_entity_id") == node).select("id", F.lit("out").alias("direction"), F.col("to_entity_id").alias("other"), "relation", "support_count")

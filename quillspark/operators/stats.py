@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,11 +17,35 @@ def counts_by(df: DataFrame, key: str, name: str = "n") -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(name))
 
 
-def type_summary(thoughts: DataFrame) -> DataFrame:
+def type_summary(thoughts: DataFrame, classification: str | None = None) -> DataFrame:
     """total, first and last creation, and an object of counts by type, in one row."""
-    by = thoughts.groupBy("type").agg(F.count("*").alias("n"), F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
+    rows = thoughts if classification is None else thoughts.where(F.col("classification") == classification)
+    by = rows.groupBy("type").agg(F.count("*").alias("n"), F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
     entry = F.when(F.col("type").isNotNull(), F.struct("type", "n"))
-    return by.agg(F.sum("n").alias("total"), F.min("lo").alias("earliest"), F.max("hi").alias("latest"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("types"))
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.min("lo").alias("earliest"), F.max("hi").alias("latest"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("types"))
+
+
+def top_items(df: DataFrame, column: str, most: int, name: str = "item") -> DataFrame:
+    """The most frequent items of an array column, ties by item."""
+    return df.select(F.explode(column).alias(name)).groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(most)
+
+
+def summary_with_tops(thoughts: DataFrame, most: int = 10) -> DataFrame:
+    """Counts by type, and the most frequent topics and people, as rows (section, item, n)."""
+    sections = [thoughts.where("type IS NOT NULL").groupBy(F.col("type").alias("item")).agg(F.count("*").alias("n")).select(F.lit("type").alias("section"), "item", "n")]
+    sections += [top_items(thoughts, c, most).select(F.lit(s).alias("section"), "item", "n") for s, c in (("topic", "topics"), ("person", "people"))]
+    return reduce(DataFrame.union, sections)
+
+
+def brain_stats(thoughts: DataFrame, as_of: datetime, days: int = 30, classification: str | None = None, exclude_restricted: bool = True, most: int = 20) -> DataFrame:
+    """Rows (section, item, n): the total of all time, and the window's most frequent types (null
+    among them) and topics; of one class, without restricted rows."""
+    rows = thoughts.where(differs(F.col("sensitivity_tier"), "restricted")) if exclude_restricted else thoughts
+    rows = rows if classification is None else rows.where(F.col("classification") == classification)
+    fresh = rows.where(within_days(F.col("created_at"), as_of, days))
+    types = fresh.groupBy(F.col("type").alias("item")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item").limit(most)
+    total = rows.agg(F.count("*").alias("n")).select(F.lit("total").alias("section"), F.lit(None).cast("string").alias("item"), "n")
+    return total.union(types.select(F.lit("type"), "item", "n")).union(top_items(fresh, "topics", most).select(F.lit("topic"), "item", "n"))
 
 
 def windowed_top(df: DataFrame, key: str, ts: str, as_of: datetime, days: int, most: int = 20) -> DataFrame:
@@ -30,10 +55,12 @@ def windowed_top(df: DataFrame, key: str, ts: str, as_of: datetime, days: int, m
     return top.orderBy(F.desc("n"), key).limit(most).crossJoin(F.broadcast(total))  # one row
 
 
-def exact_duplicates(thoughts: DataFrame, mode: str = "full") -> DataFrame:
-    """Fingerprints of several rows, with their number and the first id (others by join)."""
+def exact_duplicates(thoughts: DataFrame, mode: str = "full", ids: bool = False) -> DataFrame:
+    """Fingerprints of several rows, with their number, first and last id, and with ``ids`` all of
+    them in order (a fingerprint's ids then meet in one row)."""
     prints = thoughts.select(text.fingerprint(F.col("content"), mode).alias("fingerprint"), "serial_id").where("fingerprint <> ''")
-    return prints.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("serial_id").alias("first_id"), F.max("serial_id").alias("last_id")).where("copies > 1")
+    listed = [F.array_sort(F.collect_list("serial_id")).alias("ids")] if ids else []
+    return prints.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("serial_id").alias("first_id"), F.max("serial_id").alias("last_id"), *listed).where("copies > 1")
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
@@ -111,6 +138,23 @@ def queue_status(queue: DataFrame, as_of: datetime) -> DataFrame:
     return queue.groupBy("status").agg(F.count("*").alias("n"), F.max(F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp("queued_at")).alias("oldest_seconds"))
 
 
+def last_failures(queue: DataFrame, n: int = 3) -> DataFrame:
+    """The newest failed entries with their error."""
+    return queue.where("status = 'failed'").orderBy(F.desc("processed_at"), "thought_id").limit(n).select("thought_id", "attempt_count", "last_error", "processed_at")
+
+
+def pending_by_type(thoughts: DataFrame) -> DataFrame:
+    """Thoughts that wait for review, by type; a missing type is its own bucket."""
+    return thoughts.where("review_status = 'pending_review'").groupBy(F.coalesce("type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"))
+
+
+def evaluation_summary(scored: DataFrame) -> DataFrame:
+    """Means of three scores and of their mean, in one row; empty without scores."""
+    parts = ("existence", "relevance", "sufficiency")
+    mean = reduce(Column.__add__, [F.col(c) for c in parts]) / 3
+    return scored.agg(F.count("*").alias("n"), F.avg(mean).alias("average"), *[F.avg(c).alias(c) for c in parts]).where("n > 0")
+
+
 def triage(items: DataFrame, as_of: datetime, stale_days: int = 14) -> DataFrame:
     age = F.datediff(F.lit(as_of), "created_at")
     bucket = F.when(F.col("status") == "active", "active").when(age <= stale_days, "waiting").otherwise("stale")
@@ -132,5 +176,29 @@ def digest_pool(thoughts: DataFrame, high: int = 4, enough: int = 10, few: int =
     return ranked.withColumn("n_high", n).where(F.when(F.col("n_high") < enough, F.col("rank") <= few).otherwise(F.col("importance") >= high)).drop("n_high")
 
 
+def persona_pool(found: DataFrame, seeds: list[int], most: int = 40, least: int = 3) -> DataFrame:
+    """Thoughts for a persona page, seeded ones first, then by id; none if they are too few."""
+    few = found.dropDuplicates(["serial_id"]).orderBy(F.when(F.col("serial_id").isin(seeds), 0).otherwise(1), "serial_id").limit(most)
+    return few.withColumn("_n", F.count("*").over(Window.partitionBy())).where(F.col("_n") >= least).drop("_n")  # at most ``most`` rows
+
+
+def recent_reports(reports: DataFrame, kind: str, n: int = 10) -> DataFrame:
+    return reports.where(F.col("kind") == kind).orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+
+
+def board_cards(thoughts: DataFrame, kinds: tuple[str, ...] = ("task", "idea"), per_kind: int = 100) -> DataFrame:
+    """The most important cards of each kind, in one list by importance."""
+    best = lambda k: thoughts.where(F.col("type") == k).orderBy(F.desc("importance"), F.desc("serial_id")).limit(per_kind)
+    return reduce(DataFrame.union, map(best, kinds)).orderBy(F.desc("importance"), F.desc("serial_id"))
+
+
+def reflections_of(entity_id: int, links: DataFrame, reflections: DataFrame, thoughts: DataFrame) -> DataFrame:
+    """Reflections on an entity's thoughts with the thought's number and preview, newest first by type."""
+    own = links.where(F.col("entity_id") == entity_id).select("thought_id").distinct()
+    source = thoughts.select(F.col("id").alias("thought_id"), "serial_id", F.substring(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " "), 1, 160).alias("preview"))
+    rows = reflections.join(own, "thought_id", "left_semi").join(source, "thought_id", "left")
+    return rows.withColumn("reflection_type", F.coalesce("reflection_type", F.lit("general")))
+
+
 def restricted_left_out(thoughts: DataFrame) -> DataFrame:
     return thoughts.where(differs(F.col("sensitivity_tier"), "restricted"))

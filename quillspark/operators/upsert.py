@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import graph
 
-SYMMETRIC = ("co_occurs_with", "related_to", "knows", "works_with", "friend_of", "married_to", "sibling_of", "collaborates_with")
+#: Relations without a direction.
+SYMMETRIC = ("co_occurs_with", "related_to", "collaborates_with", "integrates_with", "alternative_to", "knew", "friend_of", "family_of")
 
 
 def merged(old: Column, new: Column) -> Column:
@@ -106,10 +108,24 @@ def merge_entities(mapping: DataFrame, links: DataFrame, edges: DataFrame) -> tu
 
 
 def loose_groups(entities: DataFrame) -> DataFrame:
-    """id, keeper: entities whose loose name or alias agrees, with the smallest id of the name."""
+    """id, keeper: entities that a chain of equal loose names or aliases joins, with the chain's
+    smallest id; a keeper is never itself merged away."""
     names = entities.select("id", F.explode(F.array_append("aliases", F.col("name"))).alias("n")).select("id", text.loose_name(F.col("n")).alias("n")).where("n <> ''").distinct()
-    keeper = names.groupBy("n").agg(F.min("id").alias("keeper"), F.count("*").alias("c")).where("c > 1")
-    return names.join(keeper, "n").groupBy("id").agg(F.min("keeper").alias("keeper")).where("id <> keeper")
+    first = names.groupBy("n").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1")
+    pairs = names.join(first, "n").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    return graph.components(pairs).where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("keeper"))
+
+
+def merged_clusters(entities: DataFrame, clusters: DataFrame, links: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """Tables after all clusters (node, root) are merged at once: entities with the losers' names as
+    aliases, links, edges, and the losers' names to block."""
+    mapping = clusters.where("node <> root").select(F.col("node").alias("loser"), F.col("root").alias("winner"))
+    lost = mapping.join(entities.select(F.col("id").alias("loser"), "name", "aliases"), "loser")
+    more = lost.select("winner", F.explode(F.array_append("aliases", F.col("name"))).alias("alias")).groupBy("winner").agg(F.array_sort(F.collect_set("alias")).alias("more"))
+    kept = entities.join(mapping.select(F.col("loser").alias("id")), "id", "left_anti").join(more.withColumnRenamed("winner", "id"), "id", "left")
+    kept = kept.withColumn("aliases", F.array_union("aliases", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
+    new_links, new_edges = merge_entities(mapping, links, edges)
+    return {"entities": kept, "links": new_links, "edges": new_edges, "blocked": lost.select("name").distinct()}
 
 
 def revise(thoughts: DataFrame, patches: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -174,6 +190,17 @@ def purge(entities: DataFrame, links: DataFrame, pages: DataFrame, least: int =
     return weak.select("slug"), entities.join(n, entities.id == n.entity_id, "left_anti").select("id")
 
 
+def after_deletion(deleted: DataFrame, links: DataFrame, thoughts: DataFrame, pages: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """For the entities that deleted thoughts (thought_id) linked: pages to drop, as fewer than
+    ``least`` links are left, and the newest thought of each other one, to be queued again."""
+    gone = deleted.select("thought_id").distinct()
+    touched = links.join(gone, "thought_id", "left_semi").select("entity_id").distinct()
+    left = links.join(touched, "entity_id", "left_semi").join(gone, "thought_id", "left_anti").join(thoughts.select(F.col("id").alias("thought_id"), "created_at"), "thought_id")
+    left = left.groupBy("entity_id").agg(F.count("*").alias("n"), F.max_by("thought_id", F.struct("created_at", "thought_id")).alias("newest"))
+    state = touched.join(left, "entity_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return pages.join(state.where(F.col("n") < least), "entity_id", "left_semi").select("slug"), state.where(F.col("n") >= least).select("entity_id", F.col("newest").alias("thought_id"))
+
+
 def stale_citations(pages: DataFrame, thoughts: DataFrame) -> DataFrame:
     """Citations of thoughts that are gone."""
     cited = pages.select("slug", F.explode(text.citations(F.col("content"))).alias("serial_id"))
@@ -187,15 +214,36 @@ def upgraded_tiers(thoughts: DataFrame) -> DataFrame:
     return thoughts.withColumn("sensitivity_tier", F.when(open_ & (found != "standard"), found).otherwise(F.col("sensitivity_tier")))
 
 
+#: What a review action sets; a null leaves the column as it is.
+REVIEW_RULES = {
+    "confirm": {"review_status": "confirmed", "provenance_status": "user_confirmed", "can_use_as_instruction": True, "requires_user_confirmation": False},
+    "evidence_only": {"review_status": "evidence_only", "can_use_as_instruction": False, "can_use_as_evidence": True, "requires_user_confirmation": False},
+    "reject": {"review_status": "rejected", "lifecycle_status": "rejected", "can_use_as_instruction": False, "can_use_as_evidence": False},
+    "mark_stale": {"review_status": "stale", "lifecycle_status": "stale", "can_use_as_instruction": False},
+    "dispute": {"lifecycle_status": "disputed", "provenance_status": "disputed", "can_use_as_instruction": False},
+    "restrict_scope": {"review_status": "restricted", "visibility": "personal"},
+    "edit": {},
+}
+REVIEW_EVENTS = {"confirm": "memory_confirmed", "edit": "memory_edited", "reject": "memory_rejected", "supersede": "memory_superseded", "dispute": "memory_disputed"}
+REVIEW_RELATIONS = {"merge": "merged_into", "supersede": "supersedes"}
+REVIEWED = ("review_status", "lifecycle_status", "provenance_status", "visibility", "can_use_as_instruction", "can_use_as_evidence", "requires_user_confirmation")
+
+
 def reviewed(memories: DataFrame, actions: DataFrame) -> DataFrame:
-    """Memories after review actions (id, action), by rule; unknown actions change nothing."""
-    #: Action -> review status, lifecycle, instruction, evidence.
-    rules = {
-        "confirm": ("confirmed", "active", True, True), "edit": ("confirmed", "active", True, True), "evidence_only": ("evidence_only", "active", False, True),
-        "restrict_scope": ("restricted", "active", False, True), "mark_stale": ("stale", "stale", False, False), "reject": ("rejected", "rejected", False, False), "dispute": ("disputed", "disputed", False, False),
-    }
-    rows = memories.join(actions.select("id", "action"), "id", "left")
-    for i, name in enumerate(("review_status", "lifecycle_status", "can_use_as_instruction", "can_use_as_evidence")):
-        new = F.coalesce(*[F.when(F.col("action") == a, F.lit(v[i])) for a, v in rules.items()])
-        rows = rows.withColumn(name, F.coalesce(new, F.col(name)))
-    return rows.drop("action")
+    """Memories after review actions (id, action, and content to edit); one action a memory."""
+    rows = memories.join(actions.select("id", "action", F.col("content").alias("new")), "id", "left")
+    for name in REVIEWED:
+        sets = {a: v[name] for a, v in REVIEW_RULES.items() if name in v}
+        rows = rows.withColumn(name, F.coalesce(*[F.when(F.col("action") == a, F.lit(v)) for a, v in sets.items()], F.col(name)))
+    edited = F.when(F.col("action") == "edit", F.col("new"))
+    return rows.withColumn("content", F.coalesce(edited, "content")).drop("action", "new")
+
+
+def review_log(memories: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row for each action: the state before and after as JSON, the audit event, and for merges
+    and replacements the relation to the other memory (related_id)."""
+    state = F.to_json(F.struct(*REVIEWED))
+    both = memories.select("id", state.alias("before")).join(reviewed(memories, actions).select("id", state.alias("after")), "id")
+    pick = lambda table, rest: F.coalesce(*[F.when(F.col("action") == a, F.lit(v)) for a, v in table.items()], rest)
+    relation = F.when(F.col("related_id").isNotNull(), pick(REVIEW_RELATIONS, F.lit(None).cast("string")))
+    return both.join(actions, "id").select("id", "action", "before", "after", pick(REVIEW_EVENTS, F.lit("memory_edited")).alias("event"), "related_id", relation.alias("relation"))

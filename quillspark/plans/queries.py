@@ -45,9 +45,10 @@ def sources_summary(spark, d):
     return stats.counts_by(table(spark, d, "documents"), "source")
 
 
-@query(f"WITH {THOUGHTS_SQL} SELECT count(*) AS total, min(created_at) AS earliest, max(created_at) AS latest, count(DISTINCT type) AS n_types FROM thoughts")
+@query(f"WITH {THOUGHTS_SQL}, t AS (SELECT type, count(*) AS n FROM thoughts WHERE type IS NOT NULL GROUP BY type) SELECT count(*) AS total, min(created_at) AS earliest, max(created_at) AS latest, (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM t) AS types FROM thoughts")
 def type_stats_object(spark, d):
-    return stats.type_summary(views.thoughts(spark, d)).select("total", "earliest", "latest", F.size("types").cast("bigint").alias("n_types"))
+    entry = F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return stats.type_summary(views.thoughts(spark, d, vectors=False, labels=False)).select("total", "earliest", "latest", F.array_join(entry, ",").alias("types"))
 
 
 @query(f"SELECT event_type, count(*) AS n, (SELECT count(*) FROM events) AS total FROM events WHERE ts >= TIMESTAMP '{EVENTS_END}' - INTERVAL 30 DAY AND event_type IS NOT NULL GROUP BY event_type ORDER BY n DESC, event_type LIMIT 20")
@@ -64,7 +65,7 @@ _LOOSE = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_S
 
 @query(f"WITH t AS (SELECT doc_id, coalesce(text, '') AS content FROM documents), f AS (SELECT doc_id, {_FULL} AS fingerprint FROM t) SELECT fingerprint, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM f WHERE fingerprint <> '' GROUP BY fingerprint HAVING count(*) > 1")
 def exact_duplicates(spark, d):
-    return stats.exact_duplicates(views.thoughts(spark, d))
+    return stats.exact_duplicates(table(spark, d, "documents").select(F.col("doc_id").alias("serial_id"), F.col("text").alias("content")))
 
 
 @query(f"WITH t AS (SELECT doc_id, coalesce(text, '') AS content FROM documents) SELECT doc_id, {_FULL} AS full_hash, substr({_FULL}, 1, 16) AS short_hash, md5(lower({_SQUEEZED})) AS md5_hash, sha256(lower({_TRIMMED})) AS raw_hash, CASE WHEN {_LOOSE} = '' THEN '' ELSE sha256({_LOOSE}) END AS loose_hash FROM t")
@@ -78,13 +79,13 @@ SELECT serial_id, 'empty' AS rule FROM t WHERE body = '' UNION ALL SELECT serial
 UNION ALL SELECT serial_id, 'low_signal' FROM t WHERE importance <= 2 AND length(body) < 40
 UNION ALL SELECT serial_id, 'isolated' FROM t WHERE importance >= 4 AND serial_id NOT IN (SELECT user_id FROM events)""")
 def lint_rules(spark, d):
-    return stats.lint(views.thoughts(spark, d), table(spark, d, "events").select(F.col("user_id").alias("thought_id")).distinct())
+    return stats.lint(views.thoughts(spark, d, vectors=False, labels=False), table(spark, d, "events").select(F.col("user_id").alias("thought_id")).distinct())
 
 
 @query(f"""WITH {THOUGHTS_SQL}, t AS (SELECT *, length({_TRIMMED.replace('content', "coalesce(content, '')")}) AS n FROM thoughts ORDER BY created_at DESC, serial_id DESC LIMIT 2000)
 SELECT count(*) AS checked, count(*) FILTER (n = 0) AS empty, count(*) FILTER (n < 40) AS short, count(*) FILTER (n > 20000) AS long, count(*) FILTER (sensitivity_tier IS NULL) AS no_tier FROM t""")
 def lint_sweep(spark, d):
-    return stats.sweep(views.thoughts(spark, d))
+    return stats.sweep(views.thoughts(spark, d, vectors=False))
 
 
 @query("""WITH d AS (SELECT e AS entity_id, count(*) AS degree FROM (SELECT l_partkey AS e FROM lineitem UNION ALL SELECT l_suppkey FROM lineitem) GROUP BY e)
@@ -225,7 +226,9 @@ def graph_distances(spark, d):
     return graph.distances(_places(spark, d), "s1", 6)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w AS (SELECT 'p1' AS node, 0 AS d UNION SELECT u.b, d + 1 FROM w JOIN u ON u.a = w.node WHERE d < 4), f AS (SELECT node, min(d) AS d FROM w GROUP BY node),
+r AS (SELECT 'p2' AS node, (SELECT d FROM f WHERE node = 'p2') AS step UNION ALL SELECT (SELECT min(u.a) FROM u JOIN f ON f.node = u.a WHERE u.b = r.node AND f.d = r.step - 1), r.step - 1 FROM r WHERE r.step > 0) SELECT step::INT AS step, node FROM r""")
 def shortest_path(spark, d):
     """The path from part 1 to part 2 over their suppliers, in one row a step."""
     _checkpointing(spark)
@@ -247,7 +250,13 @@ def provenance_trace(spark, d):
     return graph.provenance(rows, f"0:{last}", 10).select("id", "parent", "depth", "cycle")
 
 
-@query()
+_ALIKE = """RECURSIVE n AS (SELECT min(p_partkey) AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS s FROM part GROUP BY p_name),
+p AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.id <> y.id WHERE x.s <> '' AND y.s <> '' AND (x.s = y.s OR (length(x.s) >= 3 AND contains(y.s, x.s) AND (contains(' ' || y.s || ' ', ' ' || x.s || ' ') OR length(y.s) <= 2 * length(x.s)))
+  OR (length(x.s) BETWEEN 4 AND 25 AND length(y.s) BETWEEN 4 AND 25 AND levenshtein(x.s, y.s) <= 2 AND levenshtein(x.s, y.s)::DOUBLE / greatest(length(x.s), length(y.s)) <= 0.2))),
+u AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT DISTINCT a, a AS b FROM u UNION SELECT w.a, u.b FROM w JOIN u ON u.a = w.b)"""
+
+
+@query(f"WITH {_ALIKE} SELECT a AS node, min(b) AS root FROM w GROUP BY a")
 def topic_clusters(spark, d):
     """Part names as topics; each with the smallest topic of its cluster."""
     _checkpointing(spark)
@@ -256,8 +265,11 @@ def topic_clusters(spark, d):
 
 
 def _checkpointing(spark: SparkSession) -> None:
-    """Iterations cut their lineage in the cluster's checkpoint folder; set one only if none is."""
+    """Iterations cut their lineage in the cluster's checkpoint folder; set one only if none is, which
+    on a cluster would be a folder that its machines do not share."""
     if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         import tempfile
 
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
@@ -317,11 +329,15 @@ def reconcile_routing(spark, d):
 
 
 @query(f"""WITH {THOUGHTS_SQL}, t AS (SELECT *, list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS toks FROM thoughts WHERE sensitivity_tier IS DISTINCT FROM 'restricted'),
-h AS (SELECT *, list_contains(toks, 'the') AND list_contains(toks, 'that') AS hit, coalesce(content ILIKE '%the that%', false) AS part FROM t), c AS (SELECT count(*) FILTER (hit) AS n FROM h), r AS (SELECT *, len(list_filter(toks, lambda w: w IN ('the', 'that'))) / greatest(1, len(toks))::DOUBLE AS density FROM h, c WHERE hit OR (part AND n < 25)),
+h AS (SELECT *, list_contains(toks, 'the') AND list_contains(toks, 'that') AS hit, coalesce(content ILIKE '%the that%', false) AS part FROM t), c AS (SELECT count(*) FILTER (hit) AS n FROM h),
+w AS (SELECT serial_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS p FROM h WHERE hit), l AS (SELECT *, max(CASE WHEN w = 'the' THEN p END) OVER o AS a, max(CASE WHEN w = 'that' THEN p END) OVER o AS b FROM w WHERE w IN ('the', 'that') WINDOW o AS (PARTITION BY serial_id ORDER BY p)),
+v AS (SELECT *, least(a, b) AS s, lag(least(a, b)) OVER (PARTITION BY serial_id ORDER BY p) AS before FROM l WHERE a IS NOT NULL AND b IS NOT NULL), z AS (SELECT serial_id, sum(0.1::DOUBLE / (p - s)) AS density FROM v WHERE before IS NULL OR s > before GROUP BY serial_id),
+r AS (SELECT h.*, density FROM h JOIN c ON hit OR (part AND n < 25) LEFT JOIN z ON z.serial_id = h.serial_id),
 s AS (SELECT serial_id, greatest(CASE WHEN hit THEN density ELSE 0.0 END, CASE WHEN part THEN 0.35 ELSE 0.0 END) + importance / 20.0::DOUBLE + coalesce(quality_score::DOUBLE, 0.5) / 500.0 AS rank, count(*) OVER () AS total FROM r)
 SELECT serial_id, round(rank, 9) AS rank, total FROM s ORDER BY s.rank DESC, serial_id LIMIT 25""")
 def text_search(spark, d):
-    return search.search_text(views.thoughts(spark, d), "the that").select("serial_id", F.round("rank", 9).alias("rank"), "total")
+    _checkpointing(spark)
+    return search.search_text(views.thoughts(spark, d, vectors=False), "the that").select("serial_id", F.round("rank", 9).alias("rank"), "total")
 
 
 # ---- write side -------------------------------------------------------------------------------
@@ -416,8 +432,7 @@ def _sql_replaced(c: str, steps) -> str:
     return c
 
 
-_BREAKS = [(r"(?i)<br\s*/?>", "\n"), ("(?i)</p>", "\n\n"), ("(?i)</div>", "\n"), ("(?i)</li>", "\n"), ("(?i)</h[1-6]>", "\n\n"), ("(?i)</tr>", "\n"), ("(?i)<li[^>]*>", "- "), ("<[^>]+>", "")]
-_HTML = _sql_replaced("html", [*_BREAKS, *text.ENTITIES, ("[ \\t]+", " "), ("\\n{3,}", "\n\n")])
+_HTML = _sql_replaced("html", [*text.BREAKS, *text.ENTITIES, ("[ \\t]+", " "), ("\\n{3,}", "\n\n")])
 
 
 @query(f"SELECT page_id, md5(regexp_replace({_HTML}, '^{_WS}+|{_WS}+$', '', 'g')) AS text_md5 FROM pages")
@@ -448,7 +463,7 @@ SELECT serial_id, greatest(1, least(100, CASE WHEN n <= 10 THEN 5 WHEN n <= 30 T
  + CASE WHEN regexp_matches(c, '^https?://\\S+$') THEN -35 WHEN regexp_matches(c, '^https?://') AND m < 6 THEN -20 ELSE 0 END + CASE WHEN n > 10 AND c = upper(c) AND regexp_matches(c, '[A-Z]') THEN -15 ELSE 0 END
  + CASE WHEN n > 5 AND dg / n::DOUBLE > 0.6 THEN -15 ELSE 0 END + CASE WHEN ct > 3 THEN -25 ELSE 0 END + CASE WHEN type <> '' AND type <> 'idea' THEN 3 ELSE 0 END + CASE WHEN importance <> 3 THEN 3 ELSE 0 END))::INT AS score FROM r""")
 def quality_score(spark, d):
-    return views.thoughts(spark, d).select("serial_id", text.quality_score(F.col("content"), F.col("type"), F.col("importance")).alias("score"))
+    return views.thoughts(spark, d, vectors=False, labels=False).select("serial_id", text.quality_score(F.col("content"), F.col("type"), F.col("importance")).alias("score"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}+'), lambda x: x <> '') AS ws FROM documents), c AS (SELECT doc_id, ws, unnest(range(0, len(ws), 200)) AS s FROM t)
@@ -540,8 +555,3 @@ def with_latest_children(spark, d):
 def ingest_job_counts(spark, d):
     action = F.when(F.col("o_orderstatus") == "F", "add").when(F.col("o_orderstatus") == "O", "skip").otherwise("append_evidence")
     return curation.job_counts(table(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), action.alias("action"))).select("job_id", "added", "skipped", "items")
-
-
-@query()
-def conversation_findings(spark, d):
-    return curation.findings(table(spark, d, "conversations"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,36 +14,86 @@ from ..functions import text
 SKIPPED_PARTS = ("thoughts", "reasoning_recap", "computer_output", "system_error", "super_widget", "citable_code_output", "tether_quote", "user_editable_context")
 
 
-def canonical_path(nodes: DataFrame, most: int = 10_000) -> DataFrame:
+def canonical_path(nodes: DataFrame) -> DataFrame:
     """Nodes (conv_id, node_id, parent, ...) on the path from each conversation's current leaf
     (``is_current``, else its deepest, then largest node id) to its root, with their position.
 
-    Ancestors are found by doubling: each round every node learns the ancestor twice as far, so a
-    chat of n turns takes log n joins."""
-    up = nodes.select("conv_id", "node_id", "parent")
-    hops = up.where("parent IS NOT NULL").select("conv_id", "node_id", F.col("parent").alias("to"), F.lit(1).cast("bigint").alias("d")).checkpoint()
-    closure = hops
-    while True:
-        far = hops.select("conv_id", F.col("node_id").alias("to"), F.col("to").alias("far"), F.col("d").alias("e"))
-        hops = hops.join(far, ["conv_id", "to"]).select("conv_id", "node_id", F.col("far").alias("to"), (F.col("d") + F.col("e")).alias("d")).checkpoint()
-        if not hops.limit(1).count():
-            break
-        # every distance is a sum of powers of two: extend what is known by the new hops
-        more = closure.join(hops.select("conv_id", F.col("node_id").alias("to"), F.col("to").alias("far"), F.col("d").alias("e")), ["conv_id", "to"])
-        closure = closure.union(hops).union(more.select("conv_id", "node_id", F.col("far").alias("to"), (F.col("d") + F.col("e")).alias("d"))).distinct().checkpoint()
-    depth = closure.groupBy("conv_id", "node_id").agg(F.max("d").alias("depth"))
-    rows = nodes.join(depth, ["conv_id", "node_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    Pointers double: each round every node learns the ancestor twice as far, and the path takes in
+    the ancestors of its own nodes, so a chat of n turns takes log n joins of n rows."""
+    jump = nodes.select("conv_id", "node_id", F.col("parent").alias("to"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("bigint").alias("depth")).checkpoint()
+    steps = [jump]
+    while jump.where("to IS NOT NULL").limit(1).count():
+        far = jump.select("conv_id", F.col("node_id").alias("to"), F.col("to").alias("far"), F.col("depth").alias("more"))
+        jump = jump.join(far, ["conv_id", "to"], "left").select("conv_id", "node_id", F.col("far").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).checkpoint()
+        steps.append(jump)
+    rows = nodes.join(jump.select("conv_id", "node_id", "depth"), ["conv_id", "node_id"])
     current = F.col("is_current") if "is_current" in nodes.columns else F.lit(False)
-    leaf = rows.groupBy("conv_id").agg(F.max_by("node_id", F.struct(F.coalesce(current, F.lit(False)).alias("c"), "depth", "node_id")).alias("leaf"))
-    line = closure.join(leaf, ["conv_id"]).where("node_id = leaf").select("conv_id", F.col("to").alias("node_id")).union(leaf.select("conv_id", "leaf"))
-    return rows.join(line, ["conv_id", "node_id"], "left_semi").withColumnRenamed("depth", "position").where(F.col("position") <= most)
+    line = rows.groupBy("conv_id").agg(F.max_by("node_id", F.struct(F.coalesce(current, F.lit(False)).alias("c"), "depth", "node_id")).alias("node_id"))
+    for step in steps:
+        up = step.where("to IS NOT NULL").select("conv_id", "node_id", "to")
+        line = line.union(line.join(up, ["conv_id", "node_id"]).select("conv_id", F.col("to").alias("node_id"))).checkpoint()
+    return rows.join(line, ["conv_id", "node_id"], "left_semi").withColumnRenamed("depth", "position")
+
+
+#: The mark of a cited web source, and of a shown image.
+CITED = r"\x{3010}\d+\x{2020}[^\x{3011}]*\x{3011}"
+SHOWN_IMAGE = "<<ImageDisplayed>>"
+
+
+def part_text(content_type: Column, parts: Column, spoken: Column | None = None, snippet: Column | None = None) -> Column:
+    """The text of a chat message by its kind; null for kinds without knowledge.
+
+    Text parts are joined by lines, ``spoken`` transcriptions after them; web pages lose their citation
+    marks, code its fenced blocks, shown images all."""
+    joined = lambda p: text.trimmed(F.array_join(F.filter(p, lambda x: x.isNotNull()), "\n"))
+    none = F.array().cast("array<string>")
+    own = joined(F.coalesce(parts, none))
+    both = joined(F.concat(F.coalesce(parts, none), F.coalesce(spoken, none))) if spoken is not None else own
+    uncited = lambda c: text.trimmed(F.regexp_replace(c, CITED, ""))
+    return (
+        F.when(content_type.isin(*SKIPPED_PARTS), None).when(content_type == "multimodal_text", both).when((content_type == "execution_output") & (own == SHOWN_IMAGE), "")
+        .when(content_type == "tether_browsing_display", uncited(own)).when(content_type == "sonic_webpage", uncited(text.trimmed(F.coalesce(snippet, F.lit("")))) if snippet is not None else F.lit(""))
+        .when(content_type == "code", text.trimmed(F.regexp_replace(own, r"(?s)```.*?```", ""))).otherwise(own)
+    )
+
+
+#: The part of a chat export that is read; parts that are objects come as JSON.
+EXPORT = """array<struct<id:string, title:string, create_time:double, update_time:double, current_node:string, is_do_not_remember:boolean,
+  mapping:map<string, struct<id:string, parent:string, message:struct<author:struct<role:string>, create_time:double, content:struct<content_type:string, parts:array<string>, snippet:string>>>>>>"""
+
+
+def chat_export(spark: SparkSession, path: str) -> DataFrame:
+    """Conversations of an export folder or zip archives in it: conversations.json or numbered files
+    of that name, each an array. A zip archive is opened in one task."""
+
+    def unzipped(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for pdf in batches:
+            for raw in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    for name in sorted(z.namelist()):
+                        if re.fullmatch(r"(.*/)?conversations(-\d+)?\.json", name):
+                            yield pd.DataFrame({"value": [z.read(name).decode("utf-8-sig")]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    plain = files.option("pathGlobFilter", "conversations*.json").load(path).where(F.col("path").rlike(r"/conversations(-\d+)?\.json$"))
+    plain = plain.select(F.regexp_replace(F.decode("content", "UTF-8"), r"\A\x{feff}", "").alias("value"))
+    zipped = files.option("pathGlobFilter", "*.zip").load(path).select("content").mapInPandas(unzipped, "value string")
+    return plain.union(zipped).select(F.explode(F.from_json("value", EXPORT)).alias("c")).select("c.*")
 
 
-def part_text(content_type: Column, parts: Column) -> Column:
-    """The text of a chat part; null for kinds without knowledge."""
-    joined = F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n")
-    code = F.concat(F.lit("```\n"), joined, F.lit("\n```"))
-    return F.when(content_type.isin(*SKIPPED_PARTS), None).when(content_type == "code", code).otherwise(F.regexp_replace(joined, r"\x{3010}\d+\x{2020}[^\x{3011}]*\x{3011}", ""))
+def chat_nodes(conversations: DataFrame) -> DataFrame:
+    """Messages of an export as rows for ``canonical_path``, with role, kind and text."""
+    rows = conversations.select(F.col("id").alias("conv_id"), "current_node", F.explode("mapping").alias("node_id", "n"))
+    said, mixed = F.col("n.message.content"), F.col("n.message.content.content_type") == "multimodal_text"
+    spoken = F.filter(F.transform(said["parts"], lambda p: F.get_json_object(p, "$.audio_transcription.text")), lambda t: t.isNotNull())
+    written = F.when(mixed, F.filter(said["parts"], lambda p: ~p.startswith("{"))).otherwise(said["parts"])
+    content = part_text(said["content_type"], written, spoken, said["snippet"])
+    return rows.select("conv_id", "node_id", F.col("n.parent").alias("parent"), (F.col("node_id") == F.col("current_node")).alias("is_current"), F.col("n.message.author.role").alias("role"), content.alias("text"))
 
 
 def dialogue(messages: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -52,13 +105,20 @@ def dialogue(messages: DataFrame, key: str = "conv_id", order: str = "turn") ->
     return rows.groupBy(key).agg(F.array_join(F.transform(turns, lambda t: t["line"]), "\n\n").alias("dialogue"), F.count("*").alias("messages"))
 
 
-def skip_reason(messages: Column, title: Column, dialogue_text: Column) -> Column:
-    """Why a conversation is not imported, or null."""
-    return (
-        F.when(messages < 2, "single_turn").when(messages >= 10, None)
-        .when((F.coalesce(title, F.lit("")) == "") & (messages <= 5), "untitled_short")
-        .when(F.size(text.words(dialogue_text)) < 50, "too_little_text")
-    )
+def skip_reason(messages: Column, title: Column, dialogue_text: Column, imported: Column | None = None, newer: Column | None = None, day: Column | None = None, after=None, before=None, forget: Column | None = None, least: int = 2, always: int = 10, least_words: int = 50) -> Column:
+    """Why a conversation is not imported, or null, by the first rule that holds: imported before and
+    not changed since (``newer``), out of the dates wanted, marked to be forgotten, too few messages;
+    many messages are always kept; no title and few messages, too few words."""
+    no = F.lit(False)
+    rules = F.when(F.coalesce(imported, no) & ~F.coalesce(newer, no), "already_imported") if imported is not None else F.when(no, None)
+    if day is not None and after is not None:
+        rules = rules.when(day < F.lit(after), "before_date_filter")
+    if day is not None and before is not None:
+        rules = rules.when(day > F.lit(before), "after_date_filter")
+    if forget is not None:
+        rules = rules.when(F.coalesce(forget, no), "do_not_remember")
+    rules = rules.when(messages < least, "single_turn").when(messages >= always, None)
+    return rules.when((F.coalesce(title, F.lit("")) == "") & (messages <= 5), "untitled_short").when(F.size(text.words(dialogue_text)) < least_words, "too_little_text")
 
 
 def sessions(rows: DataFrame, key: str, ts: str, gap_seconds: int = 4 * 3600) -> DataFrame:
@@ -113,12 +173,31 @@ def repaired_encoding(c: Column) -> Column:
     return F.when(c.rlike(r"^[\x00-\x{ff}]*$") & c.rlike(r"[\x{c2}-\x{f4}][\x{80}-\x{bf}]"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
 
 
-def activity_days(rows: DataFrame, noise: dict[str, str]) -> DataFrame:
-    """Activities by category and day, without each category's noise pattern."""
-    for category, pattern in noise.items():
-        rows = rows.where(~((F.col("category") == category) & F.col("title").rlike(pattern)))
+def is_activity_noise(category: Column, title: Column) -> Column:
+    """Whether an activity says nothing: short titles and notifications; of maps all but searches, ways
+    and long titles; of videos visits and short watched titles; of the browser short titles."""
+    n, starts = F.char_length(title), lambda *ps: reduce(Column.__or__, [title.startswith(p) for p in ps])
+    maps = starts("Visited ", "Viewed ", "Used maps", "Opened ") | (~starts("Searched for", "Direction", "Navigat") & (n < 30))
+    video = (title.startswith("Watched ") & (n < 40)) | title.startswith("Visited ")
+    noise = (n < 10) | title.rlike(r"^\d+ notification") | ((category == "Maps") & maps) | ((category == "YouTube") & video) | ((category == "Chrome") & (n < 15))
+    return F.coalesce(noise, F.lit(True))
+
+
+def activity_days(rows: DataFrame) -> DataFrame:
+    """Activities (category, title, time) that say something, by category and day, in order of time."""
+    rows = rows.where(~is_activity_noise(F.col("category"), F.col("title")))
     titles = F.transform(F.array_sort(F.collect_list(F.struct("time", "title"))), lambda s: s["title"])
-    return rows.groupBy("category", F.substring("time", 1, 10).alias("day")).agg(F.array_join(titles, "\n").alias("content"), F.count("*").alias("n"))
+    day = F.coalesce(F.nullif(F.substring("time", 1, 10), F.lit("")), F.lit("unknown"))
+    return rows.groupBy("category", day.alias("day")).agg(F.array_join(titles, "\n").alias("content"), F.count("*").alias("n"))
+
+
+def comments(rows: DataFrame, size: int = 50) -> DataFrame:
+    """Comments (id, ts, text) in batches, in time order; ``captions`` in smaller ones."""
+    return batched(rows.where(text.trimmed(F.col("text")) != ""), F.date_format("ts", "yyyy-MM"), [F.col("ts"), F.col("id")], size, "text", "\n")
+
+
+def captions(rows: DataFrame, size: int = 30) -> DataFrame:
+    return comments(rows, size)
 
 
 def atom_feed(spark: SparkSession, path: str, least: int = 20) -> DataFrame:
@@ -142,8 +221,22 @@ def without_quotes(body: Column) -> Column:
     return text.trimmed(F.array_join(F.filter(F.split(cut, "\n"), lambda x: ~x.startswith(">")), "\n"))
 
 
-def is_automatic_mail(sender: Column, subject: Column, body: Column) -> Column:
-    return sender.rlike(r"(?i)(no-?reply|do-?not-?reply|notifications?|mailer-daemon|newsletter)@") | subject.rlike(r"(?i)^(out of office|automatic reply|delivery status)") | (F.regexp_count(body, F.lit(r"\{[^}]*\}")) > 10)
+#: What automatic mail looks like, in its sender, subject and body.
+AUTOMATIC_SENDERS = ("no-reply", "noreply", "no.reply", "automated@", "donotreply", "notifications@", "mailer-daemon", "postmaster@")
+AUTOMATIC_SUBJECTS = (
+    r"\b(receipt|invoice|payment|autopay|billing)\b", r"\byour (order|booking|reservation|subscription)\b", r"\bconfirmation #", r"\bbooking #", r"\bpassword reset\b",
+    r"\bverify your (email|account)\b", r"\bpayment (is )?due\b", r"\bpayment failed\b", r"\brequests? \$[\d,.]+",
+)
+AUTOMATIC_BODIES = ("reacted via gmail", "this message was automatically generated")
+
+
+def is_automatic_mail(sender: Column, subject: Column, body: Column, auto_submitted: Column | None = None) -> Column:
+    """Whether nobody wrote a mail: by its header, sender, subject, body, or style sheets in it."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    auto = low(auto_submitted) if auto_submitted is not None else F.lit("")
+    tests = [(auto != "") & (auto != "no"), low(subject) == "unsubscribe", F.regexp_count(F.coalesce(body, F.lit("")), F.lit(r"\{[^}]*\}")) > 10]
+    tests += [F.contains(low(body), F.lit(p)) for p in AUTOMATIC_BODIES] + [F.contains(low(sender), F.lit(p)) for p in AUTOMATIC_SENDERS] + [low(subject).rlike(p) for p in AUTOMATIC_SUBJECTS]
+    return reduce(Column.__or__, tests)
 
 
 def number_or_date(date_text: Column, millis: Column) -> Column:
@@ -194,6 +287,28 @@ def chat_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("at"), "role", "text")) - 1)
 
 
-def junk_reason(title: Column, answer: Column, patterns: dict[str, str], least: int = 400) -> Column:
-    """The first reason why a search is not kept: a junk title by pattern, or a short answer."""
-    return F.coalesce(*[F.when(title.rlike(p), F.lit(n)) for n, p in patterns.items()], F.when(F.char_length(answer) < least, "short_answer"))
+#: Titles of searches that are not kept.
+JUNK_TITLES = (
+    r"^how many\s+", r"^what (time|date|day)\s", r"^when (does|did|is)\s", r"^how do you spell\s", r"^spell\s\w+\s*$", r"^convert\s+[\d.]+\s", r"^\d+\s*(\x{b0}|degrees)",
+    r"^\d+\s*[+\-*/]\s*\d+", r"^(define|definition of)\s", r"^translate\s", r"^pronounce\s", r"^what does (.{1,30})\s+mean\s*\??$", r"^image\.(jpg|png|jpeg|webp)\s*$",
+)
+
+
+def junk_reason(title: Column, answer: Column, patterns: tuple[str, ...] = JUNK_TITLES, least: int = 400) -> Column:
+    """Why a search is not kept, or null: no answer, a short one, or a title of trivia."""
+    n, name = F.char_length(text.trimmed(F.coalesce(answer, F.lit("")))), text.trimmed(F.coalesce(title, F.lit("")))
+    return F.when(n == 0, "empty_answer").when(n < least, "short_answer").when(reduce(Column.__or__, [name.rlike(f"(?i){p}") for p in patterns]), "trivia_title")
+
+
+def searches(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """Searches (title, answer, asked) of an export as delimited text with a header, or as JSON."""
+    rows = spark.read.json(path, multiLine=True) if kind == "json" else spark.read.csv(path, header=True, multiLine=True, escape='"')
+    names = {c.lower().replace(" ", "_"): c for c in rows.columns}
+    first = lambda *cs: F.coalesce(*[F.col(f"`{names[c]}`").cast("string") for c in cs if c in names], F.lit(None).cast("string"))
+    return rows.select(first("title", "query", "question").alias("title"), first("answer", "answer_text", "response").alias("answer"), text.parsed_timestamp(first("created_at", "date", "timestamp")).alias("asked"))
+
+
+def memory_export(spark: SparkSession, path: str, dropped: tuple[str, ...] = ("IS_DELETED", "IS_FORGOTTEN")) -> DataFrame:
+    """Rows of a delimited memory export that are neither deleted nor forgotten."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return kept_memories(rows, [c for c in dropped if c in rows.columns])

@@ -13,18 +13,18 @@ from ..functions import text
 
 
 def changed(stream: DataFrame) -> DataFrame:
-    """Changes (id, content, generated_by) that need extraction: not generated, and with another
-    fingerprint than the id's last one, which is kept as state."""
-    rows = stream.where("generated_by IS NULL").select("id", text.fingerprint(F.col("content"), "md5").alias("print"))
+    """Changes (id, seq, content, generated_by) that need extraction: not generated, and with another
+    fingerprint than the id's last one, which is kept as state. Changes of a batch count in the
+    order of ``seq``."""
+    rows = stream.where("generated_by IS NULL").select("id", "seq", text.fingerprint(F.col("content"), "md5").alias("print"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         out = []
-        for pdf in batches:
-            for p in pdf["print"]:
-                if p != last:
-                    out.append((key[0], p))
-                    last = p
+        for p in pd.concat(list(batches)).sort_values("seq")["print"]:
+            if p != last:
+                out.append((key[0], p))
+                last = p
         state.update((last,))
         yield pd.DataFrame(out, columns=["id", "print"])
 
@@ -77,3 +77,35 @@ def fresh(stream: DataFrame, key: str, ts: str, late: str) -> DataFrame:
 def process(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str = "10 seconds"):
     """Work off a queue in micro-batches; a batch that fails is tried again from the checkpoint."""
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+# ---- the queue as tables: what a batch of the stream does ---------------------------------------
+
+
+def claimed(queue: DataFrame, n: int) -> DataFrame:
+    """The ``n`` entries (thought_id, status, queued_at, attempt_count) that wait longest."""
+    return queue.where("status = 'pending'").orderBy("queued_at", "thought_id").limit(n)
+
+
+def settled(queue: DataFrame, outcomes: DataFrame, most: int = 3) -> DataFrame:
+    """The queue after claimed entries (thought_id, ok, error) were worked on: done, or pending again
+    with an attempt more, or failed at the last attempt."""
+    rows = queue.join(outcomes.select("thought_id", "ok", "error"), "thought_id", "left")
+    tries = F.coalesce("attempt_count", F.lit(0)) + F.when(F.col("ok").isNotNull() & ~F.col("ok"), 1).otherwise(0)
+    status = F.when(F.col("ok").isNull(), F.col("status")).when(F.col("ok"), "complete").when(tries >= most, "failed").otherwise("pending")
+    return rows.select("thought_id", status.alias("status"), tries.alias("attempt_count"), "queued_at", F.when(~F.col("ok"), F.col("error")).alias("last_error"))
+
+
+def dirty_entities(queue: DataFrame, links: DataFrame, done: DataFrame, least: int = 3) -> DataFrame:
+    """Entities of the thoughts done whose pages are to be written again: with enough links, and only
+    once no entry of the queue waits."""
+    waiting = F.broadcast(queue.agg(F.count_if(F.col("status") == "pending").alias("waiting")))  # one row
+    touched = links.join(done.select("thought_id").distinct(), "thought_id", "left_semi").select("entity_id").distinct()
+    n = links.join(touched, "entity_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("links")).where(F.col("links") >= least)
+    return n.crossJoin(waiting).where("waiting = 0").select("entity_id", "links")
+
+
+def unprocessed(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows (id, update_time) that the log does not hold, or holds with an older time."""
+    old = log.select("id", F.col("update_time").alias("known"))
+    return rows.join(old, "id", "left").where(F.col("known").isNull() | (F.col("update_time") > F.col("known"))).drop("known")

@@ -62,7 +62,7 @@ def test_identities(spark):
 
 
 def test_junk_and_metadata(spark):
-    df = spark.createDataFrame([("12/3",), ("a.png",), ("apache spark",), ("misc",)], "n string")
+    df = spark.createDataFrame([("1/2/2024",), ("a.py",), ("apache spark",), ("The Tool",)], "n string")
     assert [r.v for r in df.select(curation.is_junk_topic(F.col("n")).alias("v")).collect()] == [True, True, False, True]
     raw = spark.createDataFrame([('"{\\"a\\": 1}"',), ('"text"',), ('{"a": 1}',)], "m string")
     assert [r.v for r in raw.select(curation.parsed_metadata(F.col("m")).alias("v")).collect()] == ['{"a": 1}', None, '{"a":1}']
@@ -84,3 +84,55 @@ def test_vault(spark, tmp_path):
     (tmp_path / "2024-02-03 note.md").write_text("---\ntags: x\n---\nSee [[Other|o]] and #idea\n" + "word " * 20)
     row = importers.vault(spark, str(tmp_path)).first()
     assert row.title == "2024-02-03 note" and row.links == ["Other"] and row.tags == ["idea"] and row.date == dt.date(2024, 2, 3)
+
+
+def test_chat_export(spark, tmp_path):
+    import json
+    import zipfile
+
+    def message(role, kind, *parts):
+        return {"author": {"role": role}, "create_time": 1.0, "content": {"content_type": kind, "parts": list(parts)}}
+
+    def chat(name):
+        nodes = {"r": (None, None), "a": ("r", message("user", "text", "hello")), "b": ("a", message("assistant", "text", "old")), "c": ("a", message("assistant", "multimodal_text", "new", {"audio_transcription": {"text": "said"}}))}
+        return {"id": name, "title": "t", "current_node": "c", "mapping": {k: {"id": k, "parent": p, "message": m} for k, (p, m) in nodes.items()}}
+
+    (tmp_path / "conversations-001.json").write_bytes(b"\xef\xbb\xbf" + json.dumps([chat("x")]).encode())
+    (tmp_path / "other.json").write_text("[]")
+    with zipfile.ZipFile(tmp_path / "export.zip", "w") as z:
+        z.writestr("export/conversations.json", json.dumps([chat("y"), chat("z")]))
+    found = importers.chat_export(spark, str(tmp_path))
+    assert {r.id for r in found.collect()} == {"x", "y", "z"}
+    path = importers.canonical_path(importers.chat_nodes(found)).where("text IS NOT NULL AND role IS NOT NULL")
+    got = {}
+    for r in sorted(path.collect(), key=lambda r: r.position):
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {k: [("user", "hello"), ("assistant", "new\nsaid")] for k in "xyz"}
+
+
+def test_search_and_memory_exports(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('Title,Answer,Created At\n"A, b","line one\nline ""two""",2024-01-02\n')
+    (tmp_path / "s.json").write_text('[{"query": "q", "answer_text": "a", "timestamp": "2024-01-02T03:04:05Z"}]')
+    (tmp_path / "m.csv").write_text("MEMORY,IS_DELETED,IS_FORGOTTEN\nkeep,false,\ngone,TRUE,\npast,no,1\n")
+    row = importers.searches(spark, str(tmp_path / "s.csv")).first()
+    assert (row.title, row.answer, row.asked.year) == ("A, b", 'line one\nline "two"', 2024)
+    row = importers.searches(spark, str(tmp_path / "s.json"), "json").first()
+    assert (row.title, row.answer, row.asked.hour) == ("q", "a", 3)
+    assert [r.MEMORY for r in importers.memory_export(spark, str(tmp_path / "m.csv")).collect()] == ["keep"]
+
+
+def test_backup_and_summary(spark, tmp_path):
+    rows = spark.range(7).selectExpr("id", "id % 2 AS half")
+    importers.export_tables({"a": rows, "b": rows.limit(0)}, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/a")).agg(F.sum("id")).first()[0] == 21
+    rows.coalesce(1).write.csv(str(tmp_path / "c"), header=True, sep="\t")
+    got = importers.csv_summary(spark, str(tmp_path / "c"), "\t")
+    assert (got["rows"], got["columns"], got["header"], len(got["preview"])) == (7, 2, ["id", "half"], 5)
+
+
+def test_atom_feed(spark, tmp_path):
+    entry = '<entry><id>{i}</id><title>T</title><content type="html">&lt;p&gt;{body}&lt;/p&gt;</content><published>2024-01-02T03:04:05Z</published><category term="http://x/kind#{kind}"/></entry>'
+    body = "".join(entry.format(i=i, body=b, kind=k) for i, b, k in ((1, "a long enough text of a post", "post"), (2, "short", "post"), (3, "a long enough text of settings", "settings"), (4, "a long enough comment text", "comment")))
+    (tmp_path / "f.xml").write_text(f"<feed>{body}</feed>")
+    got = {r.id: (r.kind, r.content) for r in importers.atom_feed(spark, str(tmp_path / "f.xml")).collect()}
+    assert got == {"1": ("post", "a long enough text of a post"), "4": ("comment", "a long enough comment text")}

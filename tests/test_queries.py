@@ -12,9 +12,8 @@ def test_same_as_sql(spark, sf, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_runs(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).count() >= 0
+def test_all_have_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
 
 def test_entry(spark):

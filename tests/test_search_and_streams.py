@@ -93,9 +93,9 @@ def _streamed(spark, frames, schema, plan):
 
 
 def test_changes_are_queued_once(spark):
-    frames = [[(1, "a b", None), (2, "x", "worker"), (1, "A  b", None)]]
-    got = _streamed(spark, frames, "id long, content string, generated_by string", changes.changed)
-    assert [r.id for r in got] == [1]
+    frames = [[(1, 3, "a b", None), (2, 1, "x", "worker"), (1, 1, "A  b", None), (1, 2, "other", None)], [(1, 4, "a B", None)]]
+    got = _streamed(spark, frames, "id long, seq long, content string, generated_by string", changes.changed)
+    assert [r.id for r in got] == [1, 1, 1]  # the first, the other one and back again
 
 
 def test_rate_limit(spark):

@@ -8,7 +8,8 @@ For every page and each language of the labelled documents, the logarithms of th
 - markup: that the page declares its language rightly with probability MARKUP;
 - address suffix: that a country's host is in one of the country's languages with SUFFIX;
 - host: the share of languages among the host's other pages by their own evidence, smoothed with
-  HOST_WEIGHT pages of the whole table's shares. A page never counts in its own prior.
+  HOST_WEIGHT pages of the shares of all hosts with its address suffix, and these with SUFFIX_WEIGHT
+  pages of the whole table's shares. A page never counts in its own prior, at no level.
 
 Shares are summed as whole numbers of 1 / SCALE, so results do not hang on the order of rows.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sized_join, staged
@@ -36,7 +37,7 @@ BUCKETS = 1 << 14
 SMOOTHING = 0.5
 TEXT_WEIGHT = 100.0
 MARKUP, SUFFIX = 0.9, 0.7
-HOST_WEIGHT = 8
+HOST_WEIGHT, SUFFIX_WEIGHT = 8, 32
 SCALE = 1_000_000_000
 #: Letters below which the text of menus and footers is read too.
 FEW_LETTERS = 20
@@ -177,15 +178,23 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = staged(rows.mapInArrow(_evidence(langs, logs), f"page_id {of}, host string, declared string, text_lang string, evidence array<double>, own array<bigint>"), "evidence")
 
-    sums = F.array(*(F.sum(F.col("own")[i]) for i in range(len(langs)))).alias("sums")
-    hosts = staged(rows.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), sums), "hosts")
-    whole = rows.agg(F.count("*").alias("n"), sums).first()
-    shares = [((s or 0) + SCALE) / (SCALE * (whole["n"] + len(langs))) for s in whole["sums"]]
+    # the last label of a host; the levels' sums are grouped aggregations
+    rows = rows.withColumn("suffix", F.substring_index("host", ".", -1))
+    sums = [F.count("*").alias("n"), F.array(*(F.sum(F.col("own")[i]) for i in range(len(langs)))).alias("sums")]
+    hosts = staged(rows.where("host IS NOT NULL").groupBy("host").agg(*sums), "hosts")
+    suffixes = staged(rows.where("suffix IS NOT NULL").groupBy("suffix").agg(*sums), "suffixes").withColumnsRenamed({"n": "suffix_n", "sums": "suffix_sums"})
+    whole = rows.agg(*sums).first()
+    found = sized_join(sized_join(rows, hosts, ["host"], "left"), suffixes, ["suffix"], "left")
 
-    prior = F.array(*(
-        (F.coalesce(F.col("sums")[i] - F.col("own")[i], F.lit(0)) / F.lit(float(SCALE)) + F.lit(HOST_WEIGHT * share)) / (F.coalesce(F.col("n") - 1, F.lit(0)) + HOST_WEIGHT) for i, share in enumerate(shares)
-    ))
-    found = sized_join(rows, hosts, ["host"], "left")
+    def others(sums: Column, i: int) -> Column:
+        return F.coalesce(sums[i] - F.col("own")[i], F.lit(0)) / F.lit(float(SCALE))
+
+    def smoothed(i: int) -> Column:
+        share = ((F.lit((whole["sums"][i] or 0) + SCALE) - F.col("own")[i]) / F.lit(float(SCALE))) / (whole["n"] - 1 + len(langs))
+        near = (others(F.col("suffix_sums"), i) + SUFFIX_WEIGHT * share) / (F.coalesce(F.col("suffix_n") - 1, F.lit(0)) + SUFFIX_WEIGHT)
+        return (others(F.col("sums"), i) + HOST_WEIGHT * near) / (F.coalesce(F.col("n") - 1, F.lit(0)) + HOST_WEIGHT)
+
+    prior = F.array(*map(smoothed, range(len(langs))))
     found = found.withColumn("scores", F.zip_with("evidence", prior, lambda e, p: e + F.log(p)))
     found = found.withColumn("best", F.array_max("scores"))
     total = F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("best")))

@@ -15,8 +15,8 @@ put together.
 
 Defined cases: a null html is an empty payload, a null url an empty one; rows with a null page_id
 are written without an id and come after all others in the choice of a response; where rows repeat
-the smallest page_id of equal payloads, each of them is a response; an empty table gives an empty
-archive and result; other columns are ignored. White space and control characters of a url are
+the smallest page_id of equal payloads, one with the smallest url is the response and the others
+revisit it; an empty table gives an empty archive and result; other columns are ignored. White space and control characters of a url are
 written as %20.
 """
 
@@ -51,8 +51,20 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -
     firsts = rows.where(F.octet_length("html") >= least_bytes).select("page_id", digest).groupBy("digest")
     firsts = staged(firsts.agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "firsts")
     rows = sized_join(rows.withColumn("digest", digest), firsts.withColumn("copied", F.lit(True)), ["digest"], "left")
-    revisit = F.coalesce("copied", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    block = F.concat(F.lit(HTTP), F.octet_length("html").cast("string"), F.lit(END), F.when(revisit, F.lit("")).otherwise(F.col("html")))
+    first = F.coalesce("copied", F.lit(False)) & F.col("page_id").eqNullSafe(F.col("first"))
+    rows = rows.withColumns({"revisit": F.coalesce("copied", F.lit(False)) & ~first, "bytes": F.octet_length("html")})
+    columns = ["page_id", "url", "digest", "first", "revisit", "bytes", "html"]
+    # rows that repeat the smallest page_id are alike but for the url: they are written by their count
+    by_url = staged(rows.where(first).groupBy("digest", "url").agg(F.count("*").alias("n")), "firsts")
+    repeated = staged(by_url.groupBy("digest").agg(F.min("url").alias("lead"), F.sum("n").alias("n")).where("n > 1").select("digest", "lead"), "repeated")
+    if repeated.limit(1).count():
+        held = sized_join(rows.where(first), repeated, ["digest"])
+        alike = held.groupBy("digest", "url", "lead", "page_id", "first", "bytes").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+        alike = alike.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).withColumn("revisit", (F.col("url") != F.col("lead")) | (F.col("i") > 1))
+        rest = sized_join(rows.withColumn("is_first", first), repeated.withColumn("is_first", F.lit(True)), ["digest", "is_first"], "left_anti")
+        rows = rest.select(columns).union(alike.select(columns))
+    revisit = F.col("revisit")
+    block = F.concat(F.lit(HTTP), F.col("bytes").cast("string"), F.lit(END), F.when(revisit, F.lit("")).otherwise(F.col("html")))
     record = F.concat(
         F.lit(f"{MAGIC}WARC-Type: "),
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),

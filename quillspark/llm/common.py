@@ -16,14 +16,16 @@ BROADCAST_ROWS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one the cluster names in spark.checkpoint.dir. Only where that is unset (tests,
-    local mode) a temporary folder is made and set as the checkpoint folder.
+    It is the one the cluster names in spark.checkpoint.dir. Only where that is unset in local mode
+    (tests) a temporary folder is made and set as the checkpoint folder; on a cluster it raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     at = spark.sparkContext.getCheckpointDir()
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         at = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()

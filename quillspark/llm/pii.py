@@ -1,19 +1,25 @@
 """Personal data: detection and keyed, type-consistent surrogates.
 
-Detected entities (e-mail and network addresses, phone, card, social security and bank account
-numbers, names after a form of address) are replaced by surrogates drawn from a keyed hash of the
-entity's normal form. The same entity gets the same surrogate everywhere, however it is written
-(coreference); a surrogate keeps the kind, the layout, the script and, for names, the gender.
+Detected entities are replaced by surrogates drawn from a keyed hash of the entity's normal form: e-mail
+and network addresses, phone, card, social security, bank account and passport numbers, street
+addresses, and names that follow a form of address or a phrase like "my name is". Within a text the
+family name and the full name are then found without it too.
+
+The same entity gets the same surrogate everywhere, however it is written (coreference): phone numbers
+with and without the country code 1 are one, and names are drawn word by word, so "Mr. John Smith",
+"Dr. Smith" and "Smith" share the family name's surrogate. A surrogate keeps the kind, the layout, the
+script and, for given names, the gender that the text tells.
 
 Different entities keep different surrogates: candidates are checked over the whole corpus against
 each other and against the entities that really occur; those that collide draw again until none
-does. Only entities that had to draw again (``redrawn``) are looked up when texts are rewritten;
-for all others the first draw is computed where the text lies.
+does, from a space that grows where the format allows it; else it raises. Only entities that had to
+draw again (``redrawn``) are looked up when texts are rewritten; for all others the first draw is
+computed where the text lies.
 
 Defined cases: null and empty texts come back as empty texts without entities; texts are rewritten
 whole; overlapping finds are resolved to the leftmost, then longest; repeated rows are rewritten
 alike; rows with a null doc_id are rewritten too; an empty table gives an empty result; other
-columns are ignored.
+columns come back as they are, but one called entities is replaced.
 """
 
 from __future__ import annotations
@@ -30,12 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import sized_join, staged
 
-KEY = b"replace in production"
 MAX_DRAWS = 200
-#: Draws after which addresses and names grow by a character or syllable, and after which a
-#: surrogate may equal a real entity (but never another surrogate).
-WIDEN, WAIVE = 6, 60
-KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "name")
+#: Draws after which mail addresses and names grow by a character or syllable.
+WIDEN = 6
+KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "passport", "address", "name")
 
 
 class Entity(NamedTuple):
@@ -61,7 +65,23 @@ TITLES = {
     "n": "Dr Prof".split(),
 }
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? ((?:[^\W\d_a-zà-ÿа-я][^\W\d_]+)(?:[ -][^\W\d_a-zà-ÿа-я][^\W\d_]+){{0,2}})(?!\w)")
+_WORD = r"[^\W\d_a-zà-ÿа-яά-ώ][^\W\d_]+"
+_NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? ({_WORD}(?:[ -]{_WORD})*)(?!\w)")
+#: Phrases that a name follows.
+CUES = "my name is|name is|mein name ist|ich heiße|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут"
+_CUED = re.compile(rf"(?<!\w)(?i:{CUES}) ({_WORD}(?:[ -]{_WORD}){{0,3}})(?!\w)")
+_PASSPORT = re.compile(r"(?i:passport|reisepass|passeport|pasaporte)(?i: (?:no|number|nr|nummer|numéro|número))?[.:]? ?#?([A-Z]{1,2}\d{6,8})(?!\w)")
+#: Kinds of streets, before the name, after it, or at its end.
+STREETS = {"after": "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square", "before": "rue|avenue|boulevard|place|Calle|Avenida|Plaza|Paseo", "end": "straße|strasse|weg|platz|allee|gasse"}
+_STREET = re.compile(
+    rf"(?<!\w)\d{{1,5}} (?:{_WORD} ){{1,3}}(?:{STREETS['after']})(?!\w)|(?<!\w)\d{{1,4}},? (?:{STREETS['before']}) (?:de la |du |des |de |d')?{_WORD}(?: {_WORD})?(?!\w)"
+    rf"|(?<!\w)(?:{STREETS['before']}) (?:de la |del |de )?{_WORD}(?: {_WORD})?,? \d{{1,4}}(?!\w)|(?<!\w){_WORD}(?:{STREETS['end']}) \d{{1,4}}[a-z]?(?!\w)"
+)
+#: What every mention of a passport holds, and every address.
+_PASSES = ("assport", "asseport", "asaporte", "eisepass", "ASSPORT", "ASSEPORT", "ASAPORTE", "EISEPASS")
+_HOUSE = re.compile(r"(?<!\w)\d{1,5}[a-z]?(?!\w)")
+_STREET_WORDS = {w.lower() for k in ("after", "before") for w in STREETS[k].split("|")} | {"de", "la", "du", "des", "del", "d"}
+_LETTER_RUN = re.compile(r"[^\W\d_]+")
 #: Syllables that names are made of, and their endings by gender, by script.
 SYLLABLES = {
     "latin": ("ba be bo da de do fa fi ga go ka ke ki la le li lo ma me mi mo na ne ni no pa po ra re ri ro sa se si so ta te ti to va ve vi".split(), {"m": "n r s".split(), "f": "a ia".split(), "n": "l m".split()}),
@@ -83,6 +103,14 @@ def script_of(text: str) -> str:
     return "latin"
 
 
+def alphabet(letter: str) -> str:
+    """Letters among which one may be exchanged: those of its script, or of its block of the same case."""
+    if script_of(letter) != "latin" or ord(letter) < 0x250:
+        return _LETTERS[script_of(letter)]
+    low = ord(letter) & ~63
+    return "".join(c for c in map(chr, range(low, low + 64)) if c.isalpha() and c.isupper() == letter.isupper()) or letter
+
+
 def _luhn(digits: str) -> int:
     """The check digit for digits without one."""
     total = sum(d if i % 2 else d // 5 + d * 2 % 10 for i, d in enumerate(int(c) for c in reversed(digits)))
@@ -97,6 +125,42 @@ def _is_iban(compact: str) -> bool:
     return 15 <= len(compact) <= 34 and _mod97(compact[4:] + compact[:4]) == 1
 
 
+def _name_norm(gender: str, name: str) -> str:
+    """Words of a name with what they are: given names with the gender told, and the family name."""
+    words = _LETTER_RUN.findall(name.casefold())
+    return " ".join([f"{gender}:{w}" for w in words[:-1]] + [f"s:{w}" for w in words[-1:]])
+
+
+def _names(text: str) -> list[Entity]:
+    told = [(m.start(2), m.group(2), _GENDER[m.group(1)]) for m in _NAME.finditer(text)]
+    low = text.lower()
+    if any(cue in low for cue in CUES.split("|")):
+        told += [(m.start(1), m.group(1), "n") for m in _CUED.finditer(text)]
+    if not told:
+        return []
+    genders: dict[str, set[str]] = {}
+    for _, name, gender in told:
+        for w in _LETTER_RUN.findall(name.casefold())[:-1]:
+            genders.setdefault(w, set()).add(gender)
+    # a given name told with one gender has it wherever the text tells none
+    known = {w: (g - {"n"}).pop() if len(g - {"n"}) == 1 else "n" for w, g in genders.items()}
+
+    def norm(gender: str, name: str) -> str:
+        parts = _name_norm(gender, name).split(" ")
+        return " ".join(f"{known.get(p[2:], 'n')}:{p[2:]}" if p[0] == "n" else p for p in parts)
+
+    found = [Entity(at, at + len(name), "name", norm(gender, name)) for at, name, gender in told]
+    bare = {}
+    for _, name, gender in told:
+        last = _LETTER_RUN.findall(name)[-1]
+        bare[name] = bare[name.upper()] = norm(gender, name)
+        if len(last) > 2:
+            for form in (last, last.upper()):
+                bare.setdefault(form, f"s:{last.casefold()}")
+    again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(bare, key=len, reverse=True)))})(?!\w)")
+    return found + [Entity(*m.span(), "name", bare[m.group()]) for m in again.finditer(text)]
+
+
 def detect(text: str) -> list[Entity]:
     """Entities in order, none overlapping."""
     found: list[Entity] = []
@@ -117,13 +181,19 @@ def detect(text: str) -> list[Entity]:
                 if kind == "card" and not 13 <= len(norm) <= 19:
                     continue
                 used[a - lo : b - lo] = b"\1" * (b - a)
+                if kind == "phone" and len(norm) == 11 and norm[0] == "1":
+                    norm = norm[1:]
                 found.append(Entity(a, b, kind, norm))
     for m in _IBAN.finditer(text):
         compact = m.group().replace(" ", "")
         if _is_iban(compact):
             found.append(Entity(*m.span(), "iban", compact))
-    for m in _NAME.finditer(text):
-        found.append(Entity(*m.span(2), "name", f"{_GENDER[m.group(1)]}:{m.group(2).casefold()}"))
+    if any(word in text for word in _PASSES):
+        found += [Entity(*m.span(1), "passport", m.group(1)) for m in _PASSPORT.finditer(text)]
+    # a street address lies around a number
+    near = {m for n in _HOUSE.finditer(text) for m in (a.span() for a in _STREET.finditer(text, max(0, n.start() - 80), n.end() + 80))}
+    found += [Entity(a, b, "address", " ".join(re.findall(r"\w+", text[a:b].casefold()))) for a, b in near]
+    found += _names(text)
     out: list[Entity] = []
     for e in sorted(found, key=lambda e: (e.start, -e.end, e.kind)):
         if not out or e.start >= out[-1].end:
@@ -148,7 +218,7 @@ class Draw:
             if c.isdigit():
                 out.append(str(self.below(10)))
             elif c.isalpha():
-                letters = _LETTERS[script_of(c)]
+                letters = alphabet(c)
                 new = letters[self.below(len(letters))]
                 out.append(new.upper() if c.isupper() else new)
             else:
@@ -156,8 +226,13 @@ class Draw:
         return "".join(out)
 
 
+def _syllabic(d: Draw, word: str, ends_: str, draw: int) -> str:
+    syllables, ends = SYLLABLES[script_of(word)]
+    return "".join(syllables[d.below(len(syllables))] for _ in range(max(2, min(4, len(word) // 2)) + draw // WIDEN)) + ends[ends_][d.below(len(ends[ends_]))]
+
+
 def surrogate(key: bytes, kind: str, norm: str, draw: int = 0) -> str:
-    """The normal form of an entity's surrogate."""
+    """The normal form of an entity's surrogate; of a name that of one word (with its prefix)."""
     d = Draw(key, kind, norm, draw)
     if kind == "email":
         local, _, domain = norm.rpartition("@")
@@ -178,28 +253,52 @@ def surrogate(key: bytes, kind: str, norm: str, draw: int = 0) -> str:
         return body + str((_luhn(body) + (0 if valid else 1 + d.below(9))) % 10)
     if kind == "phone":
         new = d.like(norm)
-        if len(norm) == 11 and norm[0] == "1":
-            return f"1{2 + int(new[1]) % 8}{new[2:4]}{2 + int(new[4]) % 8}{new[5:]}"
+        if len(norm) == 10:  # area and exchange do not start with 0 or 1
+            return f"{2 + int(new[0]) % 8}{new[1:3]}{2 + int(new[3]) % 8}{new[4:]}"
         return (norm[:2] if len(norm) > 10 else "") + new[2 if len(norm) > 10 else 0 :]
     if kind == "ssn":
         return f"{900 + d.below(100)}{d.below(99) + 1:02}{d.below(9999) + 1:04}"
     if kind == "iban":
         body = d.like(norm[4:])
         return f"{norm[:2]}{98 - _mod97(f'{body}{norm[:2]}00'):02}{body}"
-    gender, _, name = norm.partition(":")
-    syllables, ends = SYLLABLES[script_of(name)]
-    parts = re.split(r"([ -])", name)
-    return f"{gender}:" + "".join(p if i % 2 else "".join(syllables[d.below(len(syllables))] for _ in range(max(2, min(4, len(p) // 2)) + draw // WIDEN)) + ends[gender][d.below(len(ends[gender]))] for i, p in enumerate(parts))
+    if kind == "passport":
+        return d.like(norm)
+    if kind == "address":
+        ends = [e for e in STREETS["end"].split("|")]
+        out = []
+        for w in norm.split(" "):
+            end = next((e for e in ends if w.endswith(e)), "")
+            if w[0].isdigit():
+                digits = w.rstrip("abcdefghijklmnopqrstuvwxyz")
+                out.append(str(1 + d.below(9)) + d.like(digits[1:]) + w[len(digits) :])
+            else:
+                out.append(w if w in _STREET_WORDS else _syllabic(d, w, "n", draw) + end)
+        return " ".join(out)
+    role, _, word = norm.partition(":")
+    return f"{role}:{_syllabic(d, word, role if role in 'mf' else 'n', draw)}"
+
+
+def parts(kind: str, norm: str) -> list[str]:
+    """What draws by itself: the words of a name, all else whole."""
+    return norm.split(" ") if kind == "name" else [norm]
+
+
+def _cased(new: str, old: str) -> str:
+    return new.upper() if old.isupper() and len(old) > 1 else new.capitalize() if old[:1].isupper() else new
 
 
-def written(kind: str, new: str, old: str) -> str:
-    """A surrogate's normal form in the layout of the text that it replaces."""
+def written(kind: str, new: list[str], old: str) -> str:
+    """Surrogates' normal forms in the layout of the text that they replace."""
     if kind == "name":
-        name = new.partition(":")[2]
-        return name.upper() if old.isupper() else re.sub(r"[^\W\d_]+", lambda m: m.group().capitalize(), name)
+        words = iter(w.partition(":")[2] for w in new)
+        return _LETTER_RUN.sub(lambda m: _cased(next(words, ""), m.group()), old)
+    if kind == "address":
+        words = iter(new[0].split(" "))
+        return re.sub(r"\w+", lambda m: _cased(next(words, ""), m.group()), old)
     if kind in ("email", "ip"):
-        return new.upper() if old.isupper() else new
-    chars = iter(new)
+        return new[0].upper() if old.isupper() else new[0]
+    digits = sum(c.isalnum() for c in old)
+    chars = iter("1" * (digits - len(new[0])) + new[0] if kind == "phone" else new[0])
     return "".join(next(chars, "") if c.isalnum() else c for c in old)
 
 
@@ -212,7 +311,7 @@ def _texts(column: pa.Array) -> Iterator[str]:
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("norm", pa.string())]))
     for got in batches:
-        out = [[{"kind": e.kind, "norm": e.norm} for e in detect(t)] for t in _texts(got.column(1))]
+        out = [[{"kind": e.kind, "norm": n} for e in detect(t) for n in parts(e.kind, e.norm)] for t in _texts(got.column(1))]
         yield pa.RecordBatch.from_arrays([got.column(0), pa.array(out, kind)], names=["doc_id", "found"])
 
 
@@ -226,7 +325,7 @@ def _draws(key: bytes):
     return run
 
 
-def redrawn(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, norm and draw of the entities (kind, norm; no repeats) whose first draw collides with
     an entity or with another's surrogate. Of equal candidates the smallest entity keeps it."""
     spark = entities.sparkSession
@@ -235,7 +334,7 @@ def redrawn(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     for draw in range(MAX_DRAWS):
         drawn = waiting.select("kind", "norm", F.lit(draw).alias("draw")).mapInArrow(_draws(key), schema)
         drawn = staged(drawn.join(entities.select("kind", F.col("norm").alias("new"), F.lit(True).alias("real")), ["kind", "new"], "left").select("kind", "norm", "draw", "new", "real"), "drawn")
-        free = drawn.where("real IS NULL") if draw < WAIVE else drawn
+        free = drawn.where("real IS NULL")
         if taken is not None:
             free = free.join(taken.select("kind", "new"), ["kind", "new"], "left_anti")
         first = free.groupBy("kind", "new").agg(F.min("norm").alias("norm"))
@@ -263,7 +362,7 @@ def _rewriter(key: bytes):
                 again = {(d["kind"], d["norm"]): d["draw"] for d in draws or ()}
                 out, at, own = [], 0, []
                 for e in detect(text):
-                    new = surrogate(key, e.kind, e.norm, again.get((e.kind, e.norm), 0))
+                    new = [surrogate(key, e.kind, n, again.get((e.kind, n), 0)) for n in parts(e.kind, e.norm)]
                     out += [text[at : e.start], written(e.kind, new, text[e.start : e.end])]
                     at = e.end
                     own.append({"kind": e.kind, "start": e.start, "end": e.end})
@@ -274,9 +373,11 @@ def _rewriter(key: bytes):
     return run
 
 
-def pseudonymized(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymized(docs: DataFrame, key: bytes) -> DataFrame:
     """The columns of ``docs`` with text rewritten, and ``entities``: array of kind, start, end
-    (code points of the old text)."""
+    (code points of the old text). The key is a secret: who has it can tell which surrogate belongs
+    to a guessed entity."""
+    docs = docs.drop("entities")
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("key"), F.col("text").cast("string").alias("text"))
     of = dict(docs.dtypes)["doc_id"]

@@ -64,8 +64,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret of the surrogates, from the setting spark.quill.pii.key; the test tables, whose
+    persons are invented, have a public one."""
+    return spark.conf.get("spark.quill.pii.key", "public key of the test tables").encode()
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = pii.pseudonymized(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    new = pii.pseudonymized(_table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
     spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))), ",")
     return new.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), spans.alias("spans"))
 

@@ -198,11 +198,13 @@ def test_languages_match_brute_force(spark):
         e = np.array([weight * sum(np.log(count[x][b] / sum(count[x])) for b in grams) for x in langs])
         evidence.append(e + told([said], 0.9) + told(country.get((site or "").split(".")[-1], []), 0.7))
     shares = [np.exp(e - e.max()) / np.exp(e - e.max()).sum() for e in evidence]
-    whole = (sum(shares) + 1) / (len(shares) + 3)
     want = []
     for i, (site, said, _) in enumerate(shown):
+        whole = (sum(s for j, s in enumerate(shares) if j != i) + 1) / (len(shares) - 1 + 3)
+        ending = [s for j, s in enumerate(shares) if site and (shown[j][0] or "").split(".")[-1] == site.split(".")[-1] and j != i]
+        near = (sum(ending) + 32 * whole) / (len(ending) + 32)
         others = [s for j, s in enumerate(shares) if site and shown[j][0] == site and j != i]
-        score = evidence[i] + np.log((sum(others) + 8 * whole) / (len(others) + 8))
+        score = evidence[i] + np.log((sum(others) + 8 * near) / (len(others) + 8))
         p = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
         want.append((str(pages[i][0]), str(site), str(said), langs[int(p.argmax())], round(float(p.max()), 5)))
 
@@ -398,12 +400,96 @@ def test_piece_lengths():
 # ---- PII ----------------------------------------------------------------------------------------
 
 
+KEY = b"a key"
+
+
+def test_detection_of_planted_entities(spark):
+    # entities of every kind at known places of prose: found as they are, and nothing else
+    r = random.Random(9)
+    forms = {
+        "email": lambda: f"{r.choice('abc')}.{r.choice('xyz')}{r.randrange(99)}@mail{r.randrange(9)}.example.org", "phone": lambda: f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}", "ip": lambda: f"{r.randrange(11, 99)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(1, 255)}",
+        "card": lambda: "4" + "".join(str(r.randrange(10)) for _ in range(15)), "ssn": lambda: f"{r.randrange(100, 600)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", "iban": lambda: "DE89370400440532013000",
+        "passport": lambda: f"C{r.randrange(1000000, 9999999)}", "address": lambda: f"{r.randrange(1, 999)} {r.choice(['Baker', 'Old Mill', 'Oak'])} {r.choice(['Street', 'Road', 'Lane'])}", "name": lambda: f"{r.choice(['Anna', 'Iwan', 'Zoë'])} {r.choice(['Muster', 'O', 'Wang'])}{r.choice('abc')}",
+    }
+    before = {"passport": "Passport No. ", "name": "Frau "}
+    seen = set()
+    for k in range(300):
+        text, want = prose(k, 12), []
+        for _ in range(r.randrange(4)):
+            kind = r.choice(sorted(forms))
+            value = forms[kind]()
+            text += " " + before.get(kind, "")
+            want.append((len(text), len(text) + len(value), kind))
+            text += value + " , " + prose(k + 1000, 6)
+            seen.add(kind)
+        assert [e[:3] for e in pii.detect(text)] == want, text
+    assert seen == set(pii.KINDS)
+
+
+def test_coreference_and_distinctness(spark):
+    texts = ["Mr. John Smith came. Dr. Smith left, SMITH said; John Smith slept.", "Mrs. Smith and Mr. Jane Doe-Smith", "call 464-555-9887", "call +1 464 555 9887", "my name is Ana Gil. Ana Gil!", "Passport No. AB1234567 and 12 Baker Street", "12 baker Street"]
+    rows = {r.doc_id: r for r in pii.pseudonymized(docs(spark, texts).withColumn("entities", F.lit("clash")), KEY).collect()}
+    given, family = re.match(r"Mr\. (\w+) (\w+) came", rows[0].text).groups()
+    assert rows[0].text == f"Mr. {given} {family} came. Dr. {family} left, {family.upper()} said; {given} {family} slept." and "Smith" != family
+    assert rows[1].text.startswith(f"Mrs. {family} and Mr. ") and rows[1].text.endswith(f"-{family}")
+    assert re.sub(r"\D", "", rows[3].text) == "1" + re.sub(r"\D", "", rows[2].text) and rows[2].text[5] in "23456789"
+    assert re.fullmatch(r"my name is (\w+ \w+)\. \1!", rows[4].text) and "Gil" not in rows[4].text
+    assert not any(x in rows[5].text for x in ("AB1234567", "Baker")) and rows[5].text.endswith("Street")
+    # many entities of every kind: as many surrogates, none of them a real one
+    r = random.Random(4)
+    many = {
+        "phone": [f"{a}5550{b:03}" for a in (212, 313) for b in range(300)], "ssn": [f"123-45-{i:04}" for i in range(1, 400)], "ip": [f"10.0.{a}.{b}" for a in range(4) for b in range(1, 90)], "card": [f"4{i:015}" for i in range(400)],
+        "passport": [f"X{i:06}" for i in range(400)], "email": [f"{a}{b}@x.org" for a in "abcd" for b in range(100)], "name": [f"s:{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in "lmnr"], "address": [f"{i} oak street" for i in range(400)],
+    }
+    entities = [(k, x.replace("-", "") if k == "ssn" else x) for k, xs in many.items() for x in xs]
+    table = common.staged(spark.createDataFrame(entities, "kind string, norm string"), "entities")
+    draws = {(x.kind, x.norm): x.draw for x in pii.redrawn(table, KEY).collect()}
+    for kind in many:
+        own = [n for k, n in entities if k == kind]
+        new = [pii.surrogate(KEY, kind, n, draws.get((kind, n), 0)) for n in own]
+        assert len(set(new)) == len(own) and not set(new) & set(own), kind
+        assert all(re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(new, own) if kind in ("phone", "ssn", "card"))
+    assert r
+
+
+def test_repeated_rows_null_ids_and_long_texts(spark):
+    long = " ".join([prose(1, 200)] * 150 + ["mail a1@x.org", "Frau Anna Muster", prose(2, 20)])
+    rows = [(None, long, "en", "a", 1), (None, long, "en", "a", 1), (3, "x", None, None, None), (3, "x", None, None, None), (None, None, None, None, None)]
+    d = spark.createDataFrame(rows, DOCS)
+    new = pii.pseudonymized(d, KEY).collect()
+    assert len(new) == 5 and len({r.text for r in new if r.doc_id is None}) == 2 and all("a1@x.org" not in r.text for r in new)
+    assert len(secrets.scan_secrets(d).collect()) == 5
+    near = simhash.near_duplicates(d).collect()
+    assert len(near) == 5 and {r.component_id for r in near if r.doc_id == 3} == {3}
+    assert {r.component_id for r in simhash.similar_documents(d).collect()} == {None, 3}
+    pieces = packing.pack_documents(d, queries.tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in pieces} == {None, 3}
+    mixed = mixing.decisions(d).collect()
+    assert len(mixed) == 5 and all(0 <= r.probability <= 1 for r in mixed)
+    sketch = sketches.compare_versions(d).collect()
+    assert len(sketch) == 5 and all(0 <= r.near_next <= 1 for r in sketch)
+    labels = spark.createDataFrame([(3, 1, 0), (3, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert len(toxicity.score(d, labels).collect()) == 5
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), (4, [1.0, 0.1]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id) for r in embeddings.near_duplicates(vectors).collect()))
+    assert got == [(0, 2, 4), (0, 2, 4), (4, 0, 4), (4, 2, 4)]
+
+
+def test_warc_rows_that_repeat_a_page(spark, tmp_path):
+    body = "<p>" + "word " * 40
+    rows = [(1, "http://b/", body), (1, "http://a/", body), (1, "http://a/", body), (2, "http://c/", body), (None, "http://d/", body), (5, "http://e/", "short"), (5, "http://e/", "short")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x")).withColumn("first", F.lit(1))
+    warc.write_archive(d, f"file://{tmp_path}/w")
+    got = sorted(((str(r.page_id), r.url, r.record_type, r.refers_to) for r in warc.read_archive(spark, f"file://{tmp_path}/w").collect()), key=str)
+    assert got == sorted([("1", "http://a/", "response", None), ("1", "http://a/", "revisit", 1), ("1", "http://b/", "revisit", 1), ("2", "http://c/", "revisit", 1), ("None", "http://d/", "revisit", 1)] + [("5", "http://e/", "response", None)] * 2, key=str)
+
+
 def test_surrogates_keep_kind_and_distinctness(spark):
     mails = [f"{a}{b}@x.com" for a in "abcdefgh" for b in "0123456789"]
     texts = [f"write to {m} or {m.upper()}" for m in mails]
     texts += ["call +1 (464) 555-9887, card 4041894974608795, ip 42.144.35.254.", "again +1 464 555 9887", "Mr. John Smith and Frau Erika Muster", None, "", "nothing here: v1.2.3.4.5 and deadbeef12345678"]
     d = docs(spark, texts, extra=True)
-    rows = {r.doc_id: r for r in pii.pseudonymized(d).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymized(d, KEY).collect()}
     assert len(rows) == len(texts)
     seen = set()
     for i, m in enumerate(mails):
@@ -419,7 +505,7 @@ def test_surrogates_keep_kind_and_distinctness(spark):
     assert "Smith" not in rows[len(mails) + 2].text and rows[len(mails) + 2].text.startswith("Mr. ")
     assert rows[len(mails) + 3].text == rows[len(mails) + 4].text == ""
     assert rows[len(mails) + 5].text == texts[-1]
-    assert pii.pseudonymized(d.limit(0)).count() == 0
+    assert pii.pseudonymized(d.limit(0), KEY).count() == 0
 
 
 def test_numbers_within_other_text():
@@ -451,12 +537,12 @@ def test_numbers_within_other_text():
 
 def test_surrogate_formats():
     for norm in ("4111111111111111", "378282246310005"):
-        new = pii.surrogate(pii.KEY, "card", norm)
+        new = pii.surrogate(KEY, "card", norm)
         assert len(new) == len(norm) and new[0] == norm[0] and pii._luhn(new[:-1]) == int(new[-1])
-    assert pii._is_iban(pii.surrogate(pii.KEY, "iban", "DE89370400440532013000"))
-    assert pii.script_of(pii.surrogate(pii.KEY, "name", "f:иванова").partition(":")[2]) == "cyrillic"
-    assert pii.surrogate(pii.KEY, "name", "f:anna").endswith("a")
-    assert pii.surrogate(b"other", "ip", "8.8.8.8") != pii.surrogate(pii.KEY, "ip", "8.8.8.8")
+    assert pii._is_iban(pii.surrogate(KEY, "iban", "DE89370400440532013000"))
+    assert pii.script_of(pii.surrogate(KEY, "name", "s:иванова").partition(":")[2]) == "cyrillic"
+    assert pii.surrogate(KEY, "name", "f:anna").endswith("a")
+    assert pii.surrogate(b"other", "ip", "8.8.8.8") != pii.surrogate(KEY, "ip", "8.8.8.8")
 
 
 # ---- mixing -------------------------------------------------------------------------------------

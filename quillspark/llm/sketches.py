@@ -32,6 +32,8 @@ ROUNDS = 10
 #: Differences that a group should hold on average when a sketch is made larger.
 PER_GROUP = 11
 MAX_GROUPS = {1: 1024, 2: 256}
+#: Quantiles of the ids at which buckets are cut.
+SEGMENTS = 256
 #: Documents of a bucket of the order by doc_id, on average.
 BUCKET_ROWS = 1024
 #: Where paragraphs end: after a line end or a sentence's last mark.
@@ -187,15 +189,24 @@ def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame] = lambda
     """doc_id, text and next_text: the text of the next row in descending doc_id (after the last,
     the first).
 
-    The order is dealt into buckets of neighbouring ids. To each bucket a mark is added that
+    The order is dealt into buckets of neighbouring ids, by approximate quantiles of the ids, so that
+    ids that crowd or lie far out make no large bucket beyond a SEGMENTS-th of the rows. To each bucket a mark is added that
     carries the first text of the next bucket, so a window within buckets sees every successor;
     the texts move once. ``derive`` may add columns that depend on the text; they are computed once
     for every text, and come with next_<name> as well.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, -(-(high - low + 1) * bucket_rows // n)) if low is not None else 1
-    bucket = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit((low or 0) // width - 2).cast("bigint")).alias("bucket")
+    cuts = F.percentile_approx("doc_id", F.array(*[F.lit(i / SEGMENTS) for i in range(SEGMENTS)]), F.lit(100 * SEGMENTS))
+    low, high, n, cuts = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), cuts).first()
+    # segments between quantiles hold about as many rows each, and are cut evenly further
+    starts = sorted({low, *cuts}) if low is not None else [0]
+    per = max(1, -(-n // (len(starts) * bucket_rows)))
+    widths = [max(1, -(-(hi - lo) // per)) for lo, hi in zip(starts, [*starts[1:], (high or 0) + 1])]
+    place = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("doc_id"))).alias("place")
+    start, width = (F.element_at(F.array(*[F.lit(v).cast("bigint") for v in vs]), F.col("place")) for vs in (starts, widths))
+    docs = docs.withColumn("place", F.when(F.col("doc_id").isNotNull(), place)).withColumns({"start": start, "width": width})
+    docs = docs.withColumn("bucket", F.coalesce(F.expr(f"place * {per}L + (doc_id - start) div width"), F.lit(-2).cast("bigint"))).select("doc_id", "text", "bucket")
+    bucket = F.col("bucket")
 
     tops = staged(docs.groupBy(bucket).agg(F.max("doc_id").alias("top")), "tops")
     block = F.floor(F.col("bucket") / bucket_rows)
@@ -207,7 +218,7 @@ def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame] = lambda
     blocks = blocks.select("block", F.coalesce(F.lead("first").over(over), wrap).alias("jump"))
     follows = near.join(blocks, "block").select("bucket", F.coalesce("after", "jump").alias("after"))
 
-    heads = sized_join(docs.withColumn("bucket", bucket).withColumn("top", F.coalesce("doc_id", F.lit(low or 0))), tops.select("bucket", F.coalesce("top", F.lit(low or 0)).alias("top")), ["bucket", "top"])
+    heads = sized_join(docs.withColumn("top", F.coalesce("doc_id", F.lit(low or 0))), tops.select("bucket", F.coalesce("top", F.lit(low or 0)).alias("top")), ["bucket", "top"])
     heads = heads.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text")).alias("head"))
     marks = staged(follows.join(heads.withColumnRenamed("bucket", "after"), "after").select("bucket", F.col("head.text").alias("text")), "marks")
 

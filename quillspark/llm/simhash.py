@@ -295,9 +295,27 @@ def _piece_keys(level: int):
     return run
 
 
+def _near_any(fp: np.ndarray, most: int) -> np.ndarray:
+    """Which fingerprints have another one within ``most`` bits, by tiles of a bounded size."""
+    n, out = len(fp), np.zeros(len(fp), bool)
+    step = max(1, (1 << 20) // n)
+    for lo in range(0, n, step):
+        hi = min(lo + step, n)
+        bits = np.zeros((hi - lo, n), np.uint16)
+        for w in range(WIDE):
+            bits += np.bitwise_count(fp[lo:hi, w, None] ^ fp[None, :, w])
+        out[lo:hi] = (bits <= most).sum(1) > 1  # itself is one
+    return out
+
+
 def _tree(num: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a shortest spanning forest over distances of at most ``most`` bits: the nearest
     member that is not reached yet comes next, so pairs are never listed."""
+    if len(num) > 4:
+        some = _near_any(fp, most)
+        num, fp = num[some], fp[some]
+    if len(num) < 2:
+        return num[:0], num[:0]
     far = 64 * WIDE + 1
     left, by, near, a, b = np.arange(1, len(num)), np.zeros(len(num) - 1, np.int64), np.full(len(num) - 1, far, np.int32), [], []
     at = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -18,6 +19,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
 
 
+def cosine_to(a: Column, values: Sequence[float]) -> Column:
+    """Cosine similarity to one vector, whose norm is computed once."""
+    norm = math.sqrt(sum(float(v) ** 2 for v in values))
+    own = F.sqrt(dot(a, a))
+    return F.when((F.size(a) == len(values)) & (own > 0) & F.lit(norm > 0), dot(a, vector(values)) / (own * F.lit(norm or 1.0)))
+
+
 def vector(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 

@@ -17,14 +17,14 @@ from . import graph
 def match(thoughts: DataFrame, query: Sequence[float], threshold: float = 0.7, most: int = 10, where: Json = None, strict: bool = True) -> DataFrame:
     """The most similar rows above a threshold (at it too unless strict), ties by id."""
     rows = thoughts if where is None else thoughts.where(contains(F.col("metadata"), where))
-    rows = rows.withColumn("similarity", vectors.cosine(F.col("embedding"), vectors.vector(query)))
+    rows = rows.withColumn("similarity", vectors.cosine_to(F.col("embedding"), query))
     rows = rows.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
     return rows.orderBy(F.desc("similarity"), "serial_id").limit(most)
 
 
 def match_recent(thoughts: DataFrame, query: Sequence[float], as_of: datetime, threshold: float = 0.7, most: int = 10, weight: float = 0.15, half_life_days: float = 90.0) -> DataFrame:
     """As match, ranked by similarity mixed with recency; the threshold is on the similarity."""
-    rows = thoughts.withColumn("similarity", vectors.cosine(F.col("embedding"), vectors.vector(query))).where(F.col("similarity") >= threshold)
+    rows = thoughts.withColumn("similarity", vectors.cosine_to(F.col("embedding"), query)).where(F.col("similarity") >= threshold)
     return rows.withColumn("score", vectors.recency_blend(F.col("similarity"), F.col("created_at"), F.lit(as_of), weight, half_life_days)).orderBy(F.desc("score"), "serial_id").limit(most)
 
 
@@ -192,7 +192,7 @@ def similar_pairs(vectors_: DataFrame, least: float, block: int = 512) -> DataFr
 def recall(memories: DataFrame, query: Sequence[float], scope: dict, most: int = 10, threshold: float = 0.25) -> DataFrame:
     """Memories in scope by recall rank: candidates are the most similar ones, at least twenty; where
     none is similar, the newest hundred."""
-    candidates = memories.withColumn("similarity", vectors.cosine(F.col("embedding"), vectors.vector(query)))
+    candidates = memories.withColumn("similarity", vectors.cosine_to(F.col("embedding"), query))
     near = candidates.where(F.col("similarity") > threshold).orderBy(F.desc("similarity"), "id").limit(max(20, 4 * most))
     if not near.limit(1).count():
         near = memories.orderBy(F.desc("created_at"), "id").limit(100).withColumn("similarity", F.lit(0.0))

@@ -276,7 +276,9 @@ def _sets(words: int):
 
 
 def _wide(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
+    raw = column.cast(pa.binary(8 * WIDE))
+    at = raw.offset * WIDE
+    return np.frombuffer(raw.buffers()[1], np.uint64)[at : at + len(raw) * WIDE].reshape(-1, WIDE)
 
 
 def _piece_keys(level: int):
@@ -296,15 +298,20 @@ def _piece_keys(level: int):
 
 
 def _near_any(fp: np.ndarray, most: int) -> np.ndarray:
-    """Which fingerprints have another one within ``most`` bits, by tiles of a bounded size."""
+    """Which fingerprints have another one within ``most`` bits, by tiles of a bounded size. Pairs
+    that differ in more than that in two of the words are not looked at further."""
     n, out = len(fp), np.zeros(len(fp), bool)
-    step = max(1, (1 << 20) // n)
-    for lo in range(0, n, step):
-        hi = min(lo + step, n)
-        bits = np.zeros((hi - lo, n), np.uint16)
-        for w in range(WIDE):
-            bits += np.bitwise_count(fp[lo:hi, w, None] ^ fp[None, :, w])
-        out[lo:hi] = (bits <= most).sum(1) > 1  # itself is one
+    first, second = (np.ascontiguousarray(fp[:, w]) for w in (0, 1))
+    lo = 0
+    while lo < n:
+        hi = min(lo + max(1, CHUNK // (n - lo)), n)
+        bits = np.bitwise_count(first[lo:hi, None] ^ first[None, lo:])
+        bits += np.bitwise_count(second[lo:hi, None] ^ second[None, lo:])
+        a, b = np.divmod(np.flatnonzero(bits <= most), n - lo)
+        a, b = a[a < b] + lo, b[a < b] + lo
+        near = np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= most
+        out[a[near]] = out[b[near]] = True
+        lo = hi
     return out
 
 

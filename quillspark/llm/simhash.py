@@ -252,8 +252,11 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 def _wide_prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            fps = [wide_fingerprint(t, words, WIDE).tobytes() for t in _texts(got.column(2))]
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(fps, pa.binary())], names=["doc_id", "text_hash", "fp"])
+            fps, sizes = [], []
+            for t in _texts(got.column(2)):
+                fps.append(wide_fingerprint(t, words, WIDE).tobytes())
+                sizes.append(len(shingle_hashes(t, words)))
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "fp", "size"])
 
     return run
 
@@ -292,35 +295,49 @@ def _piece_keys(level: int):
             for piece in range(4):
                 rows, code = anchors((word >> np.uint64(16 * piece) & np.uint64(0x7FFF)).astype(np.int64), 15)
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(key[rows] << 17 | piece << 15 | code), got.column(1).take(take), got.column(2).take(take)], names=["key", "num", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows] << 17 | piece << 15 | code), *(got.column(i).take(take) for i in (1, 2, 3))], names=["key", "num", "fp", "size"])
 
     return run
 
 
-def _near_any(fp: np.ndarray, most: int) -> np.ndarray:
-    """Which fingerprints have another one within ``most`` bits, by tiles of a bounded size. Pairs
-    that differ in more than that in two of the words are not looked at further."""
-    n, out = len(fp), np.zeros(len(fp), bool)
+#: Rows a tile of comparisons may have at most.
+TILE_ROWS = 1024
+
+
+def _near_any(fp: np.ndarray, size: np.ndarray, most: int, least: float) -> np.ndarray:
+    """Which fingerprints have another one within ``most`` bits whose shingle set is of a size that
+    allows the similarity ``least``: the smaller set has at least that share of the larger one.
+
+    Sorted by size, each meets only those up to the largest allowed size, by tiles of a bounded
+    number of pairs. Pairs that differ in more than ``most`` bits in two of the words are not looked
+    at further."""
+    n, order = len(fp), np.argsort(size, kind="stable")
+    fp, size, out = fp[order], size[order], np.zeros(n, bool)
+    reach = np.searchsorted(least * size, size, "right")
     first, second = (np.ascontiguousarray(fp[:, w]) for w in (0, 1))
     lo = 0
     while lo < n:
-        hi = min(lo + max(1, CHUNK // (n - lo)), n)
-        bits = np.bitwise_count(first[lo:hi, None] ^ first[None, lo:])
-        bits += np.bitwise_count(second[lo:hi, None] ^ second[None, lo:])
-        a, b = np.divmod(np.flatnonzero(bits <= most), n - lo)
+        ahead = reach[lo : lo + TILE_ROWS] - lo
+        hi = lo + max(1, int(np.searchsorted(ahead * np.arange(1, len(ahead) + 1), CHUNK, "right")))
+        end = reach[hi - 1]
+        bits = np.bitwise_count(first[lo:hi, None] ^ first[None, lo:end])
+        bits += np.bitwise_count(second[lo:hi, None] ^ second[None, lo:end])
+        a, b = np.divmod(np.flatnonzero(bits <= most), end - lo)
         a, b = a[a < b] + lo, b[a < b] + lo
-        near = np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= most
+        near = (np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= most) & (b < reach[a])
         out[a[near]] = out[b[near]] = True
         lo = hi
-    return out
+    found = np.zeros(n, bool)
+    found[order] = out
+    return found
 
 
-def _tree(num: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a shortest spanning forest over distances of at most ``most`` bits: the nearest
-    member that is not reached yet comes next, so pairs are never listed."""
+def _tree(num: np.ndarray, fp: np.ndarray, size: np.ndarray, most: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a shortest spanning forest over distances of at most ``most`` bits between sets of
+    allowed sizes: the nearest member that is not reached yet comes next, so pairs are never listed."""
     if len(num) > 4:
-        some = _near_any(fp, most)
-        num, fp = num[some], fp[some]
+        some = _near_any(fp, size, most, least)
+        num, fp, size = num[some], fp[some], size[some]
     if len(num) < 2:
         return num[:0], num[:0]
     far = 64 * WIDE + 1
@@ -328,7 +345,7 @@ def _tree(num: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.nd
     at = 0
     while len(left):
         d = np.bitwise_count(fp[left] ^ fp[at]).sum(1, dtype=np.int32)
-        closer = d < near
+        closer = (d < near) & (np.minimum(size[left], size[at]) >= least * np.maximum(size[left], size[at]))
         near[closer], by[closer] = d[closer], at
         k = int(near.argmin())
         if near[k] <= most:
@@ -340,18 +357,19 @@ def _tree(num: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.nd
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _compare_wide(most: int):
+def _compare_wide(most: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         last = None
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            a, b = _tree(*map(np.concatenate, zip(*held)), most) if held else ([], [])
+            a, b = _tree(*map(np.concatenate, zip(*held)), most, least) if held else ([], [])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for got in batches:  # sorted by key: the last key of a batch may go on in the next
-            key, num, fp = got.column(0).to_numpy(zero_copy_only=False), got.column(1).to_numpy(zero_copy_only=False), _wide(got.column(2))
+            key, num, size = (got.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            fp = _wide(got.column(2))
             cuts = np.flatnonzero(np.diff(key)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
                 if lo == hi:
@@ -359,7 +377,7 @@ def _compare_wide(most: int):
                 if key[lo] != last:
                     yield from flushed()
                     held, last = [], key[lo]
-                held.append((num[lo:hi], fp[lo:hi]))
+                held.append((num[lo:hi], fp[lo:hi], size[lo:hi]))
         yield from flushed()
 
     return run
@@ -373,9 +391,10 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, slack
     deviations) of a 256-bit SimHash. A pair meets at an anchor of one of four pieces of the first 64
     bits, which loses none with up to 11 differing bits there and about one in forty at similarity
     0.8; anchors with more members than ``hot_anchor`` are split by those of the next 64 bits. Each
-    anchor's candidates are its shortest spanning forest, whose edges are then checked on the
-    shingles themselves: no pair below ``least`` links, and a family of n texts makes at most n - 1
-    checks an anchor.
+    anchor's candidates are compared within the window of set sizes that allow the similarity, which
+    loses none; they are a shortest spanning forest, whose edges are then checked on the shingles
+    themselves: no pair below ``least`` links, and a family of n texts makes at most n - 1 checks an
+    anchor.
 
     Texts with equal fingerprints form a class before; texts without words are one class. Null ids
     and repeated rows as in near_duplicates.
@@ -383,17 +402,18 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, slack
     most = bits_at(least) + slack
     of = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    prints = staged(rows.mapInArrow(_wide_prints(words), f"doc_id {of}, text_hash bigint, fp binary"), "prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")).withColumn("num", F.monotonically_increasing_id())
+    prints = staged(rows.mapInArrow(_wide_prints(words), f"doc_id {of}, text_hash bigint, fp binary, size bigint"), "prints")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "size")).alias("text"))
+    classes = classes.select("fp", "least", "text.text_hash", "text.size", F.monotonically_increasing_id().alias("num"))
     classes = staged(classes, "classes")
-    schema = "key bigint, num bigint, fp binary"
-    keyed = classes.select(F.lit(0).cast("bigint").alias("key"), "num", "fp").mapInArrow(_piece_keys(0), schema)
+    schema = "key bigint, num bigint, fp binary, size bigint"
+    keyed = classes.select(F.lit(0).cast("bigint").alias("key"), "num", "fp", "size").mapInArrow(_piece_keys(0), schema)
     hot = staged(keyed.groupBy("key").count().where(F.col("count") > hot_anchor).select("key"), "hot")
     if hot.limit(1).count():
         split = sized_join(keyed, hot, ["key"], "left_semi").mapInArrow(_piece_keys(1), schema)
         keyed = sized_join(keyed, hot, ["key"], "left_anti").union(split)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare_wide(most), "a bigint, b bigint")
+    found = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare_wide(most, least), "a bigint, b bigint")
     found = staged(found.distinct(), "candidates")
 
     ends = staged(found.select(F.explode(F.array("a", "b")).alias("num")).distinct().join(classes.select("num", "text_hash"), "num"), "ends")

@@ -344,6 +344,21 @@ def test_similar_documents_match_brute_force(spark):
     assert simhash.similar_documents(docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n, spread", [(3000, 1.0), (900, 0.0), (700, 5.0)])
+def test_size_windows_lose_no_candidate(n, spread):
+    rng = np.random.default_rng(n)
+    fp = rng.integers(0, 1 << 63, (n, simhash.WIDE)).astype(np.uint64)
+    fp[1::3] = fp[: len(fp[1::3])] ^ (np.uint64(1) << rng.integers(0, 64, (len(fp[1::3]), 1)).astype(np.uint64))
+    size = np.exp(rng.normal(4, spread, n)).astype(np.int64) * (rng.random(n) > 0.1)
+    want = np.zeros(n, bool)
+    for i in range(n):
+        near = np.bitwise_count(fp ^ fp[i]).sum(1) <= 45
+        near &= np.minimum(size, size[i]) >= 0.8 * np.maximum(size, size[i])
+        near[i] = False
+        want[i] = near.any()
+    assert (simhash._near_any(fp, size, 45, 0.8) == want).all() and 0 < want.sum() < n
+
+
 @pytest.mark.parametrize("length, radius_words", [(31, 16), (15, 8)])
 def test_anchors_cover(length, radius_words):
     x = np.random.default_rng(0).integers(0, 1 << length, 200)

@@ -4,7 +4,9 @@ Documents' tokens are summed by source, language and topic. The cells' weights a
 for each of the three, all cells of a value are scaled so that their weighted tokens meet the
 value's target share. Documents are then kept with a probability in proportion to their cell's
 weight, the largest weight being 1, by a hash of seed and doc_id: the kept tokens follow all three
-marginals in expectation, and the same document is kept in every run.
+marginals in expectation, and the same document is kept in every run. Where a token budget is given
+it sets the scale instead: a document is then taken as often as its probability says (2.3: twice,
+and a third time with chance 0.3), so a rare cell that is to weigh much does not thin out the others.
 
 Targets are shares by value; where none are given they are the found shares to the power ``alpha``.
 Only DataFrame functions are used. The raking works on cells, not on documents, and never leaves
@@ -96,29 +98,42 @@ def chance(seed: str, doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
-def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
-    """Raked weight and sampling probability of every cell of described rows, staged."""
+def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
+    """Raked weight and sampling probability of every cell of described rows, staged. With a
+    ``budget`` of tokens the probability is the expected number of copies and may exceed 1."""
+    if budget is not None and budget <= 0:
+        raise ValueError("a budget is a positive number of tokens")
     cells = staged(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    weights = staged(raked(cells, targets, alpha, rounds).drop("tokens"), "weights")
-    top = weights.agg(F.max("weight")).first()[0] or 1.0
-    return weights.withColumn("probability", F.col("weight") / F.lit(float(top)))
+    weights = staged(raked(cells, targets, alpha, rounds), "weights")
+    unit = F.max("weight") if budget is None else F.sum(F.col("tokens") * F.col("weight")) / F.lit(float(budget))
+    unit = weights.agg(unit).first()[0] or 1.0
+    return weights.drop("tokens").withColumn("probability", F.col("weight") / F.lit(float(unit)))
 
 
-def decisions(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, seed: str = SEED, topic: Column | None = None) -> DataFrame:
-    """For every row: doc_id, source, lang, topic, tokens, weight, probability, kept. Texts are
-    read once; what they come down to is staged."""
+def copies(probability: Column, chance: Column) -> Column:
+    """How often a document is taken: its probability's whole part, and once more by the rest."""
+    whole = F.floor(probability)
+    return whole + (chance < probability - whole).cast("bigint")
+
+
+def decisions(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, seed: str = SEED, topic: Column | None = None, budget: float | None = None) -> DataFrame:
+    """For every row: doc_id, source, lang, topic, tokens, weight, probability, copies, kept. Texts
+    are read once; what they come down to is staged."""
     rows = described(docs, topic).withColumn("chance", chance(seed, F.col("doc_id"), F.col("text"))).drop("text")
     rows = staged(rows, "described")
-    rows = sized_join(rows, probabilities(rows, targets, alpha, rounds), list(DIMENSIONS))
-    return rows.select("doc_id", *DIMENSIONS, "tokens", "weight", "probability", (F.col("chance") < F.col("probability")).alias("kept"))
+    rows = sized_join(rows, probabilities(rows, targets, alpha, rounds, budget), list(DIMENSIONS))
+    taken = copies(F.col("probability"), F.col("chance"))
+    return rows.select("doc_id", *DIMENSIONS, "tokens", "weight", "probability", taken.alias("copies"), (taken > 0).alias("kept"))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, seed: str = SEED, topic: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, seed: str = SEED, topic: Column | None = None, keep: list[str] | None = None, budget: float | None = None) -> DataFrame:
     """As decisions, with the rows' text, and kept_<name> for the columns named in ``keep``. Texts
     are read twice, so that they need not be joined."""
     rows = described(docs, topic, keep)
-    rows = sized_join(rows, probabilities(rows, targets, alpha, rounds), list(DIMENSIONS))
-    return rows.select("doc_id", "text", *DIMENSIONS, "tokens", "weight", "probability", *[f"kept_{c}" for c in keep or ()], (chance(seed, F.col("doc_id"), F.col("text")) < F.col("probability")).alias("kept"))
+    rows = sized_join(rows, probabilities(rows, targets, alpha, rounds, budget), list(DIMENSIONS))
+    taken = copies(F.col("probability"), chance(seed, F.col("doc_id"), F.col("text")))
+    rows = rows.withColumn("copies", taken).withColumn("kept", F.col("copies") > 0)
+    return rows.select("doc_id", "text", *DIMENSIONS, "tokens", "weight", "probability", "copies", *[f"kept_{c}" for c in keep or ()], "kept")
 
 
 def oracle_sql(alpha: float = ALPHA, rounds: int = ROUNDS, topics: int = TOPICS, seed: str = SEED) -> str:

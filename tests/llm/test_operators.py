@@ -579,6 +579,26 @@ def test_raking_meets_the_marginals(spark):
     assert mixing.decisions(d.limit(0)).count() == 0
 
 
+def test_mixing_to_a_token_budget(spark):
+    r = random.Random(2)
+    rows = [(i, prose(i, r.randrange(5, 80)), "en", "rare" if i < 5 else r.choice("ab"), 0) for i in range(600)]
+    d = spark.createDataFrame(rows, DOCS)
+    target = spark.createDataFrame([("a", 0.3), ("b", 0.3), ("rare", 0.4)], "value string, share double")
+    one = F.lit("one")
+    thinned = mixing.decisions(d, {"source": target}, topic=one).toPandas()
+    assert thinned.kept.sum() < 30  # the rare source's weight thins out the others
+    budget = float(thinned.tokens.sum())
+    got = mixing.decisions(d, {"source": target}, topic=one, budget=budget).toPandas()
+    assert (got.tokens * got.probability).sum() == pytest.approx(budget)
+    assert (got.copies - got.probability).abs().max() < 1 and (got.kept == (got.copies > 0)).all()
+    taken = got.assign(t=got.tokens * got.copies).groupby("source").t.sum() / (got.tokens * got.copies).sum()
+    assert taken["rare"] == pytest.approx(0.4, abs=0.05) and taken["a"] == pytest.approx(0.3, abs=0.05)
+    again = mixing.mix(d, {"source": target}, topic=one, budget=budget).toPandas()
+    assert dict(zip(again.doc_id, again.copies)) == dict(zip(got.doc_id, got.copies))
+    with pytest.raises(ValueError):
+        mixing.decisions(d, budget=0)
+
+
 # ---- sketches -----------------------------------------------------------------------------------
 
 

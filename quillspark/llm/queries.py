@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, mixing, packing, pii, secrets, simhash, sketches, toxicity, warc
+from . import centroids, embeddings, language, mixing, packing, pii, secrets, simhash, sketches, toxicity, warc
 from .common import scratch_path
 
 
@@ -94,6 +94,11 @@ def op10_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_toxicity": op2_toxicity,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_source_mixing": op9_source_mixing,
     "op10_iblt_fingerprints": op10_iblt_fingerprints,
+    "op11_centroids": op11_centroids,
 }
 
 OP1_SQL = """
@@ -116,4 +122,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_round_trip": OP1_SQL, "op9_source_mixing": mixing.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_warc_round_trip": OP1_SQL, "op9_source_mixing": mixing.oracle_sql(), "op11_centroids": centroids.oracle_sql()}

@@ -5,10 +5,11 @@ reads, of a bounded number of postings, so no text travels. A second pass, when
 are known, turns frequencies into scores without the term's weight and cuts every posting list into
 blocks by dynamic programming: the cuts minimise the slack between the postings and their block's
 maximum, at a price for each block. ``search`` sends the postings of the queries' terms to their
-shards. There the block borders of a query's terms divide the documents into intervals; the pivot
-test (can the terms whose blocks reach here beat the worst of the best?) is made for all intervals
-at once, intervals are scored by falling bound, and the search ends when no bound reaches the worst
-score kept, so the result is exact. The best of all shards are ranked by item.
+shards. There a first worst score comes from the documents of the heaviest lists; lists that cannot
+reach it together are never walked. The pivot test is made for all documents of the other lists at
+once: their own scores, and the maxima of the light lists' blocks that reach over the document. Those
+that pass are looked up in the light lists by falling bound, and the search ends when no bound reaches
+the worst score kept, so the result is exact. The best of all shards are ranked by item.
 
 Scores are integers (see ``impacts`` and ``weights``). Defined cases: null and empty texts hold no
 term and count nowhere; texts of any length are read whole; rows that repeat a doc_id are documents
@@ -218,44 +219,69 @@ def build_index(docs: DataFrame, path: str) -> Index:
     return Index(spark, path, n.documents, n.tokens)
 
 
+def _added(total: np.ndarray, docs: np.ndarray, query: list[tuple[int, int]], lists: dict) -> int:
+    """Add the scores that the query's lists give to ``docs`` (ascending); how many were looked up."""
+    for i, w in query:
+        a, b = lists["list"][i], lists["list"][i + 1]
+        own = lists["docs"][a:b]
+        at = np.minimum(np.searchsorted(own, docs), len(own) - 1)
+        hit = own[at] == docs
+        total[hit] += w * lists["impacts"][a:b][at[hit]]
+    return len(docs) * len(query)
+
+
+def _reach(query: list[tuple[int, int]], lists: dict, docs: np.ndarray) -> np.ndarray:
+    """For each document the sum of the maxima of the blocks that reach over it, by a sweep over all
+    block borders of the query's lists."""
+    if not query:
+        return np.zeros(len(docs), np.int64)
+    b = np.concatenate([np.arange(lists["block"][i], lists["block"][i + 1]) for i, _ in query])
+    bound = np.repeat([w for _, w in query], [lists["block"][i + 1] - lists["block"][i] for i, _ in query]) * lists["top"][b]
+    border, place = np.unique(np.concatenate([lists["first"][b], lists["last"][b] + 1]), return_inverse=True)
+    step = np.zeros(len(border) + 1, np.int64)
+    np.add.at(step, place + 1, np.concatenate([bound, -bound]))
+    return np.cumsum(step)[np.searchsorted(border, docs, side="right")]
+
+
 def best_of_shard(query: list[tuple[int, int]], lists: dict, most: int, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(documents, scores) of a shard's best for a query of (list, weight), and how many postings
-    were scored. ``lists`` holds the postings of all lists end to end, and their blocks."""
-    b = np.concatenate([np.arange(lists["block"][i], lists["block"][i + 1]) for i, _ in query])
-    w = np.repeat(np.array([v for _, v in query], np.int64), [lists["block"][i + 1] - lists["block"][i] for i, _ in query])
-    first, last, bound = lists["first"][b], lists["last"][b], w * lists["top"][b]
-    border, inverse = np.unique(np.concatenate([first, last + 1]), return_inverse=True)
-    enter, leave = inverse[: len(b)], inverse[len(b) :]
-    step = np.zeros(len(border), np.int64)
-    np.add.at(step, enter, bound)
-    np.add.at(step, leave, -bound)
-    reach, width = np.cumsum(step)[:-1], np.diff(border)
-    order = np.argsort(-reach, kind="stable")
-    fell, wide = -reach[order], np.cumsum(width[order])
-    docs, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, size, worst, scored = 0, max(4 * most, 256), 1, 0
-    while at < len(order) and -fell[at] >= worst:
-        until = np.searchsorted(wide, (wide[at - 1] if at else 0) + size, side="right") + 1
-        until = min(until, np.searchsorted(fell, -worst, side="right"))
-        live = np.zeros(len(border), bool)
-        live[order[at:until]] = True
-        sums = np.concatenate([[0], np.cumsum(live)])
-        use = np.flatnonzero(sums[leave] > sums[enter])
-        begin, n = lists["start"][b[use]], lists["size"][b[use]]
-        place = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        doc = lists["docs"][place]
-        keep = live[np.searchsorted(border, doc, side="right") - 1]
-        doc, value = doc[keep], (np.repeat(w[use], n) * lists["impacts"][place])[keep]
-        scored += len(doc)
-        new, inv = np.unique(doc, return_inverse=True)
-        total = np.zeros(len(new), np.int64)
-        np.add.at(total, inv, value)
-        docs, scores = np.concatenate([docs, new[total > 0]]), np.concatenate([scores, total[total > 0]])
-        best = np.lexsort((ids[docs], ~known[docs], -scores))[:most]
-        docs, scores = docs[best], scores[best]
-        worst = max(1, int(scores[-1])) if len(scores) == most else 1
-        at, size = until, 2 * size
-    return docs, scores, scored
+    were read. ``lists`` holds the postings of all lists end to end, and their blocks."""
+    query = sorted(query, key=lambda q: -q[1] * lists["max"][q[0]])
+    rest = np.cumsum([0, *(w * lists["max"][i] for i, w in reversed(query))])[::-1]  # what the lists from j on can give at most
+
+    def members(lead):
+        return np.concatenate([lists["docs"][lists["list"][i] : lists["list"][i + 1]] for i, _ in lead])
+
+    # a first worst score, from the documents of the lists that can give most
+    worst, read, j, seeds = 1, 0, 0, np.zeros(0, np.int64)
+    while j < len(query) and len(seeds) < most:
+        seeds = np.union1d(seeds, members(query[j : j + 1]))
+        j += 1
+    if len(seeds) >= most:
+        total = np.zeros(len(seeds), np.int64)
+        read += _added(total, seeds, query, lists)
+        worst = max(1, int(np.partition(total, -most)[-most]))
+    # no document outside the leading lists can reach it: the others are looked up for theirs only
+    lead = max(1, int(np.argmax(rest < worst)))
+    docs, place = np.unique(members(query[:lead]), return_inverse=True)
+    total = np.zeros(len(docs), np.int64)
+    np.add.at(total, place, np.concatenate([w * lists["impacts"][lists["list"][i] : lists["list"][i + 1]] for i, w in query[:lead]]))
+    read += len(place)
+    upper = total + _reach(query[lead:], lists, docs)
+    order = np.flatnonzero(upper >= worst)
+    order = order[np.argsort(-upper[order], kind="stable")]
+    found, scores, at, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, max(4 * most, 64)
+    while at < len(order) and upper[order[at]] >= worst:
+        now = np.sort(order[at : at + size])
+        now = now[upper[now] >= worst]
+        own = total[now]
+        read += _added(own, docs[now], query[lead:], lists)
+        found, scores = np.concatenate([found, docs[now]]), np.concatenate([scores, own])
+        best = np.lexsort((ids[found], ~known[found], -scores))[:most]
+        found, scores = found[best], scores[best]
+        worst = max(worst, int(scores[-1])) if len(found) == most else worst
+        at, size = at + size, 2 * size
+    return found[scores > 0], scores[scores > 0], read
 
 
 def _search_shard(queries, most: int):
@@ -272,7 +298,8 @@ def _search_shard(queries, most: int):
         (ends, blocks), (tops, _) = _flat(rows.column("ends"), "<i4"), _flat(rows.column("tops"), "<i4")
         ends = ends + np.repeat(offsets[:-1], np.diff(blocks))
         starts = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
-        lists = {"docs": docs.astype(np.int64), "impacts": score.astype(np.int64), "block": blocks, "start": starts, "size": ends - starts, "top": tops.astype(np.int64), "first": docs[starts].astype(np.int64), "last": docs[ends - 1].astype(np.int64)}
+        tops = tops.astype(np.int64)
+        lists = {"list": offsets, "docs": docs.astype(np.int64), "impacts": score.astype(np.int64), "block": blocks, "top": tops, "first": docs[starts].astype(np.int64), "last": docs[ends - 1].astype(np.int64), "max": np.maximum.reduceat(tops, blocks[:-1]) if len(tops) else tops}
         items, found, scores = [], [], []
         for item, query in queries.value:
             own = [(place[t], w) for t, w in query.items() if w > 0 and t in place]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, embeddings, language, mixing, packing, pii, ranked, secrets, simhash, sketches, toxicity, warc
+from . import centroids, embeddings, extraction, language, mixing, packing, pii, ranked, secrets, simhash, sketches, toxicity, warc
 from .common import scratch_path
 
 
@@ -99,6 +99,11 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = ranked.build_index(_table(spark, sf_dir, "documents"), scratch_path(spark, "index"))
     return ranked.search(index, _table(spark, sf_dir, "benchmark"))
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_iblt_fingerprints": op10_iblt_fingerprints,
     "op11_centroids": op11_centroids,
+    "op12_html_extraction": op12_html_extraction,
     "op13_ranked_search": op13_ranked_search,
 }
 

@@ -54,7 +54,20 @@ LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7
 FEATURES = ("hits", "hit_rate", "kinds", "near_you", "you_rate", "capitals", "shouted", "exclaims", "punctuation", "obfuscated", "hidden_hits", "words")
 #: ASCII other than letters becomes a space; other bytes stay, they belong to letters.
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
-_HIDDEN = re.compile(r"(?<!\w)(?=[A-Za-z@$])(?:[A-Za-z]*[0-9@$*!_-]+[A-Za-z]+)+[A-Za-z]*(?!\w)")
+_RUN = re.compile(r"(?<!\w)(?:[@$]|[A-Za-z]++[0-9@$*!_-])[A-Za-z0-9@$*!_-]*+")
+_TO_LAST_LETTER = re.compile(r"[A-Za-z0-9@$*!_-]*[A-Za-z](?!\w)")
+_MARK = re.compile(r"[0-9@$*!_-]")
+
+
+def hidden_words(text: str) -> list[str]:
+    """Words of letters with digits or marks among them, which may stand for letters: from a word's
+    start to its last letter that no letter, digit or underscore follows. Linear in the text."""
+    found = []
+    for run in _RUN.finditer(text):
+        word = _TO_LAST_LETTER.match(text, run.start(), run.end() + 1)
+        if word and _MARK.search(word.group()):
+            found.append(word.group().lower())
+    return found
 
 
 def terms_of(word: str) -> list[str]:
@@ -100,7 +113,7 @@ class Featurizer:
         marks = int(((data == 33) | (data == 63)).sum())
         punctuation = int((((data >= 33) & (data <= 47)) | ((data >= 58) & (data <= 64)) | ((data >= 91) & (data <= 96)) | ((data >= 123) & (data <= 126))).sum())
         pair = (data[1:] >= 65) & (data[1:] <= 90) & (data[:-1] >= 65) & (data[:-1] <= 90)
-        odd = [m.group().lower() for m in _HIDDEN.finditer(text)] if punctuation or any(c in raw for c in b"0123456789") else []
+        odd = hidden_words(text) if punctuation or any(c in raw for c in b"0123456789") else []
         hidden = sum(self._toxic(o.translate(LOOKALIKES).encode()) for o in odd)
         return [
             math.log1p(len(places)), len(places) / n, float(len(toxic)), near / max(1, len(places)), len(yous) / n,

@@ -241,3 +241,20 @@ def test_light_lists_are_read_for_few_documents():
     }
     docs, scores, read = ranked.best_of_shard([(0, 10), (1, 9000)], lists, 3, np.arange(20_000), np.ones(20_000, bool))
     assert docs.tolist() == [5, 70, 400] and set(scores.tolist()) == {9010 * 400_000} and read < 100
+
+
+# ---- hard texts of the toxicity features ----------------------------------------------------------
+
+
+def test_hidden_words_in_linear_time():
+    from quillspark.llm.toxicity import hidden_words
+
+    told = re.compile(r"(?<!\w)(?=[A-Za-z@$])(?:[A-Za-z]*[0-9@$*!_-]+[A-Za-z]+)+[A-Za-z]*(?!\w)")  # the rule itself; exponential
+    r = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(r.choice("abZ1@-_!é *.") for _ in range(r.randint(1, 14)))
+        assert [m.group().lower() for m in told.finditer(text)] == hidden_words(text), text
+    began = time.time()
+    for hard in ("a" + "1bb" * 22 + "1", "a" + "1bb" * 4000 + "1", "a9_-" * 2500 + "0", "a" * 10_000, "@" * 10_000, "ab1" * 200_000):
+        hidden_words(hard)
+    assert time.time() - began < 2

@@ -18,6 +18,7 @@ the class has no other; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import repeat
@@ -54,25 +55,29 @@ def _mixed(h: np.ndarray, width: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def wide_fingerprint(text: bytes, words: int = 3, width: int = 1) -> np.ndarray:
-    """SimHash of ``width`` 64-bit words: a bit is set if it is in over half of the shingles' hashes."""
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """64-bit SimHash: a bit is set if it is in over half of the shingles' hashes, repeats included."""
     w = text.lower().split()
     if not w:
-        return np.zeros(width, np.uint64)
+        return 0
     n = max(1, len(w) - words + 1)
-    votes = np.zeros(64 * width, np.int64)
+    votes = np.zeros(64, np.int64)
     for lo in range(0, n, CHUNK):
         part = w[lo : min(lo + CHUNK, n) + words - 1]
         m = min(CHUNK, n - lo)
         shingles = map(b" ".join, zip(*(part[k : k + m] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, m)
-        votes += np.unpackbits(_mixed(h, width).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)
+        votes += np.unpackbits(h[:, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """64-bit SimHash."""
-    return int(wide_fingerprint(text, words)[0])
+def set_fingerprint(hashes: np.ndarray, width: int = WIDE) -> np.ndarray:
+    """SimHash of ``width`` 64-bit words of a set of shingles, in which each counts once, so that it
+    tells of the same similarity as the set does."""
+    votes = np.zeros(64 * width, np.int64)
+    for lo in range(0, len(hashes), CHUNK):
+        votes += np.unpackbits(_mixed(hashes[lo : lo + CHUNK], width).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
 def _prints(words: int):
@@ -252,11 +257,13 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 def _wide_prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            fps, sizes = [], []
+            fps, sizes, keys = [], [], []
             for t in _texts(got.column(2)):
-                fps.append(wide_fingerprint(t, words, WIDE).tobytes())
-                sizes.append(len(shingle_hashes(t, words)))
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "fp", "size"])
+                hashes = shingle_hashes(t, words)
+                fps.append(set_fingerprint(hashes).tobytes())
+                sizes.append(len(hashes))
+                keys.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "text_hash", "fp", "size", "set"])
 
     return run
 
@@ -284,18 +291,29 @@ def _wide(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw.buffers()[1], np.uint64)[at : at + len(raw) * WIDE].reshape(-1, WIDE)
 
 
-def _piece_keys(level: int):
-    """Anchors of the four 16-bit pieces of a word: code words of length 15 within radius 2, at which
-    fingerprints meet that differ in at most two bits of a piece, so all with at most 11 bits of the
-    word and nearly all with 15."""
+def _piece_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of the four 16-bit pieces of the first word: code words of length 15 within radius 2,
+    at which fingerprints meet that differ in at most two bits of a piece, so all with at most 11
+    bits of the word and nearly all with 15."""
+    for got in batches:
+        word = _wide(got.column(1))[:, 0]
+        for piece in range(4):
+            rows, code = anchors((word >> np.uint64(16 * piece) & np.uint64(0x7FFF)).astype(np.int64), 15)
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(piece << 15 | code), *(got.column(i).take(take) for i in range(3))], names=["key", "num", "fp", "size"])
+
+
+def _size_windows(least: float):
+    """Split a hot anchor by sizes: two sets of allowed sizes lie in one step or in neighbouring
+    ones, and each goes to its own and the next, so no pair is lost."""
+    step = math.log(1 / least) * (1 + 1e-9) if least < 1 else 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            key, word = got.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _wide(got.column(2))[:, level]
-            for piece in range(4):
-                rows, code = anchors((word >> np.uint64(16 * piece) & np.uint64(0x7FFF)).astype(np.int64), 15)
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(key[rows] << 17 | piece << 15 | code), *(got.column(i).take(take) for i in (1, 2, 3))], names=["key", "num", "fp", "size"])
+            key, size = (got.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 3))
+            at = np.floor(np.log(np.maximum(size, 1)) / step).astype(np.int64)
+            for k in (at, at + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(key | (k + 1) << 20), *(got.column(i) for i in (1, 2, 3))], names=["key", "num", "fp", "size"])
 
     return run
 
@@ -332,29 +350,45 @@ def _near_any(fp: np.ndarray, size: np.ndarray, most: int, least: float) -> np.n
     return found
 
 
-def _tree(num: np.ndarray, fp: np.ndarray, size: np.ndarray, most: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a shortest spanning forest over distances of at most ``most`` bits between sets of
-    allowed sizes: the nearest member that is not reached yet comes next, so pairs are never listed."""
+#: Spanning forests that an anchor proposes; no two share an edge.
+FORESTS = 3
+
+
+def _forests(num: np.ndarray, fp: np.ndarray, size: np.ndarray, most: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of FORESTS shortest spanning forests over distances of at most ``most`` bits between
+    sets of allowed sizes, each without the edges of those before: where a nearest member fails the
+    check, the next nearest stands in. A forest is grown by the nearest member that is not reached
+    yet, so pairs are never listed."""
     if len(num) > 4:
         some = _near_any(fp, size, most, least)
         num, fp, size = num[some], fp[some], size[some]
-    if len(num) < 2:
-        return num[:0], num[:0]
+    a: list[int] = []
+    b: list[int] = []
+    used: list[list[int]] = [[] for _ in num]
     far = 64 * WIDE + 1
-    left, by, near, a, b = np.arange(1, len(num)), np.zeros(len(num) - 1, np.int64), np.full(len(num) - 1, far, np.int32), [], []
-    at = 0
-    while len(left):
-        d = np.bitwise_count(fp[left] ^ fp[at]).sum(1, dtype=np.int32)
-        closer = (d < near) & (np.minimum(size[left], size[at]) >= least * np.maximum(size[left], size[at]))
-        near[closer], by[closer] = d[closer], at
-        k = int(near.argmin())
-        if near[k] <= most:
-            a.append(left[k])
-            b.append(by[k])
-        at = left[k]
-        left, by, near = np.delete(left, k), np.delete(by, k), np.delete(near, k)
-    a, b = num[np.array(a, np.int64)], num[np.array(b, np.int64)]
-    return np.minimum(a, b), np.maximum(a, b)
+    for _ in range(FORESTS):
+        before, at = len(a), 0
+        left, by, near = np.arange(1, len(num)), np.zeros(max(0, len(num) - 1), np.int64), np.full(max(0, len(num) - 1), far, np.int32)
+        while len(left):
+            d = np.bitwise_count(fp[left] ^ fp[at]).sum(1, dtype=np.int32)
+            closer = (d < near) & (np.minimum(size[left], size[at]) >= least * np.maximum(size[left], size[at]))
+            if used[at]:
+                closer &= ~np.isin(left, used[at])
+            near[closer], by[closer] = d[closer], at
+            k = int(near.argmin())
+            if near[k] <= most:
+                u, v = int(left[k]), int(by[k])
+                a.append(u)
+                b.append(v)
+            at = left[k]
+            left, by, near = np.delete(left, k), np.delete(by, k), np.delete(near, k)
+        if len(a) == before:
+            break
+        for u, v in zip(a[before:], b[before:]):
+            used[u].append(v)
+            used[v].append(u)
+    x, y = num[np.array(a, np.int64)], num[np.array(b, np.int64)]
+    return np.minimum(x, y), np.maximum(x, y)
 
 
 def _compare_wide(most: int, least: float):
@@ -363,7 +397,7 @@ def _compare_wide(most: int, least: float):
         last = None
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            a, b = _tree(*map(np.concatenate, zip(*held)), most, least) if held else ([], [])
+            a, b = _forests(*map(np.concatenate, zip(*held)), most, least) if held else ([], [])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -383,35 +417,35 @@ def _compare_wide(most: int, least: float):
     return run
 
 
-def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, slack: int = 9, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, slack: int = 13, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over links) for every row.
 
     Texts link if the Jaccard similarity of their sets of ``words``-word shingles is ``least`` or
-    more. Candidates differ in at most the bits expected at that similarity and ``slack`` more (1.5
-    deviations) of a 256-bit SimHash. A pair meets at an anchor of one of four pieces of the first 64
-    bits, which loses none with up to 11 differing bits there and about one in forty at similarity
-    0.8; anchors with more members than ``hot_anchor`` are split by those of the next 64 bits. Each
-    anchor's candidates are compared within the window of set sizes that allow the similarity, which
-    loses none; they are a shortest spanning forest, whose edges are then checked on the shingles
-    themselves: no pair below ``least`` links, and a family of n texts makes at most n - 1 checks an
-    anchor.
-
-    Texts with equal fingerprints form a class before; texts without words are one class. Null ids
-    and repeated rows as in near_duplicates.
+    more. Texts of equal sets form a class before, others link only after a check of their sets,
+    whatever their fingerprints. Candidates differ in at most the bits expected at that similarity
+    and ``slack`` more (two deviations) of a 256-bit SimHash of the set. A pair meets at an anchor of
+    one of four pieces of the first 64 bits, which loses none with up to 11 differing bits there and
+    about one in forty at similarity 0.8. Each anchor's candidates are compared within the window of
+    set sizes that allow the similarity; anchors with more than ``hot_anchor`` members are split by
+    those windows. Neither loses a pair. An anchor proposes the edges of FORESTS spanning forests,
+    which are then checked on the shingles themselves: no pair below ``least`` links, and a family of
+    n texts makes at most FORESTS * (n - 1) checks an anchor.
+
+    Texts without words are one class. Null ids and repeated rows as in near_duplicates.
     """
     most = bits_at(least) + slack
     of = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    prints = staged(rows.mapInArrow(_wide_prints(words), f"doc_id {of}, text_hash bigint, fp binary, size bigint"), "prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "size")).alias("text"))
-    classes = classes.select("fp", "least", "text.text_hash", "text.size", F.monotonically_increasing_id().alias("num"))
+    prints = staged(rows.mapInArrow(_wide_prints(words), f"doc_id {of}, text_hash bigint, fp binary, size bigint, set binary"), "prints")
+    classes = prints.groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "fp", "size")).alias("text"))
+    classes = classes.select("set", "least", "text.text_hash", "text.fp", "text.size", F.monotonically_increasing_id().alias("num"))
     classes = staged(classes, "classes")
     schema = "key bigint, num bigint, fp binary, size bigint"
-    keyed = classes.select(F.lit(0).cast("bigint").alias("key"), "num", "fp", "size").mapInArrow(_piece_keys(0), schema)
+    keyed = classes.select("num", "fp", "size").mapInArrow(_piece_keys, schema)
     hot = staged(keyed.groupBy("key").count().where(F.col("count") > hot_anchor).select("key"), "hot")
     if hot.limit(1).count():
-        split = sized_join(keyed, hot, ["key"], "left_semi").mapInArrow(_piece_keys(1), schema)
-        keyed = sized_join(keyed, hot, ["key"], "left_anti").union(split)
+        split = sized_join(keyed, hot, ["key"], "left_semi").select("key", "num", "fp", "size").mapInArrow(_size_windows(least), schema)
+        keyed = sized_join(keyed, hot, ["key"], "left_anti").select("key", "num", "fp", "size").union(split)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare_wide(most, least), "a bigint, b bigint")
     found = staged(found.distinct(), "candidates")
@@ -425,7 +459,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, slack
     edges = staged(found.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "edges")
 
     roots = staged(components(edges).withColumnRenamed("node", "num"), "roots")
-    rooted = staged(sized_join(classes, roots, ["num"], "left").select("fp", "least", F.coalesce("root", "num").alias("root")), "rooted")
+    rooted = staged(sized_join(classes, roots, ["num"], "left").select("set", "least", F.coalesce("root", "num").alias("root")), "rooted")
     least_id = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = staged(sized_join(rooted.select("fp", "root"), least_id, ["root"]).select("fp", "component_id"), "named")
-    return sized_join(prints.select("doc_id", "fp"), named, ["fp"]).select("doc_id", "component_id")
+    named = staged(sized_join(rooted.select("set", "root"), least_id, ["root"]).select("set", "component_id"), "named")
+    return sized_join(prints.select("doc_id", "set"), named, ["set"]).select("doc_id", "component_id")

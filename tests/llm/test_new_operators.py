@@ -258,3 +258,73 @@ def test_hidden_words_in_linear_time():
     for hard in ("a" + "1bb" * 22 + "1", "a" + "1bb" * 4000 + "1", "a9_-" * 2500 + "0", "a" * 10_000, "@" * 10_000, "ab1" * 200_000):
         hidden_words(hard)
     assert time.time() - began < 2
+
+
+# ---- near-duplicates by similarity ------------------------------------------------------------------
+
+
+def shingle_set(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+BANDS = (0.8, 0.85, 0.9, 0.95)
+
+
+def planted_pairs(each, seed=4):
+    """(band, text, edited text) with the similarity in the band, by random replaced words."""
+    r, out, have = random.Random(seed), [], Counter()
+    while min(have[b] for b in BANDS) < each:
+        w = [f"{r.choice('abcdefgh')}{r.randrange(9000)}" for _ in range(r.randint(60, 500))]
+        e = list(w)
+        for _ in range(r.randint(1, max(1, len(w) // 35))):
+            e[r.randrange(len(e))] = f"z{r.randrange(9000)}"
+        a, b = " ".join(w), " ".join(e)
+        j = jaccard(a, b)
+        band = max((x for x in BANDS if x <= j), default=None)
+        if band and j < 1 and have[band] < each:
+            have[band] += 1
+            out.append((band, a, b))
+    return out
+
+
+@pytest.mark.parametrize("hot", [200_000, 50])
+def test_recall_of_planted_pairs_by_band(spark, hot):
+    from quillspark.llm import simhash
+
+    pairs = planted_pairs(500)  # 2,000 pairs
+    rows = [(2 * i + k, (a, b)[k]) for i, (_, a, b) in enumerate(pairs) for k in (0, 1)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), hot_anchor=hot).collect()}
+    for band in BANDS:
+        own = [i for i, p in enumerate(pairs) if p[0] == band]
+        found = sum(got[2 * i + 1] == 2 * i for i in own) / len(own)
+        print(band, found)
+        assert found >= 0.9, (band, found)
+    assert all(c in (d, d - d % 2) for d, c in got.items())  # nothing else links
+
+
+def test_equal_fingerprints_of_unlike_texts_do_not_link(spark):
+    from quillspark.llm import simhash
+
+    loop = " ".join("one two three four five six seven".split() * 400)
+    a, b = (loop + " " + " ".join(f"{k}{i}" for i in range(20)) for k in "ab")
+    assert jaccard(a, b) < 0.2
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (4, "X y"), (5, "x  Y")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+
+
+def test_next_neighbours_stand_in():
+    from quillspark.llm import simhash
+
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, (1, simhash.WIDE)).astype(np.uint64)
+    fp = np.repeat(base, 6, 0)
+    fp[:, 0] ^= (np.uint64(1) << np.arange(6, dtype=np.uint64)) - np.uint64(1)
+    a, b = simhash._forests(np.arange(6), fp, np.full(6, 100), 40, 0.8)
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(a) == 15  # three forests are all pairs of six
+    assert len(simhash._forests(np.arange(2), fp[:2], np.array([100, 79]), 40, 0.8)[0]) == 0

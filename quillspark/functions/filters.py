@@ -90,24 +90,29 @@ def capped(n: int, most: int) -> int:
     return max(1, min(n, most))
 
 
+def parsed_words(query: str) -> list[list[tuple[bool, list[str]]]]:
+    """A web-search query as alternatives of parts that must all hold: (wanted, words); the words of a
+    part stand in sequence. Words are all wanted, "phrases" in sequence, OR gives a choice, a dash
+    excludes. Parts without a word are left out, as are alternatives without a part."""
+    groups: list[list[tuple[bool, list[str]]]] = [[]]
+    for sign, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
+        if word.lower() == "or" and not sign:
+            groups.append([])
+        elif re.search(r"\w", phrase or word):
+            groups[-1].append((not sign, [w for w in re.split(r"[^\w]+", (phrase or word).lower()) if w]))
+    return [g for g in groups if g]
+
+
 def word_query(query: str, tokens: Column) -> Column:
-    """A web-search query on an array of tokens: words are all wanted, "phrases" in sequence,
-    OR gives a choice, a dash excludes. An empty query fits nothing."""
+    """Whether an array of tokens fits a web-search query; an empty query fits nothing."""
 
-    def one(part: str) -> Column:
-        ws = [w for w in re.split(r"[^\w]+", part.lower()) if w]
+    def one(ws: list[str]) -> Column:
         if len(ws) > 1:
             joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
             return joined.contains(f" {' '.join(ws)} ")
-        return F.array_contains(tokens, ws[0]) if ws else F.lit(True)
+        return F.array_contains(tokens, ws[0])
 
-    groups: list[list[Column]] = [[]]
-    for sign, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
-        if word.lower() == "or" and not sign:
-            groups.append([])
-        elif re.search(r"\w", phrase or word):
-            groups[-1].append(~one(phrase or word) if sign else one(phrase or word))
-    groups = [g for g in groups if g]
+    groups = [[one(ws) if wanted else ~one(ws) for wanted, ws in g] for g in parsed_words(query)]
     if not groups:
         return F.lit(False)
     return F.coalesce(reduce(Column.__or__, [reduce(Column.__and__, g) for g in groups]), F.lit(False))

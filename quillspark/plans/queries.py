@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import curation, domains, graph, search, stats, upsert
+from ..operators import curation, domains, graph, search, stats, text_index, upsert
 from ..sources import importers
 from . import views
+from .stored import checkpointing, stored
 from .views import EDGES_SQL, ENTITY_THOUGHTS_SQL, LINKS_SQL, THOUGHTS_SQL, table
 
 EVENTS_END, ORDERS_END = "2024-01-31 00:00:00", "2001-08-02 00:00:00"
@@ -222,7 +223,7 @@ def traverse(spark, d):
 w AS (SELECT 's1' AS node, 0 AS distance UNION SELECT u.dst, distance + 1 FROM w JOIN u ON u.src = w.node WHERE distance < 6)
 SELECT node, min(distance) AS distance FROM w GROUP BY node""")
 def graph_distances(spark, d):
-    _checkpointing(spark)
+    checkpointing(spark)
     return graph.distances(_places(spark, d), "s1", 6)
 
 
@@ -231,7 +232,7 @@ w AS (SELECT 'p1' AS node, 0 AS d UNION SELECT u.b, d + 1 FROM w JOIN u ON u.a =
 r AS (SELECT 'p2' AS node, (SELECT d FROM f WHERE node = 'p2') AS step UNION ALL SELECT (SELECT min(u.a) FROM u JOIN f ON f.node = u.a WHERE u.b = r.node AND f.d = r.step - 1), r.step - 1 FROM r WHERE r.step > 0) SELECT step::INT AS step, node FROM r""")
 def shortest_path(spark, d):
     """The path from part 1 to part 2 over their suppliers, in one row a step."""
-    _checkpointing(spark)
+    checkpointing(spark)
     rows = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source_node_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_node_id"))
     path = graph.shortest_path(rows, "p1", "p2") or []
     return spark.createDataFrame(list(enumerate(path)), "step int, node string")
@@ -259,22 +260,11 @@ u AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT DISTINCT a, a A
 @query(f"WITH {_ALIKE} SELECT a AS node, min(b) AS root FROM w GROUP BY a")
 def topic_clusters(spark, d):
     """Part names as topics; each with the smallest topic of its cluster."""
-    _checkpointing(spark)
+    checkpointing(spark)
     topics = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
     return graph.components(graph.topic_pairs(topics))
 
 
-def _checkpointing(spark: SparkSession) -> None:
-    """Iterations cut their lineage in the cluster's checkpoint folder; set one only if none is, which
-    on a cluster would be a folder that its machines do not share."""
-    if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-
-
 # ---- search -----------------------------------------------------------------------------------
 
 _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
@@ -336,8 +326,44 @@ r AS (SELECT h.*, density FROM h JOIN c ON hit OR (part AND n < 25) LEFT JOIN z
 s AS (SELECT serial_id, greatest(CASE WHEN hit THEN density ELSE 0.0 END, CASE WHEN part THEN 0.35 ELSE 0.0 END) + importance / 20.0::DOUBLE + coalesce(quality_score::DOUBLE, 0.5) / 500.0 AS rank, count(*) OVER () AS total FROM r)
 SELECT serial_id, round(rank, 9) AS rank, total FROM s ORDER BY s.rank DESC, serial_id LIMIT 25""")
 def text_search(spark, d):
-    _checkpointing(spark)
-    return search.search_text(views.thoughts(spark, d, vectors=False), "the that").select("serial_id", F.round("rank", 9).alias("rank"), "total")
+    return _text_index(spark, d).search("the that").select(F.col("id").alias("serial_id"), F.round("rank", 9).alias("rank"), "total")
+
+
+def _text_index(spark, d):
+    """The index of all documents; built by the first query that asks for it."""
+    return stored(spark, d, "text-index", lambda path: text_index.build_index(views.thoughts(spark, d, vectors=False), path))
+
+
+_LIVE = "SELECT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS toks FROM documents"
+
+
+@query("SELECT doc_id AS serial_id FROM documents WHERE text ILIKE '%he MIT lic%' OR text ILIKE '%.com%'")
+def rare_substrings(spark, d):
+    """Documents that hold one of two rare substrings: trigrams name the candidates, whose texts alone are read."""
+    index = _text_index(spark, d)
+    return index.holding("he MIT lic").union(index.holding(".com")).distinct().withColumnRenamed("id", "serial_id")
+
+
+@query(f"""WITH t AS ({_LIVE}), j AS (SELECT doc_id, toks, ' ' || array_to_string(toks, ' ') || ' ' AS s FROM t)
+SELECT doc_id AS serial_id FROM j WHERE (contains(s, ' of the ') AND NOT list_contains(toks, 'with')) OR (list_contains(toks, 'und') AND list_contains(toks, 'der'))""")
+def phrase_search(spark, d):
+    """Documents by a phrase, an exclusion and an alternative, from the positions."""
+    return _text_index(spark, d).word_hits('"of the" -with or und der').select(F.col("id").alias("serial_id"))
+
+
+@query(f"""WITH t AS ({_LIVE}), v AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN list_filter(regexp_split_to_array(lower(coalesce(text, '')) || ' renewed', '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') ELSE toks END AS toks FROM t WHERE doc_id % 11 <> 0)
+SELECT doc_id AS serial_id FROM v WHERE list_contains(toks, 'the') AND list_contains(toks, 'renewed') OR list_contains(toks, 'para')""")
+def segment_search(spark, d):
+    """The same after a seventh of the documents was written again and an eleventh removed, each as a segment."""
+    checkpointing(spark)
+    rows = views.thoughts(spark, d, vectors=False)
+
+    def build(path):
+        index = text_index.build_index(rows, path)
+        index = index.append(rows.where("serial_id % 7 = 0").withColumn("content", F.concat(F.coalesce("content", F.lit("")), F.lit(" renewed"))))
+        return index.remove(rows.where("serial_id % 11 = 0").select(F.col("serial_id").alias("id")))
+
+    return stored(spark, d, "segments", build).word_hits("the renewed or para").select(F.col("id").alias("serial_id"))
 
 
 # ---- write side -------------------------------------------------------------------------------

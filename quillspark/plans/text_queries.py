@@ -236,9 +236,9 @@ def distinct_first(spark, d):
 @query("""WITH n AS (SELECT conv_id, turn::VARCHAR AS node_id, turn, false AS dead FROM conversations), m AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id) SELECT n.conv_id, node_id, turn AS position FROM n JOIN m USING (conv_id)""")
 def chat_paths(spark, d):
     """Every chat is a line of turns with a dead branch at every third one."""
-    from .queries import _checkpointing
+    from .stored import checkpointing
 
-    _checkpointing(spark)
+    checkpointing(spark)
     n = F.col("turn")
     rows = table(spark, d, "conversations").select("conv_id", n.cast("string").alias("node_id"), F.when(n > 0, (n - 1).cast("string")).alias("parent"))
     last = table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"))

@@ -8,7 +8,8 @@ from ..functions import text
 from ..operators import curation, domains, search, upsert
 from ..streaming import changes
 from . import views
-from .queries import _FULL, _checkpointing, query
+from .queries import _FULL, query
+from .stored import checkpointing
 from .views import EDGES_SQL, ENTITY_THOUGHTS_SQL, LINKS_SQL, NOTES_SQL, table
 
 def _entities(spark, d):
@@ -107,7 +108,7 @@ def after_deletion(spark, d):
 
 @query(f"""WITH RECURSIVE {_CLUSTERS} SELECT id, root AS keeper FROM roots WHERE id <> root""")
 def loose_groups(spark, d):
-    _checkpointing(spark)
+    checkpointing(spark)
     return upsert.loose_groups(_entities(spark, d))
 
 
@@ -127,7 +128,7 @@ def merged_aliases(spark, d):
 
 
 def _merged(spark, d):
-    _checkpointing(spark)
+    checkpointing(spark)
     entities = _entities(spark, d)
     clusters = upsert.loose_groups(entities).select(F.col("id").alias("node"), F.col("keeper").alias("root"))
     return upsert.merged_clusters(entities, clusters, views.links(spark, d), views.edges(spark, d))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 MAX_LEN = 2048
 END_ID = 1
 #: Entries of a worker's cache of tokenized chunks; beyond it the cache starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
 #: Bytes of ids after which an output batch is sent.
 BATCH_BYTES = 16 << 20
 _SEPARATOR = "\x01"

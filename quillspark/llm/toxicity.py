@@ -43,7 +43,7 @@ TERM_SHARE = 0.01
 TERM_RATIO = 12.0
 PARTS = 3
 NEAR_WORDS = 5
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 #: Insults, and second-person pronouns of English, German, French and Spanish.
 INSULTS = "clown disgusting dumb fool garbage idiot idiots imbecile loser losers moron morons pathetic scum stupid trash vermin worthless".split()

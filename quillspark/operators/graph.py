@@ -84,11 +84,53 @@ def constellation(co: DataFrame, curated: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(best.alias("e")).select("a", "b", "e.*")
 
 
-def overlap_pairs(links: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of thoughts with several entities in common."""
-    a = links.select("entity_id", F.col("thought_id").alias("a"))
-    b = links.select("entity_id", F.col("thought_id").alias("b"))
-    return a.join(b, "entity_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+#: Prefixes up to which thoughts meet by two common items at once.
+PAIR_PREFIX = 24
+
+
+def overlap_pairs(links: DataFrame, least: int = 2, key: str = "thought_id", item: str = "entity_id") -> DataFrame:
+    """Pairs of thoughts with at least ``least`` different entities in common: a, b, shared.
+
+    Join with prefix filtering. Each thought's items are ordered by rising frequency. Two sets with
+    ``least`` common items have the first of these among their first size - least + 1 items, and the
+    first two among one more; so thoughts meet there only, and frequent items, which stand last, are
+    looked up in the sets but seldom joined on. Short prefixes meet by two items at once, where
+    groups are far smaller; a pair counts where these are its first common ones, so it is found
+    once. With a long set on either side the first item alone is the meeting place.
+
+    A thought's items are gathered in one row. Null ids and items are left out, repeated links count
+    once."""
+    least = max(1, least)
+    links = links.where(F.col(key).isNotNull() & F.col(item).isNotNull()).select(F.col(key).alias("t"), F.col(item).alias("i")).distinct()
+    counts = links.groupBy("i").agg(F.count("*").alias("n"))
+    sets = links.join(counts, "i").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "i"))).alias("s")).where(F.size("s") >= least)
+    sets = sets.select("t", F.col("s.i").alias("s"))
+    two = least >= 2
+    reach = F.size("s") - least + (2 if two else 1)
+    rows = sets.withColumn("prefix", F.slice("s", F.lit(1), reach)).checkpoint()
+    long = F.size("prefix") > PAIR_PREFIX if two else F.lit(True)
+
+    def meet(x: DataFrame, y: DataFrame, on: list[str], size: int) -> DataFrame:
+        both = x.select(F.col("t").alias("a"), F.col("s").alias("sa"), F.col("prefix").alias("pa"), *on).join(y.select(F.col("t").alias("b"), F.col("s").alias("sb"), F.col("prefix").alias("pb"), *on), on)
+        first = F.array_intersect("pa", "pb")  # in order
+        return both.where(F.slice(first, 1, size) == F.array(*on)).withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("bigint")).where(F.col("shared") >= least).select("a", "b", "shared")
+
+    single = lambda df: df.select("t", "s", "prefix", F.explode("prefix").alias("k1"))
+    found = []
+    if two:
+        pairs = F.expr("flatten(transform(slice(prefix, 1, size(prefix) - 1), (x, n) -> transform(slice(prefix, n + 2, size(prefix)), y -> struct(x AS k1, y AS k2))))")
+        short = rows.where(~long).select("t", "s", "prefix", F.inline(pairs))
+        found.append(meet(short, short, ["k1", "k2"], 2).where("a < b"))
+    longs = rows.where(long)
+    if not two or longs.limit(1).count():
+        one = single(longs)
+        found.append(meet(one, one, ["k1"], 1).where("a < b"))
+        if two:
+            found.append(meet(single(rows.where(~long)), one, ["k1"], 1).select(*pair("a", "b"), "shared"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def connections(items: DataFrame, source_id: int, most: int = 20) -> DataFrame:

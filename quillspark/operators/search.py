@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..functions.filters import Json, contains, differs, equal_if, in_scope, memory_score, within_hours, word_query
-from . import graph
+from . import graph, metric
 
 
 def match(thoughts: DataFrame, query: Sequence[float], threshold: float = 0.7, most: int = 10, where: Json = None, strict: bool = True) -> DataFrame:
@@ -152,41 +152,27 @@ def search_entities(entities: DataFrame, query: str, pages: DataFrame | None = N
     return rows.orderBy("name", "id").limit(most)
 
 
-def similar_pairs(vectors_: DataFrame, least: float, block: int = 512) -> DataFrame:
-    """All pairs of rows (id, embedding) with cosine of at least ``least``.
-
-    Every unordered pair of blocks is one task's matrix product; blocks are drawn by hash, so they
-    are even, and only pairs that reach the threshold leave a task. Exact, and quadratic by nature.
-    """
-    import math
-
-    import numpy as np
-    import pandas as pd
-
-    rows = vectors_.where("embedding IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    n = max(1, math.ceil(rows.count() / block))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    paired = rows.select("id", "v", "b", F.explode(others).alias("o")).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "v")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        sides = [pdf[pdf["b"] == i], pdf[pdf["b"] == j]]
-        ids = [s["id"].to_numpy() for s in sides]
-        units = []
-        for s in sides:
-            m = np.array(s["v"].tolist(), float).reshape(len(s), -1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                units.append(m / np.linalg.norm(m, axis=1, keepdims=True))
-        if not len(ids[0]) or not len(ids[1]):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        sim = units[0] @ units[1].T
-        p, q = np.nonzero(sim >= least)
-        keep = ids[0][p] < ids[1][q] if i == j else ids[0][p] != ids[1][q]
-        p, q = p[keep], q[keep]
-        return pd.DataFrame({"a": np.minimum(ids[0][p], ids[1][q]), "b": np.maximum(ids[0][p], ids[1][q]), "similarity": sim[p, q]})
-
-    return paired.groupBy("i", "j").applyInPandas(compare, "a bigint, b bigint, similarity double")
+def similar_pairs(vectors_: DataFrame, least: float, cell: int = 2048, sample: int = 8192) -> DataFrame:
+    """All pairs of rows (id, embedding) with cosine of at least ``least``, as a, b, similarity.
+
+    Exact join with metric pruning. Pivots are rows of a bounded sample, about one for ``cell`` rows;
+    a row belongs to the cell of its nearest pivot. Angles obey the triangle inequality, so a row can
+    have partners in another cell only if its angle to that pivot, less the cell's radius, is within
+    the threshold's angle, and if it is not too far beyond the border between both pivots. Rows travel
+    to those cells of higher number only; each cell compares its own rows, and its visitors with them.
+    Cells that hold more are compared by tiles of parts. Ids must be unique. Rows whose vector is null,
+    zero or not finite match nothing; vectors of different lengths do not match each other.
+
+    Pruning depends on the data: clustered vectors skip most pairs of cells, evenly spread ones in many
+    dimensions none; then every row meets every cell, as any exact join must."""
+    e = F.col("embedding")
+    sound = F.forall(e, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(e, lambda x: x != 0)
+    rows = vectors_.where(F.coalesce(sound, F.lit(False))).select(F.col("id").cast("bigint").alias("id"), F.transform(e, lambda x: x.cast("double")).alias("v"), F.size(e).alias("dims"))
+    found = None
+    for dims, n in sorted((r.dims, r["count"]) for r in rows.groupBy("dims").count().collect()):  # the few lengths of the vectors
+        pairs = metric.join_cells(rows.where(F.col("dims") == dims).select("id", "v"), least, n, cell, sample)
+        found = pairs if found is None else found.unionByName(pairs)
+    return vectors_.sparkSession.createDataFrame([], metric.PAIRS) if found is None else found
 
 
 def recall(memories: DataFrame, query: Sequence[float], scope: dict, most: int = 10, threshold: float = 0.25) -> DataFrame:

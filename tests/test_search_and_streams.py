@@ -43,7 +43,7 @@ def test_similar_pairs_match_brute_force(spark):
     df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(m)], "id long, embedding array<double>")
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] >= 0.8}
-    assert {(r.a, r.b) for r in search.similar_pairs(df, 0.8, block=16).collect()} == want
+    assert {(r.a, r.b) for r in search.similar_pairs(df, 0.8, cell=16).collect()} == want
 
 
 def test_cosine_edges(spark):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import curation, domains, graph, search, stats, text_index, upsert
+from ..operators import curation, domains, graph, search, stats, text_index, upsert, vector_index
 from ..sources import importers
 from . import views
 from .stored import checkpointing, stored
@@ -289,6 +289,27 @@ def vector_topk_recency(spark, d):
     return search.match_recent(rows, _query_vector(spark, d), at("2024-06-01 00:00:00"), 0.1, 25).select("serial_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
+def _vector_index(spark, d):
+    """The index of all vectors with their labels; built by the first query that asks for it."""
+    checkpointing(spark)
+    return stored(spark, d, "vector-index", lambda path: vector_index.build_index(table(spark, d, "embeddings"), path, "vec_id", attributes=("label",)))
+
+
+@query(f"WITH {_QUERY_VECTOR} SELECT vec_id AS serial_id, round({_COS}, 6) AS similarity FROM embeddings e, q WHERE {_COS} > 0.2 ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def vector_index_topk(spark, d):
+    """As vector_topk, from the lists that may hold a better row."""
+    found, _ = _vector_index(spark, d).search(_query_vector(spark, d), 10, 0.2)
+    return found.select(F.col("id").alias("serial_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {_QUERY_VECTOR} SELECT vec_id AS serial_id, round({_COS}, 6) AS similarity FROM embeddings e, q WHERE label IN (SELECT label FROM embeddings WHERE vec_id = 0) AND {_COS} >= 0.05 ORDER BY {_COS} DESC, vec_id LIMIT 15")
+def vector_index_filtered(spark, d):
+    """The most similar rows of the query's own label, filtered within the lists."""
+    own = table(spark, d, "embeddings").where("vec_id = 0").select("label").first()[0]
+    found, _ = _vector_index(spark, d).search(_query_vector(spark, d), 15, 0.05, where=F.col("label") == own, strict=False)
+    return found.select(F.col("id").alias("serial_id"), F.round("similarity", 6).alias("similarity"))
+
+
 @query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.4""")
 def near_duplicate_vectors(spark, d):

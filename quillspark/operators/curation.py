@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import patterns
 
 # ---- capture and review -----------------------------------------------------------------------
 
@@ -146,16 +147,11 @@ def grounded(pairs: DataFrame, links: DataFrame, named: DataFrame | None = None,
     out = pairs.join(n, ["a", "b"], "left").withColumn("grounding", F.coalesce("grounding", F.lit(0).cast("bigint")))
     if named is None or thoughts is None:
         return out
-    # names are looked up by their words in the thoughts' runs of as many words, once for each name
-    names = named.select("id", text.tokens(F.col("name")).alias("w")).where(F.size("w") > 0).select("id", F.size("w").alias("n"), F.array_join("w", " ").alias("run"))
-    sizes = [r["n"] for r in names.select("n").distinct().collect()]  # a few lengths of names
-    words = thoughts.select(F.col("id").alias("thought_id"), text.tokens(F.coalesce("content", F.lit(""))).alias("w"))
-
-    def of_size(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-
-    runs = F.flatten(F.array(*map(of_size, sizes))) if sizes else F.array().cast("array<string>")
-    held = words.select("thought_id", F.explode(F.array_distinct(runs)).alias("run")).join(names, "run").select(F.col("id").alias("entity_id"), "thought_id").distinct()
+    # an automaton over all names reads each thought's words once
+    run = lambda c: F.concat(F.lit(" "), F.array_join(text.tokens(F.coalesce(c, F.lit(""))), " "), F.lit(" "))
+    names = named.select("id", run("name").alias("pattern")).where(F.length("pattern") > 2)
+    found = patterns.contained(thoughts.select(F.col("id").alias("thought_id"), run("content").alias("text")), names, "thought_id")
+    held = found.join(names, "pattern").select(F.col("id").alias("entity_id"), "thought_id").distinct()
     rest = grounded(out.where("grounding = 0").select("a", "b"), held)
     return out.where("grounding > 0").unionByName(rest)
 
@@ -250,10 +246,8 @@ def related_entities(wanted: DataFrame, entities: DataFrame) -> DataFrame:
     asked = wanted.select("item", F.lower(F.trim("name")).alias("q")).where("q <> ''")
     spelled = entities.select("id", F.lower("name").alias("own"), F.explode(F.array_append("aliases", F.col("name"))).alias("alias")).select("id", "own", F.lower("alias").alias("alias"))
     exact = asked.join(spelled.select("id", F.col("own").alias("q")).distinct(), "q").groupBy("item").agg(F.min("id").alias("exact"))
-    # a name that holds the query holds its first three letters (or all of a shorter one) somewhere
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("alias"))), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("alias"), i, n))))
-    starts = spelled.select("id", "alias", F.explode(F.array_distinct(pieces)).alias("start"))
-    held = asked.withColumn("start", F.substring("q", 1, 3)).join(starts, "start").where(F.contains("alias", "q"))
+    found = patterns.contained(spelled, asked.select(F.col("q").alias("pattern")), text="alias")
+    held = found.join(asked.withColumnRenamed("q", "pattern"), "pattern")
     held = held.select("item", "id").distinct().groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("only"))
     rows = wanted.select("item", "name").join(exact, "item", "left").join(held, "item", "left")
     state = F.when(F.col("exact").isNotNull(), "exact").when(F.col("n") == 1, "single").when(F.col("n") > 1, "ambiguous").otherwise("none")

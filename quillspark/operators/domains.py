@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import any_ilike, overlaps_week
+from . import patterns
 
 
 def pipeline_join(interviews: DataFrame, applications: DataFrame, postings: DataFrame, companies: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def match_people(mentions: DataFrame, people: DataFrame) -> DataFrame:
     exact = known.groupBy("n").agg(F.min("id").alias("by_name"))
     firsts = people.select("id", first(F.col("name")).alias("f")).where(F.length("f") >= 3)
     given = firsts.groupBy("f").agg(F.min("id").alias("by_first"))
-    # a first name within another starts at one of its places: equal pieces join, no theta join
-    long = firsts.select("id", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("f") - 2), lambda i: F.transform(F.sequence(F.lit(3), F.length("f") - i + 1), lambda n: F.substring(F.col("f"), i, n)))))).alias("f"))
-    within = long.groupBy("f").agg(F.min("id").alias("by_part"))
+    # an automaton over the first names that are asked for reads the known ones
+    asked = rows.where(F.length("f") >= 3).select(F.col("f").alias("pattern"))
+    within = patterns.contained(firsts, asked, text="f").groupBy(F.col("pattern").alias("f")).agg(F.min("id").alias("by_part"))
     return rows.join(exact, "n", "left").join(given, "f", "left").join(within, "f", "left").select("mention", F.coalesce("by_name", "by_first", "by_part").alias("person"))

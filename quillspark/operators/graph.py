@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import within_days
+from . import patterns
 
 
 def pair(a: str, b: str) -> list[Column]:
@@ -269,23 +270,20 @@ def derivatives(thoughts: DataFrame, source, most: int = 100) -> DataFrame:
 
 
 def topic_pairs(topics: DataFrame) -> DataFrame:
-    """Pairs of topics (id, name) whose normal forms are alike: equal, one a word of the other or
-    within twice its length, or a typo apart.
+    """Links (a, b) between topics (id, name) whose normal forms are alike: equal, one a word of the
+    other or within twice its length, or a typo apart.
 
-    No pair is missed, and names are looked up, not compared with all others. A contained name is
-    among the longer one's runs of words, or among its substrings of half its length or more. Names
-    a typo apart are equal after deleting, in each, as many letters as the typo has. A name's keys
-    grow with the square of its length.
+    No link is missed, and names are looked up, not compared with all others. An automaton over all
+    names finds those that a name holds. Names a typo apart are equal after deleting, in each, as many
+    letters as the typo has; only names of 4 to 25 letters can be. Topics of equal names are tied to
+    the one with the smallest id, which stands for them in the other links.
     """
     norm = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " "))
     rows = topics.select("id", norm.alias("norm")).where("norm <> ''")
-    names = rows.select("norm").distinct().checkpoint()
+    names = rows.groupBy("norm").agg(F.min("id").alias("first")).checkpoint()
 
-    runs = F.expr("""transform(flatten(transform(sequence(1, size(w)), i -> transform(sequence(1, size(w) - i + 1), n -> slice(w, i, n)))), r -> array_join(r, ' '))""")
-    substrings = F.expr("""flatten(transform(sequence(greatest(3, CAST(ceil(length(norm) / 2) AS int)), greatest(3, length(norm))),
-        n -> transform(sequence(1, greatest(1, length(norm) - n + 1)), i -> substring(norm, i, n))))""")
-    held = names.withColumn("w", F.split("norm", " ")).select(F.col("norm").alias("y"), F.explode(F.array_distinct(F.concat(runs, substrings))).alias("x"))
-    part = held.where("length(x) >= 3 AND x <> y").join(names.select(F.col("norm").alias("x")), "x").select("x", "y")
+    part = patterns.contained(names, names.where("length(norm) >= 3"), "norm", "norm", "norm", share=0.5)
+    part = part.where("norm <> pattern").select(F.col("pattern").alias("x"), F.col("norm").alias("y"))
 
     cut = lambda s: f"transform(sequence(1, length({s})), i -> concat(left({s}, i - 1), substring({s}, i + 1)))"
     one = f"concat(array(norm), {cut('norm')})"
@@ -297,10 +295,10 @@ def topic_pairs(topics: DataFrame) -> DataFrame:
     d = F.levenshtein("x", "y")
     typo = typo.where((d <= 2) & (d / F.greatest(F.length("x"), F.length("y")) <= 0.2))
 
-    equal = names.select(F.col("norm").alias("x"), F.col("norm").alias("y"))
-    alike = part.unionByName(typo).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().unionByName(equal)
-    both = alike.join(rows.select(F.col("id").alias("i"), F.col("norm").alias("x")), "x").join(rows.select(F.col("id").alias("j"), F.col("norm").alias("y")), "y")
-    return both.where("i < j OR (i > j AND x <> y)").select(*pair("i", "j")).distinct()
+    alike = part.unionByName(typo).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    both = alike.join(names.select(F.col("first").alias("i"), F.col("norm").alias("x")), "x").join(names.select(F.col("first").alias("j"), F.col("norm").alias("y")), "y")
+    equal = rows.join(names, "norm").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return both.select(*pair("i", "j")).unionByName(equal)
 
 
 def components(edges: DataFrame, most: int = 30) -> DataFrame:

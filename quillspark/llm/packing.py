@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 MAX_LEN = 2048
 END_ID = 1
 #: Entries of a worker's cache of tokenized chunks; beyond it the cache starts anew.
@@ -139,7 +141,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, m
         raise ValueError("max_len must be a power of two up to 32768")
     of = dict(docs.dtypes)["doc_id"]
     pieces = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _packer(tokenizer_path, end_id, max_len), f"doc_id {of}, start bigint, length bigint, doc_tokens bigint, ids binary"
+        tidied(_packer(tokenizer_path, end_id, max_len)), f"doc_id {of}, start bigint, length bigint, doc_tokens bigint, ids binary"
     )
     bucket = F.length(F.bin("length")) - 1
     return pieces.select(

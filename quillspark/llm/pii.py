@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_join, staged
+from .common import sized_join, staged, tidied
 
 MAX_DRAWS = 200
 #: Draws after which mail addresses and names grow by a character or syllable.
@@ -381,7 +381,7 @@ def pseudonymized(docs: DataFrame, key: bytes) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("key"), F.col("text").cast("string").alias("text"))
     of = dict(docs.dtypes)["doc_id"]
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_entities, f"doc_id {of}, found array<struct<kind:string,norm:string>>")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(_entities), f"doc_id {of}, found array<struct<kind:string,norm:string>>")
     found = staged(found.where(F.size("found") > 0).select("doc_id", F.explode("found").alias("e")).select("doc_id", "e.kind", "e.norm"), "found")
     again = staged(redrawn(staged(found.select("kind", "norm").distinct(), "entities"), key), "redrawn")
     none = F.lit(None).cast("array<struct<kind:string,norm:string,draw:int>>").alias("draws")
@@ -392,5 +392,5 @@ def pseudonymized(docs: DataFrame, key: bytes) -> DataFrame:
     else:
         rows = rows.select("key", "text", none)
     kind = dict(rows.dtypes)["key"]
-    out = rows.mapInArrow(_rewriter(key), f"key {kind}, text string, entities array<struct<kind:string,start:bigint,end:bigint>>")
+    out = rows.mapInArrow(tidied(_rewriter(key)), f"key {kind}, text string, entities array<struct<kind:string,start:bigint,end:bigint>>")
     return out.select(*[F.col(f"key.`{c}`").alias(c) if c != "text" else F.col("text") for c in docs.columns], "entities")

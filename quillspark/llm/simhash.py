@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_join, staged
+from .common import sized_join, staged, tidied
 from .components import components
 
 SEED = 42
@@ -279,8 +279,10 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            sets = [shingle_hashes(t, words).view(np.int64) for t in _texts(got.column(1))]
-            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["num", "hashes"])
+            for lo in range(0, got.num_rows, 1024):
+                some = got.slice(lo, 1024)
+                sets = [shingle_hashes(t, words).view(np.int64) for t in _texts(some.column(1))]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["num", "hashes"])
 
     return run
 
@@ -436,7 +438,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, slack
     most = bits_at(least) + slack
     of = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    prints = staged(rows.mapInArrow(_wide_prints(words), f"doc_id {of}, text_hash bigint, fp binary, size bigint, set binary"), "prints")
+    prints = staged(rows.mapInArrow(tidied(_wide_prints(words)), f"doc_id {of}, text_hash bigint, fp binary, size bigint, set binary"), "prints")
     classes = prints.groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "fp", "size")).alias("text"))
     classes = classes.select("set", "least", "text.text_hash", "text.fp", "text.size", F.monotonically_increasing_id().alias("num"))
     classes = staged(classes, "classes")
@@ -447,12 +449,12 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, slack
         split = sized_join(keyed, hot, ["key"], "left_semi").select("key", "num", "fp", "size").mapInArrow(_size_windows(least), schema)
         keyed = sized_join(keyed, hot, ["key"], "left_anti").select("key", "num", "fp", "size").union(split)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare_wide(most, least), "a bigint, b bigint")
+    found = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidied(_compare_wide(most, least)), "a bigint, b bigint")
     found = staged(found.distinct(), "candidates")
 
     ends = staged(found.select(F.explode(F.array("a", "b")).alias("num")).distinct().join(classes.select("num", "text_hash"), "num"), "ends")
     texts = sized_join(rows.select("text_hash", "text"), ends, ["text_hash"]).select("num", "text")
-    sets = staged(texts.mapInArrow(_sets(words), "num bigint, hashes array<bigint>").groupBy("num").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = staged(texts.mapInArrow(tidied(_sets(words)), "num bigint, hashes array<bigint>").groupBy("num").agg(F.first("hashes").alias("hashes")), "sets")
     side = lambda c: sets.select(F.col("num").alias(c), F.col("hashes").alias(f"of_{c}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     alike = both >= least * (F.size("of_a") + F.size("of_b") - both)

@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tidied
 
 #: Labelled rows of each class that are used at most: the bound of the sample.
 SAMPLE_TOXIC = 3_000
@@ -140,7 +140,7 @@ def featured(docs: DataFrame, lexicon: list[str], columns: tuple[str, ...] = ("d
     own = docs.select(*[c for c in columns if c != "text"], F.col("text").cast("string").alias("text"))
     kept = own if "text" in columns else own.drop("text")
     schema = ", ".join(f"`{c}` {kind}" for c, kind in kept.dtypes)
-    return own.mapInArrow(_features(lexicon, "text" in columns), f"{schema}, features array<double>")
+    return own.mapInArrow(tidied(_features(lexicon, "text" in columns)), f"{schema}, features array<double>")
 
 
 def fold(doc_id: Column) -> Column:
@@ -181,7 +181,7 @@ def learn_lexicons(rows: DataFrame, most: int = LEXICON_TERMS) -> list[list[str]
     sizes = rows.groupBy("label", "part").count().collect()
     marked = rows.select("text", (F.col("label") + 2 * F.col("part")).cast("int").alias("label"))
     sums = [F.count_if(F.col("label") == k).alias(f"n{k}") for k in range(2 * PARTS)]
-    counts = marked.mapInArrow(_terms, "term string, label int").groupBy("term").agg(*sums)
+    counts = marked.mapInArrow(tidied(_terms), "term string, label int").groupBy("term").agg(*sums)
     counts = staged(counts.where(sum(F.col(f"n{2 * p + 1}") for p in range(PARTS)) >= TERM_TEXTS), "terms")
     found = []
     for left_out in range(PARTS + 1):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import json_array
 
 #: Parts of chats that hold no knowledge.
 SKIPPED_PARTS = ("thoughts", "reasoning_recap", "computer_output", "system_error", "super_widget", "citable_code_output", "tether_quote", "user_editable_context")
@@ -58,13 +59,14 @@ def part_text(content_type: Column, parts: Column, spoken: Column | None = None,
 
 
 #: The part of a chat export that is read; parts that are objects come as JSON.
-EXPORT = """array<struct<id:string, title:string, create_time:double, update_time:double, current_node:string, is_do_not_remember:boolean,
-  mapping:map<string, struct<id:string, parent:string, message:struct<author:struct<role:string>, create_time:double, content:struct<content_type:string, parts:array<string>, snippet:string>>>>>>"""
+EXPORT = """id string, title string, create_time double, update_time double, current_node string, is_do_not_remember boolean,
+  mapping map<string, struct<id:string, parent:string, message:struct<author:struct<role:string>, create_time:double, content:struct<content_type:string, parts:array<string>, snippet:string>>>>"""
 
 
-def chat_export(spark: SparkSession, path: str) -> DataFrame:
+def chat_export(spark: SparkSession, path: str, split_bytes: int = json_array.SPLIT_BYTES) -> DataFrame:
     """Conversations of an export folder or zip archives in it: conversations.json or numbered files
-    of that name, each an array. A zip archive is opened in one task."""
+    of that name, each an array. Plain files of any size are read by ranges of ``split_bytes``; a zip
+    archive, which cannot be read from within, is opened in one task."""
 
     def unzipped(batches):
         import io
@@ -81,9 +83,11 @@ def chat_export(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     plain = files.option("pathGlobFilter", "conversations*.json").load(path).where(F.col("path").rlike(r"/conversations(-\d+)?\.json$"))
-    plain = plain.select(F.regexp_replace(F.decode("content", "UTF-8"), r"\A\x{feff}", "").alias("value"))
+    found = sorted((r.path, r.length) for r in plain.select("path", "length").collect())  # the export's files
+    element = f"struct<{EXPORT}>"
     zipped = files.option("pathGlobFilter", "*.zip").load(path).select("content").mapInPandas(unzipped, "value string")
-    return plain.union(zipped).select(F.explode(F.from_json("value", EXPORT)).alias("c")).select("c.*")
+    zipped = zipped.select(F.explode(F.from_json("value", f"array<{element}>")).alias("c"))
+    return json_array.read(spark, found, EXPORT, split_bytes).drop("path", "position").unionByName(zipped.select("c.*"))
 
 
 def chat_nodes(conversations: DataFrame) -> DataFrame:

@@ -301,3 +301,29 @@ def memory_hashes(spark, d):
     return views.notes(spark, d).select(text.fingerprint(F.concat(F.lit("Note  "), F.col("id"))).alias("hash"), "id")
 
 
+# ---- files written from the tables and read again -------------------------------------------------
+
+
+@query(f"""SELECT conv_id::VARCHAR AS conv_id, turn AS position, role, length(regexp_replace(coalesce(text, ''), '^{_WS}+|{_WS}+$', '', 'g')) AS n_chars FROM conversations""")
+def chat_array(spark, d):
+    """All conversations as one export file, one JSON array, which many tasks read: the turns in order."""
+    from .stored import checkpointing, scratch
+
+    checkpointing(spark)
+    n = F.col("turn")
+    message = F.struct(F.struct("role").alias("author"), F.lit(0.0).alias("create_time"), F.struct(F.lit("text").alias("content_type"), F.array(F.coalesce("text", F.lit(""))).alias("parts")).alias("content"))
+    node = F.struct(n.cast("string").alias("id"), F.when(n > 0, (n - 1).cast("string")).alias("parent"), message.alias("message"))
+    chats = table(spark, d, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(n.cast("string"), node))).alias("mapping"), F.max("turn").cast("string").alias("current_node"))
+    one = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.lit('odd "title" ]},[{ \\').alias("title"), "current_node", "mapping"))
+    first = chats.agg(F.min("conv_id")).first()[0]
+    lines = chats.select(F.lit(1).alias("k"), "conv_id", F.concat(F.when(F.col("conv_id") == first, "[").otherwise(","), one).alias("value"))
+    lines = lines.union(spark.createDataFrame([(2, None, "]")], lines.schema))
+    path = scratch(spark, "export")
+    lines.orderBy("k", "conv_id").coalesce(1).select("value").write.text(path)  # an export is one file
+    fs = spark._jvm.org.apache.hadoop.fs
+    folder = fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in store.globStatus(fs.Path(f"{path}/part-*")):
+        store.rename(part.getPath(), fs.Path(f"{path}/conversations.json"))
+    nodes = importers.chat_nodes(importers.chat_export(spark, path, 64 << 10))
+    return importers.canonical_path(nodes).select("conv_id", "position", "role", F.char_length("text").cast("bigint").alias("n_chars"))

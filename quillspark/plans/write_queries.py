@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import curation, domains, search, upsert
-from ..streaming import changes
+from ..streaming import changes, keyed
 from . import views
 from .queries import _FULL, query
-from .stored import checkpointing
+from .stored import checkpointing, scratch
 from .views import EDGES_SQL, ENTITY_THOUGHTS_SQL, LINKS_SQL, NOTES_SQL, table
 
 def _entities(spark, d):
@@ -543,3 +543,32 @@ def entity_types(spark, d):
     return stats.counts_by(_entities(spark, d), "entity_type")
 
 
+# ---- the keyed sink -----------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY ALL")
+def keyed_upserts(spark, d):
+    """Events folded into a keyed table in three batches, one of which comes twice."""
+    rows = table(spark, d, "events").select("user_id", "event_type", F.lit(1).cast("bigint").alias("n"), F.col("ts").alias("first"), F.col("ts").alias("last"), (F.col("event_id") % 3).alias("part"))
+    kinds = dict(rows.dtypes)
+    sink = keyed.KeyedTable(spark, scratch(spark, "keyed"), ", ".join(f"{c} {kinds[c]}" for c in ("user_id", "event_type", "n", "first", "last")), ("user_id", "event_type"))
+    fold = keyed.totals(("user_id", "event_type"), n="sum", first="min", last="max")
+    for number in (0, 1, 1, 2):
+        sink.merge(rows.where(F.col("part") == number).drop("part"), number, fold)
+    return sink.read()
+
+
+@query("""WITH q AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'O')
+SELECT o_orderkey AS thought_id, CASE WHEN r <= 30 THEN 'a' ELSE 'b' END AS worker, CASE WHEN r <= 30 THEN 'complete' ELSE 'processing' END AS status FROM q WHERE r <= 50""")
+def queue_claims(spark, d):
+    """Two workers claim entries of one queue; one of them settles what it holds, and what it does not."""
+    checkpointing(spark)
+    none = F.lit(None)
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("thought_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("complete").alias("status"), F.col("o_orderdate").alias("queued_at"), none.cast("string").alias("worker"), none.cast("timestamp_ntz").alias("claimed_at"))
+    queue = keyed.KeyedTable(spark, scratch(spark, "queue"), ", ".join(f"{c} {k}" for c, k in rows.dtypes), ("thought_id",))
+    queue.merge(rows, 0, keyed.newest(("thought_id",), [F.col("queued_at")]))
+    at = F.expr("TIMESTAMP_NTZ'2001-08-02 00:00:00'")
+    keyed.claim(queue, "a", 30, at)
+    keyed.claim(queue, "b", 20, at)
+    keyed.settle(queue, "a", rows.select("thought_id", F.lit("complete").alias("outcome")))
+    return queue.read().where("worker IS NOT NULL").select("thought_id", "worker", "status")

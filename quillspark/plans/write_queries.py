@@ -572,3 +572,16 @@ def queue_claims(spark, d):
     keyed.claim(queue, "b", 20, at)
     keyed.settle(queue, "a", rows.select("thought_id", F.lit("complete").alias("outcome")))
     return queue.read().where("worker IS NOT NULL").select("thought_id", "worker", "status")
+
+
+_RECENT = "list_filter(w.times, lambda u: u > e.t - 14400000000)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+w AS (SELECT DISTINCT key, 0::BIGINT AS r, []::BIGINT[] AS times, NULL::BIGINT AS id, NULL::BOOLEAN AS allowed FROM e
+UNION ALL SELECT e.key, e.r, CASE WHEN len({_RECENT}) < 2 THEN list_append({_RECENT}, e.t) ELSE {_RECENT} END, e.event_id, len({_RECENT}) < 2 FROM w JOIN e ON e.key = w.key AND e.r = w.r + 1)
+SELECT key, id, allowed FROM w WHERE r > 0""")
+def rate_limited_calls(spark, d):
+    """Which events of a user a limit of two in four hours allows, by the stream's rule."""
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("id"))
+    return changes.limited_rows(rows, 2, 4 * 3600)

@@ -1,5 +1,6 @@
 import datetime as dt
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,15 +79,21 @@ def test_quotes(spark):
     assert df.select(importers.without_quotes(F.col("c")).alias("v")).first()["v"] == "Hi\nyes"
 
 
-def _streamed(spark, frames, schema, plan):
+def _streamed(spark, frames, schema, plan, places=None):
     """Rows of a streaming plan over one file for each frame."""
     folder = tempfile.mkdtemp(prefix="spark-")
     for i, rows in enumerate(frames):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     name = f"out_{abs(hash(folder))}"
-    q = plan(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/cp").start()
+    if places is not None:
+        places.append(f"{folder}/cp")
+    q = plan(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/cp").trigger(processingTime="1 second").start()
     try:
-        q.processAllAvailable()
+        until = time.time() + 60  # a stream with timeouts by the clock is never idle
+        while sum(p["numInputRows"] for p in q.recentProgress) < sum(map(len, frames)) and time.time() < until and q.isActive:
+            time.sleep(0.2)
+        time.sleep(0.5)
+        assert q.exception() is None
     finally:
         q.stop()
     return spark.table(name).collect()
@@ -98,6 +105,21 @@ def test_changes_are_queued_once(spark):
     assert [r.id for r in got] == [1, 1, 1]  # the first, the other one and back again
 
 
+def test_quiet_ids_leave_the_state(spark):
+    """An id without changes in a batch that comes after its time is new again."""
+    frames = [[(1, 1, "a", None)], [(2, 1, "a", None)], [(1, 2, "a", None)]]
+    schema = "id long, seq long, content string, generated_by string"
+    assert len(_streamed(spark, frames, schema, changes.changed)) == 2
+    assert len(_streamed(spark, frames, schema, lambda s: changes.changed(s, dt.timedelta(milliseconds=1)))) == 3
+
+
+def test_newer_updates_pass_however_late(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    frames = [[(1, day(5)), (2, day(1)), (1, day(3))], [(1, day(4)), (2, day(2))], [(1, day(6)), (2, day(2))]]
+    got = _streamed(spark, frames, "id long, update_time timestamp", changes.newer)
+    assert sorted((r.id, r.update_time.day) for r in got) == [(1, 5), (1, 6), (2, 1), (2, 2)]
+
+
 def test_rate_limit(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [("k", base + dt.timedelta(seconds=i)) for i in range(31)] + [("k", base + dt.timedelta(seconds=61))]
@@ -105,6 +127,30 @@ def test_rate_limit(spark):
     assert [r.allowed for r in got] == [True] * 30 + [False, True]
 
 
+def test_rate_limit_late_calls_and_idle_keys(spark):
+    """Calls behind the watermark are left out; a key whose window has passed keeps no state."""
+    base = dt.datetime(2024, 1, 1)
+    s = lambda n: base + dt.timedelta(seconds=n)
+    frames = [[("a", s(0)), ("b", s(0)), ("a", s(1)), ("a", s(2))], [("b", s(500))], [("a", s(1)), ("b", s(501))], [("b", s(502))]]
+    places = []
+    got = _streamed(spark, frames, "key string, ts timestamp", lambda x: changes.limited(x, 2, 60), places)
+    assert sorted((r.key, r.ts, r.allowed) for r in got) == [("a", s(0), True), ("a", s(1), True), ("a", s(2), False), ("b", s(0), True), ("b", s(500), True), ("b", s(501), True), ("b", s(502), False)]
+    kept = spark.read.format("statestore").load(places[0])
+    assert {r.k for r in kept.select("key.key").toDF("k").collect()} == {"b"}
+
+
+def test_rate_limit_of_a_table_is_the_streams(spark):
+    import random
+
+    r = random.Random(2)
+    base = dt.datetime(2024, 1, 1)
+    rows = sorted({(r.choice("ab"), base + dt.timedelta(seconds=r.randrange(300))) for _ in range(150)})
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "key string, ts timestamp, id long")
+    got = {(x.key, rows[x.id][1]): x.allowed for x in changes.limited_rows(df, 5, 60).collect()}
+    streamed = _streamed(spark, [rows], "key string, ts timestamp", lambda s: changes.limited(s, 5, 60))
+    assert got == {(x.key, x.ts): x.allowed for x in streamed} and not all(got.values())
+
+
 def test_session_window_splits_at_the_gap(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [("k", base), ("k", base + dt.timedelta(hours=4)), ("z", base + dt.timedelta(days=3))]

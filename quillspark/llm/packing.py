@@ -24,7 +24,7 @@ from .common import tidied
 MAX_LEN = 2048
 END_ID = 1
 #: Entries of a worker's cache of tokenized chunks; beyond it the cache starts anew.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 1_000_000
 #: Bytes of ids after which an output batch is sent.
 BATCH_BYTES = 16 << 20
 _SEPARATOR = "\x01"
@@ -37,7 +37,8 @@ class ChunkTokenizer:
     are those of its chunks between ASCII white space in order; chunks are cached.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,7 +77,7 @@ class ChunkTokenizer:
             self.chunks[chunk] = known[word] + known[mark] if mark else known[word]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.chunks) > CACHE_ENTRIES or len(self.words) > CACHE_ENTRIES:
+        if len(self.chunks) > self.entries or len(self.words) > self.entries:
             self.chunks.clear()
             self.words.clear()
         cut = [t.split() for t in texts]
@@ -99,9 +100,9 @@ def _binary(data: bytes, lengths: list[int]) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _packer(path: str, end_id: int, max_len: int):
+def _packer(path: str, end_id: int, max_len: int, entries: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = ChunkTokenizer(path), np.asarray([end_id], "<u4").tobytes()
+        tokenizer, end = ChunkTokenizer(path, entries), np.asarray([end_id], "<u4").tobytes()
         names = ["doc_id", "start", "length", "doc_tokens", "ids"]
 
         def batch(doc_ids, rows, data):
@@ -130,7 +131,7 @@ def _packer(path: str, end_id: int, max_len: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, max_len: int = MAX_LEN) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, max_len: int = MAX_LEN, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, ids (packed little-endian
     unsigned 32-bit), bucket (binary logarithm of the length), sequence_id and offset.
 
@@ -141,7 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, m
         raise ValueError("max_len must be a power of two up to 32768")
     of = dict(docs.dtypes)["doc_id"]
     pieces = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        tidied(_packer(tokenizer_path, end_id, max_len)), f"doc_id {of}, start bigint, length bigint, doc_tokens bigint, ids binary"
+        tidied(_packer(tokenizer_path, end_id, max_len, cache_entries)), f"doc_id {of}, start bigint, length bigint, doc_tokens bigint, ids binary"
     )
     bucket = F.length(F.bin("length")) - 1
     return pieces.select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import filters, text
+from ..functions import filters, json_repair, text
 from ..operators import curation
 from ..sources import importers
 from . import views
@@ -327,3 +327,17 @@ def chat_array(spark, d):
         store.rename(part.getPath(), fs.Path(f"{path}/conversations.json"))
     nodes = importers.chat_nodes(importers.chat_export(spark, path, 64 << 10))
     return importers.canonical_path(nodes).select("conv_id", "position", "role", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("""SELECT doc_id AS id, source, 2 AS n_list, CASE WHEN doc_id % 2 = 0 THEN replace(replace(left(text, 40), chr(92), '/'), '"', '`') END AS said, n_chars + 3 AS total
+FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL AND length(text) > 0""")
+def repaired_rows(spark, d):
+    """Rows written as a model writes JSON nearly right (fences, single quotes, commas too many and too
+    few, raw line ends, no end), repaired and read."""
+    rows = table(spark, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL AND length(text) > 0")
+    said = F.replace(F.replace(F.substring("text", 1, 40), F.lit("\\"), F.lit("/")), F.lit('"'), F.lit("`"))
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"'), said, F.lit('"'))).otherwise(F.lit("None"))
+    broken = F.concat(F.lit("```json\n{'id': "), "doc_id", F.lit(', "source": "'), "source", F.lit('",, "list": ["'), "lang", F.lit('"\n "x",],\n"said": '), said, F.lit("\n'sums': ["), "n_chars", F.lit(", 1,\n2"))
+    e = F.from_json(json_repair.repaired(broken), "id bigint, source string, list array<string>, said string, sums array<bigint>")
+    got = rows.select(e.alias("e"))
+    return got.select("e.id", "e.source", F.size("e.list").alias("n_list"), "e.said", F.aggregate("e.sums", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))

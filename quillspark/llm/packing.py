@@ -11,8 +11,12 @@ packed too; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+import re
+import struct
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +31,67 @@ END_ID = 1
 CACHE_ENTRIES = 1_000_000
 #: Bytes of ids after which an output batch is sent.
 BATCH_BYTES = 16 << 20
-_SEPARATOR = "\x01"
+
+#: Normalizer and pre-tokenizer under which words may go to the tokenizer's model as they are.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The same words of lower-case text up to U+00FF, which NFC leaves as it is.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\t-\\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+class _Lookup(dict):
+    """A dict that makes what it lacks."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = got = self.make(key)
+        return got
+
+
+def _cuts_as_expected(tokenizer) -> bool:
+    rules = [json.loads(x.__getstate__()) if x else None for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return rules == [_NORMALIZER, _PRE_TOKENIZER] and not tokenizer.truncation and all(t.startswith("<") for t in special)
+
+
+def _word_ids(model, byte_chars: dict[int, str], word: str) -> bytes:
+    shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(byte_chars)
+    ids = [t.id for t in model.tokenize(shown)]
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _chunk_ids(tokenizer, words: _Lookup, plain: bool, chunk: bytes) -> bytes:
+    text = chunk.decode("utf-8", "replace")
+    if plain and "<" not in text and max(text) < "Ā":
+        return b"".join(map(words.__getitem__, _WORDS.findall(text.lower())))
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ChunkTokenizer:
     """Token ids of a text as packed little-endian 32-bit numbers.
 
     The tokenizer drops white space and none of its rules looks across it, so the ids of a text
-    are those of its chunks between ASCII white space in order; chunks are cached.
+    are those of its chunks between ASCII white space in order; chunks are cached. Chunks of
+    characters up to U+00FF are cut into words as the tokenizer cuts them, and each word goes to the
+    tokenizer's model once; others, and those that could hold a special token, go through the whole
+    tokenizer. So do all chunks if it does not normalize and cut as expected.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -42,50 +99,16 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        plain = len(self.separator) == 1 and not any(_SEPARATOR in t for t in texts)
-        if not plain:
-            return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        ids = np.asarray(self.tokenizer.encode_batch_fast([f" {_SEPARATOR} ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == self.separator[0])
-        if len(cuts) != len(texts) - 1:
-            return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(starts, ends)]
-
-    @staticmethod
-    def _split(chunk: str) -> tuple[str, str]:
-        """A chunk's word in lower case and the punctuation mark after it. Both are tokens of
-        their own, so the parts can be looked up apart; other chunks stay whole."""
-        word, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,;:!?" else (chunk, "")
-        return (word.lower(), mark) if word.isalpha() and max(word) < "Ā" else (chunk, "")
-
-    def _learn(self, new: list[bytes]) -> None:
-        parts = [self._split(c.decode("utf-8", "replace")) for c in new]
-        known = self.words
-        missing = list(dict.fromkeys(p for pair in parts for p in pair if p and p not in known))
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            known.update(zip(some, self._encode(some)))
-        for chunk, (word, mark) in zip(new, parts):
-            self.chunks[chunk] = known[word] + known[mark] if mark else known[word]
+        tokenizer = Tokenizer.from_file(path)
+        self.words = _Lookup(partial(_word_ids, tokenizer.model, _byte_chars()))
+        self.chunks = _Lookup(partial(_chunk_ids, tokenizer, self.words, _cuts_as_expected(tokenizer)))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if len(self.chunks) > self.entries or len(self.words) > self.entries:
             self.chunks.clear()
             self.words.clear()
-        cut = [t.split() for t in texts]
-        new = set().union(*cut).difference(self.chunks)
-        if new:
-            self._learn(sorted(new))
         get = self.chunks.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 def piece_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:

@@ -407,6 +407,19 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs(spark, texts).limit(0), path).count() == 0
 
 
+def test_words_meet_the_model_once():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok, own, rng = Tokenizer.from_file(path), packing.ChunkTokenizer(path), random.Random(7)
+    own.ids([b"Word### word%%% WORD, word,### &&&"])
+    assert sorted(own.words) == ["###", "%%%", "&&&", ",", ",###", "word"]
+    chars = [chr(c) for c in range(256)] + list("'srtvmdleLDS") * 20
+    texts = ["".join(rng.choices(chars, k=rng.randrange(13))) + rng.choice(["", "", "é", "<|endoftext|>", "İx", "Σς"]) for _ in range(3000)]
+    for text, ids in zip(texts, own.ids([t.encode() for t in texts])):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tok.encode(text, add_special_tokens=False).ids, text
+
+
 def test_piece_lengths():
     for n in (1, 2, 3, 2047, 2048, 2049, 10_000):
         assert sum(packing.piece_lengths(n)) == n

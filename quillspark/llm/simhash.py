@@ -352,7 +352,7 @@ def _near_any(fp: np.ndarray, size: np.ndarray, most: int, least: float) -> np.n
     return found
 
 
-#: Spanning forests that an anchor proposes; no two share an edge.
+#: Spanning forests that an anchor proposes first; no two share an edge.
 FORESTS = 3
 
 
@@ -419,6 +419,83 @@ def _compare_wide(most: int, least: float):
     return run
 
 
+#: Texts of a block, two of which a tile compares.
+BLOCK_ROWS = 128
+
+
+def _tiles(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the texts (num, family, root), and the tiles of two blocks, or of one with itself,
+    in which all pairs of a family with different roots meet.
+
+    A root of many texts has blocks of its own, which do not meet each other; the other roots of the
+    family share blocks. Families of one root have none."""
+    roots = staged(marks.groupBy("family", "root").agg(F.count("*").alias("n")), "roots")
+    large = F.col("n") > BLOCK_ROWS
+    mixed = roots.groupBy("family").agg(F.count("*").alias("roots"), F.sum(F.when(large, 0).otherwise(F.col("n"))).alias("others")).where("roots > 1")
+    parts = F.ceil(F.when(large, F.col("n")).otherwise(F.col("others")) / BLOCK_ROWS)
+    own = F.when(large, F.col("root")).otherwise(-1)
+    cut = staged(sized_join(roots, staged(mixed, "mixed"), ["family"]).select("family", "root", own.alias("own"), parts.alias("parts")), "cut")
+    members = sized_join(marks, cut, ["family", "root"]).withColumn("part", F.pmod(F.xxhash64("num"), "parts")).drop("parts")
+    blocks = staged(members.select("family", "own", "part").distinct(), "blocks")
+    pairs = blocks.join(blocks.toDF("family", "own2", "part2"), "family").where("struct(own, part) <= struct(own2, part2) and (own <> own2 or own = -1)")
+    pairs = staged(pairs.withColumn("tile", F.monotonically_increasing_id()), "tiles")
+    second = pairs.where("struct(own, part) <> struct(own2, part2)").select("tile", "family", "own2", "part2", F.lit(1))
+    return members, staged(pairs.select("tile", "family", "own", "part", F.lit(0).alias("side")).union(second), "sides")
+
+
+def _compare_tiles(most: int, least: float):
+    def links(num, root, fp, side, hashes) -> pa.RecordBatch:
+        x, y = (np.flatnonzero(side == k) for k in (0, 1))
+        size = np.array([len(h) for h in hashes])
+        if len(y):
+            a, b = (k.ravel() for k in np.meshgrid(x, y, indexing="ij"))
+        else:
+            a, b = np.triu_indices(len(num), 1)
+        near = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]))
+        a, b = a[near], b[near]
+        near = np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= most
+        found = []
+        for i, j in zip(a[near].tolist(), b[near].tolist()):
+            both = len(np.intersect1d(hashes[i], hashes[j], assume_unique=True))
+            if both >= least * (size[i] + size[j] - both):
+                found.append((min(num[i], num[j]), max(num[i], num[j])))
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for got in batches:  # sorted by tile: the last tile of a batch may go on in the next
+            tile, num, root, side = (got.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            fp, hashes = _wide(got.column(4)), [h.values.to_numpy() for h in got.column(5)]
+            cuts = (np.flatnonzero(np.diff(tile)) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(tile)]):
+                if lo == hi:
+                    continue
+                if tile[lo] != last:
+                    if held:
+                        yield links(*map(np.concatenate, zip(*[h[:4] for h in held])), [x for h in held for x in h[4]])
+                    held, last = [], tile[lo]
+                held.append((num[lo:hi], root[lo:hi], fp[lo:hi], side[lo:hi], hashes[lo:hi]))
+        if held:
+            yield links(*map(np.concatenate, zip(*[h[:4] for h in held])), [x for h in held for x in h[4]])
+
+    return run
+
+
+def _links_left(found: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, most: int, least: float) -> DataFrame:
+    """Links between different components (num, root) of the texts that the candidates ``found``
+    connect: all pairs of two roots in a family, which is a component of the candidates, are
+    compared as the candidates are, and on their sets."""
+    family = staged(components(found).toDF("num", "family"), "families")
+    marks = sized_join(family, roots, ["num"], "left").select("num", "family", F.coalesce("root", "num").alias("root"))
+    members, sides = _tiles(staged(marks, "marks"))
+    whole = members.join(classes.select("num", "fp"), "num").join(sets, "num")
+    dealt = sized_join(whole, sides, ["family", "own", "part"]).select("tile", "num", "root", "side", "fp", "hashes")
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(tidied(_compare_tiles(most, least)), "a bigint, b bigint").distinct()
+
+
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, slack: int = 13, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over links) for every row.
 
@@ -431,7 +508,9 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, slack
     set sizes that allow the similarity; anchors with more than ``hot_anchor`` members are split by
     those windows. Neither loses a pair. An anchor proposes the edges of FORESTS spanning forests,
     which are then checked on the shingles themselves: no pair below ``least`` links, and a family of
-    n texts makes at most FORESTS * (n - 1) checks an anchor.
+    n texts makes at most FORESTS * (n - 1) checks an anchor. The forests connect all candidates, so
+    what they left out lies within a component of their edges: there every candidate pair of texts
+    that are not yet connected is checked too, and no candidate is lost.
 
     Texts without words are one class. Null ids and repeated rows as in near_duplicates.
     """
@@ -461,6 +540,9 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, slack
     edges = staged(found.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "edges")
 
     roots = staged(components(edges).withColumnRenamed("node", "num"), "roots")
+    more = staged(_links_left(found, roots, classes, sets, most, least), "more")
+    if more.limit(1).count():
+        roots = staged(components(edges.union(more)).withColumnRenamed("node", "num"), "roots")
     rooted = staged(sized_join(classes, roots, ["num"], "left").select("set", "least", F.coalesce("root", "num").alias("root")), "rooted")
     least_id = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = staged(sized_join(rooted.select("set", "root"), least_id, ["root"]).select("set", "component_id"), "named")

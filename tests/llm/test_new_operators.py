@@ -328,3 +328,37 @@ def test_next_neighbours_stand_in():
     a, b = simhash._forests(np.arange(6), fp, np.full(6, 100), 40, 0.8)
     assert len(set(zip(a.tolist(), b.tolist()))) == len(a) == 15  # three forests are all pairs of six
     assert len(simhash._forests(np.arange(2), fp[:2], np.array([100, 79]), 40, 0.8)[0]) == 0
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_links_beyond_the_forests_are_found(spark, block, monkeypatch):
+    """Families whose texts are all candidates of each other and of which few link: the links that
+    no forest holds must be found all the same."""
+    from quillspark.llm import simhash
+
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    r = random.Random(5)
+    rows = []
+    for family in range(12):
+        base = [f"{r.choice('abcdefgh')}{r.randrange(9000)}" for _ in range(300)]
+        for k in range(40):  # the last two have a similarity of about 0.82, the others at most 0.79
+            e = list(base)
+            for at in r.sample(range(300), 4 if k < 38 else 3):
+                e[at] = f"z{r.randrange(9000)}"
+            rows.append((len(rows), " ".join(e)))
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    want = {}
+    for i, _ in rows:
+        if i in want:
+            continue
+        want[i], queue = i, [i]
+        while queue:
+            x = queue.pop()
+            for y in range(x - x % 40, x - x % 40 + 40):
+                both = len(sets[x] & sets[y])
+                if y not in want and both >= 0.8 * (len(sets[x]) + len(sets[y]) - both):
+                    want[y] = i
+                    queue.append(y)
+    assert 12 < len(set(want.values())) < len(rows)
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

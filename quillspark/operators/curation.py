@@ -136,15 +136,30 @@ def distinct_pairs(edges: DataFrame, without: str = "co_occurs_with") -> DataFra
     return edges.where(F.col("relation") != without).select(F.least("from_entity_id", "to_entity_id").alias("a"), F.greatest("from_entity_id", "to_entity_id").alias("b")).distinct()
 
 
+#: Entities of a thought up to which all its pairs are counted.
+PAIRED = 64
+
+
 def grounded(pairs: DataFrame, links: DataFrame, named: DataFrame | None = None, thoughts: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) by the number of thoughts that link both ends.
 
+    All pairs of a thought of at most PAIRED entities are counted, which is linear in the links; in
+    larger thoughts only the pairs asked for are looked up, which such hubs would else square.
     With ``named`` (id, name) and ``thoughts`` (id, content), pairs that no thought links count the
     thoughts whose content holds both names instead."""
-    x = links.select(F.col("entity_id").alias("a"), "thought_id").distinct()
-    y = links.select(F.col("entity_id").alias("b"), "thought_id").distinct()
-    n = pairs.join(x, "a").join(y, ["b", "thought_id"]).groupBy("a", "b").agg(F.count("*").alias("grounding"))
-    out = pairs.join(n, ["a", "b"], "left").withColumn("grounding", F.coalesce("grounding", F.lit(0).cast("bigint")))
+    # a thought's entities lie together from here on, and nothing but pairs is dealt again
+    each = links.select("thought_id", "entity_id").where("thought_id IS NOT NULL AND entity_id IS NOT NULL").repartition("thought_id").distinct()
+    each = each.withColumn("n", F.count("*").over(Window.partitionBy("thought_id")))
+    few, many = each.where(F.col("n") <= PAIRED), each.where(F.col("n") > PAIRED)
+    low, high = few.select("thought_id", F.col("entity_id").alias("low")), few.select("thought_id", F.col("entity_id").alias("high"))
+    n = low.join(high, "thought_id").where("low <= high").groupBy("low", "high").agg(F.count("*").alias("n"))
+    ends = {"low": F.when(F.col("a") <= F.col("b"), F.col("a")).otherwise(F.col("b")), "high": F.when(F.col("a") <= F.col("b"), F.col("b")).otherwise(F.col("a"))}
+    wanted = pairs.withColumns(ends)
+    at = many.select("thought_id", F.col("entity_id").alias("low")).join(wanted, "low")
+    large = at.join(many.select("thought_id", F.col("entity_id").alias("high")), ["thought_id", "high"]).groupBy("low", "high").agg(F.count_distinct("thought_id").alias("n"))  # a pair may be given twice
+    n = n.unionByName(large).groupBy("low", "high").agg(F.sum("n").alias("grounding"))
+    out = wanted.join(n, ["low", "high"], "left")
+    out = out.drop("low", "high").withColumn("grounding", F.coalesce("grounding", F.lit(0).cast("bigint")))
     if named is None or thoughts is None:
         return out
     # an automaton over all names reads each thought's words once

@@ -27,11 +27,14 @@ def upsert_thoughts(events: DataFrame) -> DataFrame:
     """Fold of upserts (seq, content, metadata map, embedding, at) by content fingerprint: content
     and creation of the first, metadata merged in order, the last embedding that is not null."""
     rows = events.withColumn("fingerprint", text.fingerprint(F.col("content")))
-    by_seq = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "metadata")), by_seq)
-    folded = F.aggregate(F.transform(ordered, lambda s: s["metadata"]), F.lit(None).cast("map<string,string>"), merged)
     last = F.max_by(F.col("embedding"), F.when(F.col("embedding").isNotNull(), F.col("seq")))
-    return rows.groupBy("fingerprint").agg(F.min_by("content", "seq").alias("content"), folded.alias("metadata"), last.alias("embedding"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"), F.count("*").alias("writes"))
+    out = rows.groupBy("fingerprint").agg(F.min_by("content", "seq").alias("content"), F.count("metadata").alias("maps"), last.alias("embedding"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"), F.count("*").alias("writes"))
+    # the last value of every key: writes meet by content and key, and only what is left makes a map
+    keys = rows.select("fingerprint", "seq", F.explode("metadata")).groupBy("fingerprint", "key").agg(F.max_by("value", F.struct("seq")).alias("value"))
+    maps = keys.groupBy("fingerprint").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
+    none = F.create_map().cast(dict(events.dtypes)["metadata"])
+    metadata = F.when(F.col("maps") > 0, F.coalesce("metadata", none)).alias("metadata")
+    return out.join(maps, "fingerprint", "left").select("fingerprint", "content", metadata, "embedding", "created_at", "updated_at", "writes")
 
 
 def fold_typed_edges(events: DataFrame) -> DataFrame:

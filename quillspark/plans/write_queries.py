@@ -33,7 +33,7 @@ near AS (SELECT DISTINCT x.id AS a, y.id AS b FROM keys x JOIN keys y ON x.k = y
 def upsert_keeps_vectors(spark, d):
     """A write without a vector keeps the last one; metadata keys of later writes win."""
     n = F.col("event_id")
-    vector = F.when(n % 3 == 0, F.array(n.cast("float")))
+    vector = F.when(n % 3 == 0, F.array(n.cast("double")))  # exact beyond 2^24
     rows = table(spark, d, "events").select(n.alias("seq"), F.concat(F.lit("Text "), F.col("user_id") % 7).alias("content"), F.create_map(F.lit("kind"), "event_type", F.concat(F.lit("u"), "user_id"), F.lit("x")).alias("metadata"), vector.alias("embedding"), n.alias("at"))
     out = upsert.upsert_thoughts(rows)
     return out.select(F.regexp_extract("content", "([0-9]+)", 1).cast("bigint").alias("id"), "writes", F.col("created_at").alias("first"), F.col("embedding")[0].cast("bigint").alias("last_vector"), F.col("metadata")["kind"].alias("kind"))

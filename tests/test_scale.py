@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import curation
+from quillspark.operators import curation, upsert
+
+from .compare import same
 
 
 def made(df, kind):
@@ -51,3 +53,31 @@ def test_grounded_pairs_of_hubs_and_odd_rows(spark):
     want = {(1, 2): 3, (2, 1): 3, (5, 5): 3, (1, hub - 1): 2, (7, hub + 1): 0, (None, 5): 0, (5, None): 0, (None, None): 0, (3, 4): 2}
     assert sorted(((x.a, x.b), x.grounding) for x in got.where("a IS NOT NULL AND b IS NOT NULL").collect()) == sorted((p, want[p]) for p in pairs if None not in p)
     assert all(x.grounding == 0 for x in got.where("a IS NULL OR b IS NULL").collect())
+
+
+# ---- writes of one content -----------------------------------------------------------------------------
+
+
+def test_many_writes_of_one_content(spark):
+    """No group gathers its writes: the last value of every key is found first."""
+    rows = spark.range(20_000).selectExpr("id AS seq", "concat('Same', id % 1) AS content", "map('kind', string(id), concat('u', id % 5000), string(id)) AS metadata", "array(double(id)) AS embedding", "id AS at")
+    got = upsert.upsert_thoughts(rows)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()  # before: a fold over all maps, each as large as all keys so far
+    r = got.first()
+    assert r.writes == 20_000 and r.metadata == {"kind": "19999", **{f"u{k}": str(15_000 + k) for k in range(5000)}}
+    assert "Join" not in got.drop("metadata")._jdf.queryExecution().optimizedPlan().toString()  # read once where no map is asked for
+
+
+def test_odd_metadata(spark):
+    rows = [(1, "a", None), (2, "a", {}), (1, "b", None), (1, "c", {"k": "1"}), (2, "c", {"k": None}), (3, "c", None), (5, "d", {"k": "late"}), (2, "d", {"k": "early", "x": "y"}), (1, None, {"n": "1"})]
+    df = spark.createDataFrame(rows, "seq long, content string, metadata map<string,string>").selectExpr("*", "CAST(NULL AS array<float>) AS embedding", "seq AS at")
+    got = {r.content: r.metadata for r in upsert.upsert_thoughts(df).collect()}
+    assert got == {"a": {}, "b": None, "c": {"k": None}, "d": {"k": "late", "x": "y"}, None: {"n": "1"}}
+
+
+def test_event_numbers_beyond_floats(spark, sf, tmp_path):
+    """Numbers that single precision rounds (2^24 events and more) come back as they were."""
+    from quillspark import catalog
+
+    spark.read.parquet(f"{sf}/events.parquet").withColumn("event_id", F.expr("event_id * 3 + 30000003")).write.parquet(f"{tmp_path}/events.parquet")
+    same(spark, catalog.QUERIES["upsert_keeps_vectors"], catalog.ORACLE_SQL["upsert_keeps_vectors"], str(tmp_path))

@@ -158,9 +158,9 @@ def similar_pairs(vectors_: DataFrame, least: float, cell: int = 2048, sample: i
     Exact join with metric pruning. Pivots are rows of a bounded sample, about one for ``cell`` rows;
     a row belongs to the cell of its nearest pivot. Angles obey the triangle inequality, so a row can
     have partners in another cell only if its angle to that pivot, less the cell's radius, is within
-    the threshold's angle, and if it is not too far beyond the border between both pivots. Rows travel
-    to those cells of higher number only; each cell compares its own rows, and its visitors with them.
-    Cells that hold more are compared by tiles of parts. Ids must be unique. Rows whose vector is null,
+    the threshold's angle, and if it is not too far beyond the border between both pivots. Rows meet
+    those cells of higher number only; each cell compares its own rows, and its visitors with them.
+    Cells travel together in regions, and a task compares two of them; large cells are several. Ids must be unique. Rows whose vector is null,
     zero or not finite match nothing; vectors of different lengths do not match each other.
 
     Pruning depends on the data: clustered vectors skip most pairs of cells, evenly spread ones in many

@@ -3,9 +3,10 @@
 import os
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quillspark.operators import curation, search, text_index, upsert
+from quillspark.operators import curation, metric, search, text_index, upsert
 
 from .compare import same
 
@@ -159,3 +160,24 @@ def test_many_candidates_are_not_dealt(spark, tmp_path, monkeypatch):
     left = plan[[i for i, x in enumerate(plan) if "Join" in x][0] + 1]
     assert "Project" in left and "content" not in left
     assert {r.id for r in got.collect()} == {r.serial_id for r in df.where("content LIKE '%w1 w%'").collect()}
+
+
+# ---- similarity join -------------------------------------------------------------------------------------
+
+
+def test_rows_are_copied_by_regions(spark):
+    """Evenly spread rows go to as many tasks as there are regions, not to every cell, and in pieces."""
+    x = np.random.default_rng(4).normal(size=(2500, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    got = search.similar_pairs(df, 0.6, cell=20, sample=400)
+    assert made(got, "MapInPandas") <= 2500 * 10  # before: about half of 125 cells
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.triu(unit @ unit.T, 1)
+    want = {(int(a), int(b)): sim[a, b] for a, b in zip(*np.nonzero(sim >= 0.6))}
+    found = {(r.a, r.b): r.similarity for r in got.collect()}
+    assert found.keys() == want.keys() and len(want) > 100 and all(abs(found[k] - s) < 1e-12 for k, s in want.items())
+
+
+def test_regions():
+    first, parts = metric.regions(np.array([3, 4, 25, 0, 10, 1, 9]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1, 1]

@@ -21,19 +21,21 @@ def canonical_path(nodes: DataFrame) -> DataFrame:
 
     Pointers double: each round every node learns the ancestor twice as far, and the path takes in
     the ancestors of its own nodes, so a chat of n turns takes log n joins of n rows."""
-    jump = nodes.select("conv_id", "node_id", F.col("parent").alias("to"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("bigint").alias("depth")).checkpoint()
+    current = F.col("is_current") if "is_current" in nodes.columns else F.lit(False)
+    # the nodes, which may be read from files, are read here and once more with all their columns
+    base = nodes.select("conv_id", "node_id", "parent", F.coalesce(current, F.lit(False)).alias("c")).checkpoint()
+    jump = base.select("conv_id", "node_id", F.col("parent").alias("to"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("bigint").alias("depth"))
     steps = [jump]
     while jump.where("to IS NOT NULL").limit(1).count():
         far = jump.select("conv_id", F.col("node_id").alias("to"), F.col("to").alias("far"), F.col("depth").alias("more"))
         jump = jump.join(far, ["conv_id", "to"], "left").select("conv_id", "node_id", F.col("far").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).checkpoint()
         steps.append(jump)
-    rows = nodes.join(jump.select("conv_id", "node_id", "depth"), ["conv_id", "node_id"])
-    current = F.col("is_current") if "is_current" in nodes.columns else F.lit(False)
-    line = rows.groupBy("conv_id").agg(F.max_by("node_id", F.struct(F.coalesce(current, F.lit(False)).alias("c"), "depth", "node_id")).alias("node_id"))
+    depths = jump.select("conv_id", "node_id", "depth")
+    line = base.join(depths, ["conv_id", "node_id"]).groupBy("conv_id").agg(F.max_by("node_id", F.struct("c", "depth", "node_id")).alias("node_id"))
     for step in steps:
         up = step.where("to IS NOT NULL").select("conv_id", "node_id", "to")
         line = line.union(line.join(up, ["conv_id", "node_id"]).select("conv_id", F.col("to").alias("node_id"))).checkpoint()
-    return rows.join(line, ["conv_id", "node_id"], "left_semi").withColumnRenamed("depth", "position")
+    return nodes.join(depths.join(line, ["conv_id", "node_id"], "left_semi"), ["conv_id", "node_id"]).withColumnRenamed("depth", "position")
 
 
 #: The mark of a cited web source, and of a shown image.

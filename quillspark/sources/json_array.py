@@ -25,11 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT_BYTES = 64 << 20
+#: Ranges for each core, about, before they are larger than asked for.
+CORE_RANGES = 8
 #: Bytes that are looked at at once.
 BLOCK = 4 << 20
+#: Bytes that are first looked at beyond a range.
+REST = 32 << 10
 #: Characters of elements after which a batch is sent.
 BATCH_CHARS = 8 << 20
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
+_CHANGE = np.isin(np.arange(256), [ord(c) for c in "{["]).astype(np.int64) - np.isin(np.arange(256), [ord(c) for c in "}]"])
+_MARK = np.isin(np.arange(256), [ord(c) for c in '"\\{}[],'])
 
 
 def _opened(path: str):
@@ -43,20 +49,29 @@ def _opened(path: str):
 
 
 def structure(block: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(change of depth at each byte, bytes outside strings, state after the block)."""
-    at = np.arange(len(block))
-    slash = block == 92
-    plain = np.maximum.accumulate(np.where(slash, -1, at))  # last byte before that is no backslash
-    run = at - plain  # backslashes up to here
-    run[plain < 0] += state == ESCAPED
-    before = np.concatenate([[int(state == ESCAPED)], run[:-1]])
-    quote = (block == 34) & (before % 2 == 0)
-    inside = (np.cumsum(quote) + (state != OUTSIDE)) % 2 == 1
-    outside = ~inside & ~quote
-    change = ((block == 123) | (block == 91)).astype(np.int8) - ((block == 125) | (block == 93)).astype(np.int8)
-    change[~outside] = 0
-    end = OUTSIDE if not inside[-1] else ESCAPED if run[-1] % 2 else INSIDE
-    return change, outside, end
+    """(places of brackets and commas outside strings, change of depth at each, state after the block).
+    Only the few bytes that may matter are looked at, not what lies between."""
+    at = np.flatnonzero(_MARK[block])
+    byte = block[at]
+    slash = at[byte == 92]
+    first = np.flatnonzero(np.diff(slash, prepend=-2) != 1)  # of runs of backslashes
+    starts, run = slash[first], np.diff(np.append(first, len(slash)))
+    if state == ESCAPED:  # one backslash came before the block
+        if len(starts) and starts[0] == 0:
+            run[0] += 1
+        else:
+            starts, run = np.append(0, starts), np.append(1, run)
+    ends = starts + run - (starts == 0) * (state == ESCAPED)
+    escaped = ends[run % 2 == 1]  # bytes after an odd run
+    quotes = at[byte == 34]
+    near = np.searchsorted(escaped, quotes)
+    quotes = quotes[(escaped[np.minimum(near, len(escaped) - 1)] != quotes) if len(escaped) else slice(None)]
+    odd = (len(quotes) + (state != OUTSIDE)) % 2
+    end = OUTSIDE if not odd else ESCAPED if len(escaped) and escaped[-1] == len(block) else INSIDE
+    mark = at[(byte != 34) & (byte != 92)]
+    inside = (np.searchsorted(quotes, mark) + (state != OUTSIDE)) % 2 == 1
+    mark = mark[~inside]
+    return mark, _CHANGE[block[mark]], end
 
 
 def _scan(ranges: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,15 +82,19 @@ def _scan(ranges: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with _opened(path) as f:
                 for at in range(start, end, BLOCK):
                     block = np.frombuffer(f.read_at(min(BLOCK, end - at), at), np.uint8)
-                    for i in range(3):
-                        change, _, states[i] = structure(block, states[i])
-                        depths[i] += int(change.sum(dtype=np.int64))
+                    seen = {now: structure(block, now) for now in set(states)}  # ranges soon end alike
+                    depths = [n + int(seen[now][1].sum()) for now, n in zip(states, depths)]
+                    states = [seen[now][2] for now in states]
             out.append((path, start, end, states, depths))
         yield pd.DataFrame(out, columns=["path", "start", "end", "states", "depths"])
 
 
 def plan(spark: SparkSession, files: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES) -> list[list]:
-    """Ranges [path, start, end, state, depth] of the files, in order; a few numbers for each range."""
+    """Ranges [path, start, end, state, depth] of the files, in order; a few numbers for each range.
+
+    Ranges below SPLIT_BYTES grow with the files, so that there are about CORE_RANGES for each core."""
+    whole = sum(n for _, n in files)
+    split_bytes = max(split_bytes, min(SPLIT_BYTES, whole // (CORE_RANGES * spark.sparkContext.defaultParallelism)))
     ranges = [(p, lo, min(lo + split_bytes, n)) for p, n in files for lo in range(0, n, split_bytes)]
     if not ranges:
         return []
@@ -94,26 +113,30 @@ def plan(spark: SparkSession, files: list[tuple[str, int]], split_bytes: int = S
 def elements(path: str, start: int, end: int, state: int, depth: int) -> Iterator[tuple[int, bytes]]:
     """(offset, bytes) of the elements whose mark lies in a range that begins in this state and depth."""
     with _opened(path) as f:
-        size, at, held, mark = f.size(), start, [], None
+        size, at, held, mark, rest = f.size(), start, [], None, min(BLOCK, REST)
         if start == 0 and (head := f.read_at(min(size, 1 << 16), 0).removeprefix(b"\xef\xbb\xbf").lstrip()) and not head.startswith(b"["):
             raise ValueError(f"{path} holds no JSON array")
         while at < size and (at < end or mark is not None):
-            block = np.frombuffer(f.read_at(min(BLOCK, (end if at < end else size) - at), at), np.uint8)
-            change, outside, state = structure(block, state)
-            level = np.cumsum(change, dtype=np.int64) + depth
-            comma, opens, closes = (block == 44) & outside & (level == 1), (block == 91) & (change > 0) & (level == 1), (change < 0) & (level == 0)
+            if at < end:
+                block = np.frombuffer(f.read_at(min(BLOCK, end - at), at), np.uint8)
+            else:  # the last element's end
+                block, rest = np.frombuffer(f.read_at(min(rest, size - at), at), np.uint8), min(BLOCK, 2 * rest)
+            found, change, state = structure(block, state)
+            level = np.cumsum(change) + depth
+            comma, opens, closes = (block[found] == 44) & (level == 1), (block[found] == 91) & (level == 1), (change < 0) & (level == 0)
             raw, last = block.tobytes(), 0
-            for p in np.flatnonzero(comma | opens | closes).tolist():
+            ends = set(found[closes].tolist())
+            for p in found[comma | opens | closes].tolist():
                 if mark is not None:
                     held.append(raw[last:p])
                     yield mark, b"".join(held)
                 held, last = [], p + 1
-                mark = None if closes[p] or at >= end else at + p
+                mark = None if p in ends or at >= end else at + p
                 if mark is None and at >= end:
                     return
             if mark is not None:
                 held.append(raw[last:])
-            depth = int(level[-1])
+            depth = int(level[-1]) if len(level) else depth
             at += len(block)
 
 

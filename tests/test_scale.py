@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.operators import curation, metric, search, text_index, upsert
+from quillspark.sources import importers, json_array
 
 from .compare import same
 
@@ -181,3 +182,79 @@ def test_rows_are_copied_by_regions(spark):
 def test_regions():
     first, parts = metric.regions(np.array([3, 4, 25, 0, 10, 1, 9]), 10)
     assert first.tolist() == [0, 0, 1, 4, 4, 5, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1, 1]
+
+
+# ---- one huge JSON array --------------------------------------------------------------------------------
+
+
+def test_structure_equals_a_walk_over_bytes():
+    r = np.random.default_rng(6)
+    for n in (*range(1, 9), 200):
+        for _ in range(150):
+            block = r.choice(np.frombuffer(b'"\\\\\\{}[],a', np.uint8), n)
+            for state in (json_array.OUTSIDE, json_array.INSIDE, json_array.ESCAPED):
+                inside, escaped, want = state != json_array.OUTSIDE, state == json_array.ESCAPED, []
+                for i, c in enumerate(bytes(block)):
+                    if c == 92:
+                        escaped = not escaped
+                        continue
+                    if c == 34 and not escaped:
+                        inside = not inside
+                    elif not inside and c in b"{}[],":
+                        want.append((i, {91: 1, 123: 1, 93: -1, 125: -1}.get(c, 0)))
+                    escaped = False
+                at, change, end = json_array.structure(block, state)
+                assert list(zip(at.tolist(), change.tolist())) == want
+                assert end == (json_array.OUTSIDE if not inside else json_array.ESCAPED if escaped else json_array.INSIDE)
+
+
+def test_small_ranges_grow_with_the_file(spark, tmp_path):
+    """Ranges of a size made for small files do not become thousands of tasks."""
+    (tmp_path / "conversations.json").write_text("[" + ",".join(f'{{"id": {i}, "text": "{"x" * 80}"}}' for i in range(20_000)) + "]")
+    size = (tmp_path / "conversations.json").stat().st_size
+    rows = json_array.read(spark, [(f"file:{tmp_path}/conversations.json", size)], "id long, text string", split_bytes=2048)
+    assert rows.rdd.getNumPartitions() <= 12 * spark.sparkContext.defaultParallelism  # before: 1000
+    assert rows.select("id").distinct().count() == rows.count() == 20_000
+
+
+def test_only_the_end_of_an_element_is_read_beyond_a_range(tmp_path, monkeypatch):
+    path = tmp_path / "a.json"
+    path.write_text("[" + ",".join(['"' + "y" * 5000 + '"'] * 2000) + "]")
+    read, opened = [], json_array._opened
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def size(self):
+            return self.f.size()
+
+        def read_at(self, n, at):
+            read.append((n, at))
+            return self.f.read_at(n, at)
+
+    monkeypatch.setattr(json_array, "_opened", lambda p: Counted(opened(p)))
+    assert len(list(json_array.elements(f"file:{path}", 100_000, 200_000, json_array.INSIDE, 1))) in (19, 20)
+    assert max(n + at for n, at in read) < 300_000  # before: 4 MB beyond
+
+
+def test_a_path_reads_its_nodes_twice(spark):
+    """Once for ids and parents, once with the texts."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = [("c", str(i), str(i - 1) if i else None, i == 9, f"t{i}") for i in range(10)] + [("d", "0", None, False, "x"), ("d", "1", "0", False, "y"), ("d", "2", "0", False, "z")]
+    nodes = spark.createDataFrame(rows, "conv_id string, node_id string, parent string, is_current boolean, text string").mapInPandas(count, "conv_id string, node_id string, parent string, is_current boolean, text string")
+    got = sorted((r.conv_id, r.position, r.text) for r in importers.canonical_path(nodes).collect())
+    assert got == [*(("c", i, f"t{i}") for i in range(10)), ("d", 0, "x"), ("d", 1, "z")]
+    assert read.value <= 2 * len(rows)
